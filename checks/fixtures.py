@@ -2,27 +2,59 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spanlake.functions.text import token_shape
+from spanlake.sources.workspace import new_folder
 
 # Types dealt out to the tokens; the last is a component.
 TYPES = ("pers.ind", "func.ind", "loc.adm.town", "amount", "time.date.abs", "org.ent", "prod.media", "name")
 
 
+# Folders that hold a fixture already, by (sf, name); see ``prepare``.
+PREPARED: dict[tuple[str, str], str] = {}
+
+
+def fixture(make):
+    """Read a prepared copy of the fixture where there is one."""
+
+    @functools.wraps(make)
+    def get(spark: SparkSession, sf: str) -> DataFrame:
+        folder = PREPARED.get((sf, make.__name__))
+        return spark.read.parquet(folder) if folder else make(spark, sf)
+
+    return get
+
+
+def prepare(spark: SparkSession, sf: str) -> None:
+    """Write the derived tables once, so that timings are of the operators."""
+    folder = new_folder(spark, "fixtures")
+    for make in (words, lines, pairs, tokens, annotated):
+        path = f"{folder}/{make.__name__}"
+        make(spark, sf).write.parquet(path)
+        PREPARED[sf, make.__name__] = path
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A given table, spread over the cores where its file has too few row groups."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+@fixture
 def words(spark: SparkSession, sf: str) -> DataFrame:
-    """Tokens of every non-blank line of every document."""
+    """Tokens of every non-blank line of every document; ``n`` is the line's count."""
     docs = table(spark, sf, "documents")
     return (
         docs.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("sent_id", "line"))
         .where(F.trim("line") != "")
+        .withColumn("toks", F.split(F.trim("line"), " +"))
         .select("doc_id", "source", F.col("sent_id").cast("bigint").alias("sent_id"),
-                F.posexplode(F.split(F.trim("line"), " +")).alias("i", "token"))
-        .select("doc_id", "source", "sent_id", (F.col("i") + 1).cast("bigint").alias("tok_id"), "token")
+                F.size("toks").alias("n"), F.posexplode("toks").alias("i", "token"))
+        .select("doc_id", "source", "sent_id", "n", (F.col("i") + 1).cast("bigint").alias("tok_id"), "token")
     )
 
 
@@ -36,6 +68,7 @@ def _prefix_at(doc: str, sent: str, tok: str) -> str:
     return f"(case when {a} in (0, 5) then 'B' when {a} in (1, 2, 6) then 'I' else 'O' end)"
 
 
+@fixture
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Gold and guessed tags by arithmetic on the token's position."""
     rows = words(spark, sf).withColumns(
@@ -56,6 +89,7 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@fixture
 def tokens(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled tokens: gold tags, token shape as POS, source as data set."""
     return pairs(spark, sf).select(
@@ -77,42 +111,33 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where("c <> 0").select("doc_id", "sent_id", at.alias("tok_id"), F.col("guess").alias("iob"))
 
 
+@fixture
 def annotated(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with the gold chunks as markup.
 
     Some chunks carry a correction, some tokens a nested component, and ``name``
     chunks of even documents are noise.
     """
-    def p(tok: str) -> str:
-        return _prefix_at("doc_id", "s", tok)
-
-    def ty(tok: str) -> str:
-        return _type_at("doc_id", tok)
-
-    # s is the line number, i the 0-based and (i + 1) the 1-based position.
-    i = "(i + 1)"
-    start = (
-        f"({p(i)} = 'B' or ({p(i)} = 'I' and (i = 0 or {p('i')} = 'O' or {ty('i')} <> {ty(i)})))"
-    )
-    end = (
-        f"({p(i)} <> 'O' and (i + 1 = size(toks) or {p('(i + 2)')} in ('O', 'B') or {ty('(i + 2)')} <> {ty(i)}))"
+    at = {"": "tok_id", "l": "(tok_id - 1)", "n": "(tok_id + 1)"}
+    rows = words(spark, sf).withColumns(
+        {
+            **{f"{k}p": F.expr(_prefix_at("doc_id", "sent_id", v)) for k, v in at.items()},
+            **{f"{k}y": F.expr(_type_at("doc_id", v)) for k, v in at.items()},
+        }
     )
-    label = f"(case when {ty(i)} = 'name' and doc_id % 2 = 0 then 'noisy-entities' else {ty(i)} end)"
-    fix = f"(case when {i} % 4 = 1 then concat(' correction=\"fix ', {i}, '\"') else '' end)"
-    body = "replace(replace(t, '&', '&amp;'), '<', '&lt;')"
-    inner = f"(case when {p(i)} <> 'O' and {i} % 5 = 0 then concat('<name.last>', {body}, '</name.last>') else {body} end)"
-    mark = (
-        f"concat(case when {start} then concat('<', {label}, {fix}, '>') else '' end, {inner},"
+    start = "(p = 'B' or (p = 'I' and (tok_id = 1 or lp = 'O' or ly <> y)))"
+    end = "(p <> 'O' and (tok_id = n or np in ('O', 'B') or ny <> y))"
+    label = "(case when y = 'name' and doc_id % 2 = 0 then 'noisy-entities' else y end)"
+    fix = "(case when tok_id % 4 = 1 then concat(' correction=\"fix ', tok_id, '\"') else '' end)"
+    body = "replace(replace(token, '&', '&amp;'), '<', '&lt;')"
+    inner = f"(case when p <> 'O' and tok_id % 5 = 0 then concat('<name.last>', {body}, '</name.last>') else {body} end)"
+    mark = F.expr(
+        f"concat(case when tok_id = 1 then '\\n' else ' ' end,"
+        f" case when {start} then concat('<', {label}, {fix}, '>') else '' end, {inner},"
         f" case when {end} then concat('</', {label}, '>') else '' end)"
     )
-    marked = f"array_join(transform(toks, (t, i) -> {mark}), ' ')"
-    # A line's tokens are bound to ``toks`` by an array of one element.
-    line = (
-        f"case when trim(line) = '' then '' else"
-        f" transform(array(split(trim(line), ' +')), toks -> {marked})[0] end"
-    )
-    text = F.expr(f"array_join(filter(transform(split(text, '\n'), (line, s) -> {line}), x -> x <> ''), '\n')")
-    return table(spark, sf, "documents").select("doc_id", text.alias("text")).where("text <> ''")
+    marks = F.array_sort(F.collect_list(F.struct("sent_id", "tok_id", mark.alias("mark"))))["mark"]
+    return rows.groupBy("doc_id").agg(F.substr(F.array_join(marks, ""), F.lit(2)).alias("text"))
 
 
 def broken(spark: SparkSession, sf: str) -> DataFrame:
@@ -133,6 +158,7 @@ def hyphenated(spark: SparkSession, sf: str) -> DataFrame:
     return lines(spark, sf).select("doc_id", "sent_id", text.alias("text"))
 
 
+@fixture
 def lines(spark: SparkSession, sf: str) -> DataFrame:
     """Non-blank lines of the documents."""
     docs = table(spark, sf, "documents")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, functions as F
 
 from spanlake.functions.inventory import COARSE_TYPES
@@ -36,11 +38,28 @@ def is_valid_type(coarse: Column) -> Column:
     return coarse.isin(*COARSE_TYPES)
 
 
-def parsed(names) -> dict[str, Column]:
-    """``x_p`` (prefix) and ``x_t`` (type) for each tag column ``x``."""
+# Prefixes as numbers: the chunk rules run on every token.
+OUTSIDE, DOT, BEGIN, INSIDE, END, BRACKET, OTHER = range(7)
+
+
+def prefix_code(tag: Column) -> Column:
+    prefix = tag_prefix(tag)
+    return (
+        F.when(prefix == "O", OUTSIDE)
+        .when(prefix == "I", INSIDE)
+        .when(prefix == "B", BEGIN)
+        .when(prefix == "E", END)
+        .when(prefix == ".", DOT)
+        .when(prefix.isin("[", "]"), BRACKET)
+        .otherwise(OTHER)
+    )
+
+
+def parsed(names: Iterable[str]) -> dict[str, Column]:
+    """``x_p`` (prefix code) and ``x_t`` (type) for each tag column ``x``."""
     out = {}
     for name in names:
-        out[f"{name}_p"] = tag_prefix(F.col(name))
+        out[f"{name}_p"] = prefix_code(F.col(name))
         out[f"{name}_t"] = tag_type(F.col(name))
     return out
 
@@ -49,10 +68,10 @@ def chunk_end(prev: str, cur: str) -> Column:
     """Does the chunk holding tag ``prev`` end between the two (parsed) tags?"""
     p, c = F.col(f"{prev}_p"), F.col(f"{cur}_p")
     return (
-        (p.isin("B", "I") & c.isin("B", "O"))
-        | ((p == "E") & c.isin("E", "I", "O"))
-        | (~p.isin("O", ".") & (F.col(f"{prev}_t") != F.col(f"{cur}_t")))
-        | p.isin("[", "]")
+        (p.isin(BEGIN, INSIDE) & c.isin(BEGIN, OUTSIDE))
+        | ((p == END) & c.isin(END, INSIDE, OUTSIDE))
+        | ((p > DOT) & (F.col(f"{prev}_t") != F.col(f"{cur}_t")))
+        | (p == BRACKET)
     )
 
 
@@ -60,9 +79,8 @@ def chunk_start(prev: str, cur: str) -> Column:
     """Does a chunk start at tag ``cur``, given the tag before it?"""
     p, c = F.col(f"{prev}_p"), F.col(f"{cur}_p")
     return (
-        ((c == "B") & p.isin("O", "B", "I"))
-        | ((c == "I") & p.isin("O", "E"))
-        | ((c == "E") & p.isin("O", "E"))
-        | (~c.isin("O", ".") & (F.col(f"{prev}_t") != F.col(f"{cur}_t")))
-        | c.isin("[", "]")
+        ((c == BEGIN) & p.isin(OUTSIDE, BEGIN, INSIDE))
+        | (c.isin(INSIDE, END) & p.isin(OUTSIDE, END))
+        | ((c > DOT) & (F.col(f"{prev}_t") != F.col(f"{cur}_t")))
+        | (c == BRACKET)
     )

@@ -6,7 +6,7 @@ per document, never see more than one row's text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, WindowSpec, functions as F
 
 from spanlake.functions.inventory import NOISE_LABEL
 from spanlake.functions.text import (
@@ -17,42 +17,59 @@ from spanlake.functions.text import (
     upper_majority,
 )
 
-# A tag with quoted attribute values, a run of text, or a lone bracket.
-PIECE = r"""(<[^<>"']*+(?:"[^"]*+"[^<>"']*+|'[^']*+'[^<>"']*+)*+>|[^<]++|<)"""
+# A tag, its attribute values quoted; and the pieces a text falls into: a tag with
+# the text after it, text alone, or a bracket that opens no tag.
+TAG = r"""<[^<>"']*+(?:"[^"]*+"[^<>"']*+|'[^']*+'[^<>"']*+)*+>"""
+PIECE = rf"({TAG}[^<]*+|[^<]++|<[^<]*+)"
 TAG_NAME = r"^</?([^\s/>]+)"
 CORRECTION = r"""\scorrection=(?:"([^"]*)"|'([^']*)')"""
 MODES = ("n", "c")
 
 
+def _by_pos() -> WindowSpec:
+    return (
+        Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+
+
+def _same_level() -> WindowSpec:
+    return Window.partitionBy("doc_id", "level").orderBy("pos")
+
+
 def pieces(docs: DataFrame) -> DataFrame:
-    """Tags and text runs of each document with their nesting depth.
+    """Each tag with the text after it, and the nesting depth.
 
     ``step`` is +1 for an opening tag, -1 for a closing one; ``depth`` counts the
-    annotations open after the piece; ``level`` is the annotation a tag opens or
-    closes.
+    annotations open after it; ``level`` is the annotation a tag opens or closes;
+    ``given`` is the tag's correction, if it has one.
     """
-    tag = (F.length("piece") > 1) & F.col("piece").startswith("<")
-    closed = tag & F.col("piece").startswith("</")
-    empty = tag & F.col("piece").endswith("/>")
-    by_pos = Window.partitionBy("doc_id").orderBy("pos")
-    so_far = by_pos.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    c = F.col
+    is_tag = c("tag") != ""
+    closed = c("tag").startswith("</")
+    empty = c("tag").endswith("/>")
+    double, single = (F.regexp_extract("tag", CORRECTION, i) for i in (1, 2))
     return (
         docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(PIECE), F.lit(1))).alias("pos", "piece"))
-        .withColumns(
-            {
-                "name": F.when(tag, F.regexp_extract("piece", TAG_NAME, 1)),
-                "step": F.when(closed, -1).when(tag & ~empty, 1).otherwise(0),
-            }
+        .withColumn("tag", F.regexp_extract("piece", rf"^({TAG})", 1))
+        .select(
+            "doc_id",
+            "pos",
+            F.when(is_tag, F.regexp_extract("tag", TAG_NAME, 1)).alias("name"),
+            F.when(closed, -1).when(is_tag & ~empty, 1).otherwise(0).alias("step"),
+            F.substr("piece", F.length("tag") + 1).alias("after"),
+            F.when(
+                is_tag & ~closed & ~empty & c("tag").rlike(CORRECTION),
+                F.when(double != "", double).otherwise(single),
+            ).alias("given"),
         )
-        .withColumn("depth", F.sum("step").over(so_far))
-        .withColumn("level", F.when(F.col("step") == 1, F.col("depth")).when(F.col("step") == -1, F.col("depth") + 1))
+        .withColumn("depth", F.sum("step").over(_by_pos()))
+        .withColumn("level", F.when(c("step") == 1, c("depth")).when(c("step") == -1, c("depth") + 1))
     )
 
 
 def _with_fault(rows: DataFrame) -> DataFrame:
     """Add ``fault``: a closing tag with nothing, or another name, to close."""
-    same_level = Window.partitionBy("doc_id", "level").orderBy("pos")
-    opened = F.lag("name").over(same_level)
+    opened = F.lag("name").over(_same_level())
     fault = (F.col("step") == -1) & ((F.col("level") < 1) | ~F.col("name").eqNullSafe(opened))
     return rows.withColumn("fault", fault)
 
@@ -73,29 +90,19 @@ def markup_errors(docs: DataFrame) -> DataFrame:
 
 def _apply_corrections(rows: DataFrame) -> DataFrame:
     """Put each ``correction`` attribute in place of its annotation's content."""
-    double, single = (F.regexp_extract("piece", CORRECTION, i) for i in (1, 2))
-    given = (F.col("step") == 1) & F.col("piece").rlike(CORRECTION)
-    same_level = Window.partitionBy("doc_id", "level").orderBy("pos")
-    by_pos = (
-        Window.partitionBy("doc_id")
-        .orderBy("pos")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    rows = rows.withColumn("given", given)
+    c = F.col
     turn = (
-        F.when(F.col("given"), 1)
-        .when((F.col("step") == -1) & F.lag("given").over(same_level), -1)
+        F.when(c("given").isNotNull(), 1)
+        .when((c("step") == -1) & F.lag("given").over(_same_level()).isNotNull(), -1)
         .otherwise(0)
     )
-    rows = rows.withColumn("turn", turn)
-    rows = rows.withColumn("inside", F.sum("turn").over(by_pos))
-    value = F.when(double != "", double).otherwise(single)
+    rows = rows.withColumn("turn", turn).withColumn("inside", F.sum("turn").over(_by_pos()))
     content = (
-        F.when(F.col("given") & (F.col("inside") == 1), value)
-        .when((F.col("inside") > 0) | F.col("name").isNotNull(), "")
-        .otherwise(F.col("piece"))
+        F.when(c("given").isNotNull() & (c("inside") == 1), c("given"))
+        .when(c("inside") > 0, "")
+        .otherwise(c("after"))
     )
-    return rows.withColumn("content", content)
+    return rows.withColumn("after", content)
 
 
 def fragments(docs: DataFrame, mode: str = "n") -> DataFrame:
@@ -108,38 +115,35 @@ def fragments(docs: DataFrame, mode: str = "n") -> DataFrame:
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, not {mode!r}")
-    rows = _with_fault(pieces(docs))
-    rows = (
-        _apply_corrections(rows)
-        if mode == "c"
-        else rows.withColumn("content", F.when(F.col("name").isNull(), F.col("piece")).otherwise(""))
-    )
-    whole = Window.partitionBy("doc_id")
-    so_far = whole.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    outer_open = (F.col("step") == 1) & (F.col("depth") == 1)
-    outer_close = (F.col("step") == -1) & (F.col("depth") == 0)
-    empty_tag = F.col("name").isNotNull() & (F.col("step") == 0) & (F.col("depth") == 0)
+    c = F.col
+    outer_open = (c("step") == 1) & (c("depth") == 1)
+    outer_close = (c("step") == -1) & (c("depth") == 0)
+    empty_tag = c("name").isNotNull() & (c("step") == 0) & (c("depth") == 0)
     # Odd runs are outermost annotations, even runs the plain text between them.
     turn = F.when(outer_open | outer_close, 1).when(empty_tag, 2).otherwise(0)
-    sound = (F.sum("step").over(whole) == 0) & ~F.max("fault").over(whole)
+    rows = pieces(docs).withColumn("turn", turn).withColumn("run", F.sum("turn").over(_by_pos()))
+    if mode == "c":
+        rows = _apply_corrections(rows)
+    whole = Window.partitionBy("doc_id")
     runs = (
-        rows.withColumns({"run": F.sum(turn).over(so_far), "sound": sound, "outer": outer_open})
-        .where("sound")
+        _with_fault(rows)
+        .withColumns({"unclosed": F.sum("step").over(whole), "broken": F.max("fault").over(whole)})
+        .where((c("unclosed") == 0) & ~c("broken"))
         .groupBy("doc_id", "run")
         .agg(
-            F.max(F.when(F.col("outer"), F.col("name"))).alias("name"),
-            F.array_sort(F.collect_list(F.struct("pos", "content"))).alias("parts"),
+            F.max(F.when(outer_open, c("name"))).alias("name"),
+            F.array_sort(F.collect_list(F.struct("pos", "after"))).alias("parts"),
         )
     )
-    text = decode_references(F.array_join(F.col("parts")["content"], ""))
-    plain = F.col("run") % 2 == 0
+    text = decode_references(F.array_join(c("parts")["after"], ""))
+    plain = c("run") % 2 == 0
     cut = F.when(plain, F.split(text, "\n")).otherwise(F.array(text))
-    label = F.when(F.col("name") != NOISE_LABEL, F.col("name"))
+    label = F.when(c("name") != NOISE_LABEL, c("name"))
     order = Window.partitionBy("doc_id").orderBy("run", "line")
     return (
         runs.select("doc_id", "run", label.alias("label"), F.posexplode(cut).alias("line", "text"))
-        .withColumn("text", squash(F.col("text")))
-        .where(F.col("text") != "")
+        .withColumn("text", squash(c("text")))
+        .where(c("text") != "")
         .select("doc_id", F.row_number().over(order).cast("bigint").alias("frag_id"), "text", "label")
     )
 

@@ -9,10 +9,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from spanlake.functions.numbers import f1, percent, with_fixed2
-from spanlake.functions.tags import chunk_end, chunk_start, normalise_raw, parsed, tag_prefix, tag_type
+from spanlake.functions.tags import (
+    OUTSIDE,
+    chunk_end,
+    chunk_start,
+    normalise_raw,
+    parsed,
+    tag_prefix,
+    tag_type,
+)
 from spanlake.operators.blocks import BLOCK, block_of, with_ghosts
 from spanlake.operators.islands import merge_islands
 
@@ -89,30 +97,38 @@ def chunk_flags(
 
 def _neighbours(
     pairs: DataFrame, tags: Sequence[str], keys: Sequence[str], block: int
-) -> tuple[DataFrame, Window]:
-    """Rows with the tags before and after, ``O`` across a gap in positions.
+) -> tuple[DataFrame, WindowSpec]:
+    """Rows with the parsed tags before and after, ``O`` across a gap in positions.
 
     ``before_*`` and ``after_*`` are the neighbouring tokens' tags. ``last_*`` is
     the previous kept row's tag (NULL if none in this block) and ``next_of_*``
-    the tag that followed that row.
+    the tag that followed that row. Tags are parsed once, before the shuffle, and
+    travel as one struct.
     """
     w = Window.partitionBy(*keys, "blk").orderBy("tok_id")
-    seen = {}
-    for c in (*tags, "tok_id"):
-        seen[f"last_{c}"] = F.lag(c).over(w)
-        seen[f"next_{c}"] = F.lead(c).over(w)
-    seen["next_ghost"] = F.lead("ghost").over(w)
-    rows = with_ghosts(pairs, "tok_id", block).withColumns(seen)
-    joined = F.coalesce(F.col("last_tok_id") == F.col("tok_id") - 1, F.lit(False))
-    joins = F.coalesce(F.col("next_tok_id") == F.col("tok_id") + 1, F.lit(False))
-    near = {}
-    for c in tags:
-        near[f"before_{c}"] = F.when(joined, F.col(f"last_{c}")).otherwise("O")
-        near[f"after_{c}"] = F.when(joins, F.col(f"next_{c}")).otherwise("O")
-        near[f"next_of_{c}"] = F.when(joined, F.col(c)).otherwise("O")
-    rows = rows.withColumns(near)
-    names = [f"{side}{t}" for t in tags for side in ("", "last_", "before_", "after_", "next_of_")]
-    return rows.withColumns(parsed(names)), w
+    fields = [f"{t}_{part}" for t in tags for part in "pt"]
+    split_up = parsed(tags)
+    cell = F.struct("tok_id", "ghost", *(split_up[f].alias(f) for f in fields))
+    rows = (
+        with_ghosts(pairs.select(*keys, "tok_id", *tags), "tok_id", block)
+        .select(*keys, "blk", "ghost", "tok_id", *tags, cell.alias("cell"))
+        .withColumns({"last": F.lag("cell").over(w), "next": F.lead("cell").over(w)})
+    )
+    joined = F.col("last.tok_id") == F.col("tok_id") - 1
+    joins = F.col("next.tok_id") == F.col("tok_id") + 1
+    near = {
+        "last_tok_id": F.col("last.tok_id"),
+        "next_tok_id": F.col("next.tok_id"),
+        "next_ghost": F.col("next.ghost"),
+    }
+    for f in fields:
+        outside = OUTSIDE if f.endswith("_p") else ""
+        near[f] = F.col(f"cell.{f}")
+        near[f"last_{f}"] = F.col(f"last.{f}")
+        near[f"before_{f}"] = F.when(joined, F.col(f"last.{f}")).otherwise(outside)
+        near[f"after_{f}"] = F.when(joins, F.col(f"next.{f}")).otherwise(outside)
+        near[f"next_of_{f}"] = F.when(joined, F.col(f"cell.{f}")).otherwise(outside)
+    return rows.withColumns(near), w
 
 
 def _states(pairs: DataFrame, keys: Sequence[str], block: int) -> DataFrame:
