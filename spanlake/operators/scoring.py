@@ -1,8 +1,9 @@
 """Chunk scoring of gold tags against guessed tags.
 
 ``pairs`` holds one row per token: the sentence keys, ``tok_id``, ``gold`` and
-``guess``. Rows tagged ``O`` on both sides open, close and score nothing, so they
-are dropped before the shuffle; a gap in ``tok_id`` then stands for them.
+``guess``. Rows tagged ``O`` on both sides open, close and score nothing, so all but
+a sentence's first are dropped before the shuffle; a gap in ``tok_id`` then stands
+for them.
 """
 
 from __future__ import annotations
@@ -138,7 +139,8 @@ def _states(pairs: DataFrame, keys: Sequence[str], block: int) -> DataFrame:
     or closed when either ends or the types part. ``state`` is the state on the
     token, NULL while it depends on an earlier block.
     """
-    kept = pairs.where(~((F.col("gold") == "O") & (F.col("guess") == "O")))
+    # First tokens stay, so that a corpus without any chunk still has its row.
+    kept = pairs.where(~((F.col("gold") == "O") & (F.col("guess") == "O")) | (F.col("tok_id") == 1))
     rows, w = _neighbours(kept, ("gold", "guess"), keys, block)
     c = F.col
     rows = rows.withColumns(
@@ -177,7 +179,7 @@ def match_state(
 ) -> DataFrame:
     """Tokens not ``O`` on both sides, with ``state`` (inside a joint match) and
     ``hit`` (a correct chunk ends here)."""
-    rows = _states(pairs, keys, block)
+    rows = _states(pairs, keys, block).where(~((F.col("gold") == "O") & (F.col("guess") == "O")))
     w = Window.partitionBy(*keys).orderBy("blk")
     # One row per block border of long sentences; none for ordinary ones.
     carried = (

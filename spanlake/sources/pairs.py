@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from spanlake.sources.lines import BLOCK_BITS, number_sentences, read_lines
+from spanlake.sources.lines import number_sentences, read_lines
 
 BOUNDARY = "-X-"
 
@@ -17,11 +17,7 @@ def _fields(value: Column, delimiter: str) -> Column:
 
 
 def read_pairs(
-    spark: SparkSession,
-    path: str,
-    delimiter: str = " ",
-    boundary: str = BOUNDARY,
-    block_bits: int = BLOCK_BITS,
+    spark: SparkSession, path: str, delimiter: str = " ", boundary: str = BOUNDARY
 ) -> DataFrame:
     """``pairs(file, sent_id, tok_id, token, gold, guess)``.
 
@@ -30,10 +26,10 @@ def read_pairs(
     the line has only the tags.
     """
     c = F.col
-    lines = read_lines(spark, path, block_bits).withColumn("fields", _fields(c("value"), delimiter))
+    fields = _fields(c("value"), delimiter)
+    breaks = (F.size(fields) == 0) | (F.get(fields, F.lit(0)) == boundary)
+    rows = number_sentences(read_lines(spark, path), breaks, F.lit(True)).withColumn("fields", fields)
     size = F.size("fields")
-    breaks = (size == 0) | (F.get("fields", F.lit(0)) == boundary)
-    rows = number_sentences(lines, breaks, F.lit(True))
     checked = F.when(
         size < 2,
         F.raise_error(F.concat(F.lit("unexpected number of fields in line: "), "value")).cast("string"),
@@ -56,7 +52,12 @@ def check_width(
     Blank lines do not count. ``strict`` fails on a line that is not ``ok``.
     """
     c = F.col
-    lines = read_lines(spark, path).withColumn("width", F.size(_fields(c("value"), delimiter))).where("width > 0")
+    lines = (
+        read_lines(spark, path)
+        .withColumn("at", F.monotonically_increasing_id())
+        .withColumn("width", F.size(_fields(c("value"), delimiter)))
+        .where("width > 0")
+    )
     # At most one row per file and width is left after the first step.
     counts = lines.groupBy("file", "width").agg(
         F.count("*").alias("lines"), F.min(F.struct("start", "at")).alias("first")
