@@ -278,6 +278,46 @@ SELECT doc_id, sent_id, row_number() OVER (PARTITION BY doc_id, sent_id ORDER BY
 FROM bounds""")
 ORACLES["annotate_hook"] = sql(TOKENS, "SELECT doc_id, sent_id, tok_id, token, pos FROM tokens")
 
+# The whole first job: line repair between lines and between words, a parse by
+# nesting depth, then sentences and labels as above.
+_REPAIRED = ANNOTATED + [
+    """cut AS (SELECT doc_id, string_split(text, chr(10)) AS q FROM annotated)""",
+    rf"""unwrapped AS (
+  SELECT doc_id, array_to_string(list_transform(q, lambda x, i: x || CASE WHEN i = len(q) THEN ''
+    WHEN regexp_matches(x, '([.!?A-Z]|\.[{WS}]?»)$') OR regexp_matches(q[i + 1], '^[A-Z]') THEN chr(10) ELSE ' ' END), '') AS text FROM cut)""",
+    """spaced AS (
+  SELECT doc_id, string_split_regex(text, '[ \\n]+') AS w, regexp_extract_all(text, '[ \\n]+') AS s FROM unwrapped)""",
+    """broken AS (
+  SELECT doc_id, array_to_string(list_transform(w, lambda x, i: x || CASE WHEN i = len(w) THEN ''
+    WHEN regexp_matches(x, '[.!?]$') AND NOT regexp_matches(w[i + 1], '^[a-z<]') THEN chr(10) ELSE s[i] END), '') AS text FROM spaced)""",
+    r"""joined_halves AS (
+  SELECT doc_id, regexp_extract_all(regexp_replace(text, '([\p{L}\p{N}_])- ([\p{L}\p{N}_])', '\1\2', 'g'), '<[^>]*>|[^<]+') AS ps FROM broken)""",
+    """pieces AS (
+  SELECT doc_id, unnest(ps) AS x, generate_subscripts(ps, 1) AS pos FROM joined_halves)""",
+    """depths AS (
+  SELECT *, sum(step) OVER (PARTITION BY doc_id ORDER BY pos) AS depth
+  FROM (SELECT *, CASE WHEN x LIKE '</%' THEN -1 WHEN x LIKE '<%' THEN 1 ELSE 0 END AS step FROM pieces))""",
+    """runs AS (
+  SELECT *, sum(CASE WHEN (step = 1 AND depth = 1) OR (step = -1 AND depth = 0) THEN 1 ELSE 0 END)
+            OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM depths)""",
+    """contents AS (
+  SELECT doc_id, run, max(CASE WHEN step = 1 AND depth = 1 THEN regexp_extract(x, '^<([^ >]+)', 1) END) AS label,
+         replace(string_agg(CASE WHEN step = 0 THEN x ELSE '' END, '' ORDER BY pos), '&amp;', '&') AS text
+  FROM runs GROUP BY doc_id, run)""",
+    f"""parts AS (
+  SELECT doc_id, run, nullif(label, 'noisy-entities') AS label, generate_subscripts(q, 1) AS line,
+         trim(regexp_replace(unnest(q), '[{WS}]+', ' ', 'g')) AS text
+  FROM (SELECT *, CASE WHEN run % 2 = 0 THEN string_split(text, chr(10)) ELSE [text] END AS q FROM contents))""",
+    """frags AS (
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY run, line) AS frag_id, text, label FROM parts WHERE text <> '')""",
+    *FRAG_TOKENS[len(FRAGMENTS):],
+    _trimmed("toks"),
+]
+ORACLES["documents_to_tokens"] = sql(_REPAIRED, f"""
+SELECT doc_id, sent_id, row_number() OVER (PARTITION BY doc_id, sent_id ORDER BY frag_id, i) AS tok_id, token, {_IOB} AS iob,
+       {SHAPE.format('token')} AS pos
+FROM bounds""")
+
 ORACLES["align_pairs"] = sql(PAIRS, """,
 pred AS (
   SELECT doc_id, sent_id, CASE WHEN (doc_id + sent_id + tok_id) % 11 = 1 THEN tok_id + 1000000 ELSE tok_id END AS tok_id, guess

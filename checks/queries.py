@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from checks import fixtures as X
 from spanlake.functions import tags, text
 from spanlake.operators import chars, corpora, fragments, labels, mentions, scoring, splits, stats
+from spanlake.plans import jobs
 from spanlake.sources import annotated, columns, pairs
 from spanlake.sources.workspace import new_folder
 
@@ -257,6 +258,11 @@ def annotate_hook(spark, sf):
     return labels.annotate(words, _shapes)
 
 
+@query
+def documents_to_tokens(spark, sf):
+    return jobs.documents_to_tokens(X.annotated(spark, sf))
+
+
 # Scoring
 
 

@@ -29,6 +29,11 @@ def squash(col: Column) -> Column:
     return F.trim(F.regexp_replace(col, rf"(?U){WS}+", " "))
 
 
+def has_text(col: Column) -> Column:
+    """Anything but whitespace."""
+    return col.rlike(r"(?U)[^\s\x1c-\x1f]")
+
+
 def clean_lines(col: Column) -> Column:
     """Strip each line; drop blank lines and image references."""
     lines = F.transform(F.split(col, LINE_BREAK), strip_ws)
@@ -91,9 +96,10 @@ def ends_terminal(col: Column) -> Column:
 
 def decode_references(col: Column) -> Column:
     """Decode the five predefined character references, ``&amp;`` last."""
+    plain = col
     for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
         col = F.replace(col, F.lit(name), F.lit(char))
-    return col
+    return F.when(plain.contains("&"), col).otherwise(plain)
 
 
 def tokens_of(col: Column) -> Column:

@@ -12,6 +12,7 @@ from spanlake.functions.inventory import NOISE_LABEL
 from spanlake.functions.text import (
     decode_references,
     ends_terminal,
+    has_text,
     squash,
     starts_lower,
     upper_majority,
@@ -135,15 +136,16 @@ def fragments(docs: DataFrame, mode: str = "n") -> DataFrame:
             F.array_sort(F.collect_list(F.struct("pos", "after"))).alias("parts"),
         )
     )
-    text = decode_references(F.array_join(c("parts")["after"], ""))
-    plain = c("run") % 2 == 0
-    cut = F.when(plain, F.split(text, "\n")).otherwise(F.array(text))
     label = F.when(c("name") != NOISE_LABEL, c("name"))
+    texts = runs.select(
+        "doc_id", "run", label.alias("label"), F.array_join(c("parts")["after"], "").alias("text")
+    ).withColumn("text", decode_references(c("text")))
+    cut = F.when(c("run") % 2 == 0, F.split("text", "\n")).otherwise(F.array("text"))
     order = Window.partitionBy("doc_id").orderBy("run", "line")
     return (
-        runs.select("doc_id", "run", label.alias("label"), F.posexplode(cut).alias("line", "text"))
+        texts.select("doc_id", "run", "label", F.posexplode(cut).alias("line", "text"))
+        .where(has_text(c("text")))
         .withColumn("text", squash(c("text")))
-        .where(c("text") != "")
         .select("doc_id", F.row_number().over(order).cast("bigint").alias("frag_id"), "text", "label")
     )
 

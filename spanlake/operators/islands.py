@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 
 def merge_islands(
@@ -34,19 +34,27 @@ def merge_islands(
     follows = F.coalesce(F.lag("tok_id").over(w) == c("tok_id") - 1, F.lit(False))
     # The first row of a later block may continue a run of the block before.
     opens = c("head") | ~(follows | (at_border & (c("blk") > 0)))
-    piece = F.last(F.when(c("opens"), c("tok_id")), ignorenulls=True).over(
-        w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    def opening(flag: str, order: WindowSpec, column: Column) -> Column:
+        """The column on the last row so far where the flag is set."""
+        run = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return F.last(F.when(c(flag), column), ignorenulls=True).over(run)
+
+    names = list(first)
     items = F.struct("tok_id", *gather)
     pieces = (
         rows.withColumn("opens", opens)
-        .withColumn("piece", F.coalesce(piece, F.lit(0)))
-        .groupBy(*keys, "blk", "piece")
+        .withColumn("from", opening("opens", w, F.struct("tok_id", *(col.alias(n) for n, col in first.items()))))
+        # The opening row's values are grouping keys, not aggregates: the
+        # aggregation then needs no sort.
+        .select(
+            *keys, "blk", "tok_id", *(col.alias(n) for n, col in lowest.items()), *gather,
+            F.coalesce("from.tok_id", F.lit(0)).alias("piece"), *(c(f"from.{n}").alias(n) for n in names),
+        )
+        .groupBy(*keys, "blk", "piece", *names)
         .agg(
             F.min("tok_id").alias("first_tok"),
             F.max("tok_id").alias("last_tok"),
-            *(F.min_by(col, "tok_id").alias(name) for name, col in first.items()),
-            *(F.min(col).alias(name) for name, col in lowest.items()),
+            *(F.min(n).alias(n) for n in lowest),
             *([F.array_sort(F.collect_list(items)).alias("items")] if gather else []),
         )
     )
@@ -58,18 +66,18 @@ def merge_islands(
     fresh = (c("piece") > 0) | ~F.coalesce(
         F.lag("last_tok").over(across) == c("first_tok") - 1, F.lit(False)
     )
-    island = F.last(F.when(c("fresh"), c("first_tok")), ignorenulls=True).over(
-        across.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
     merged = (
         pieces.withColumn("fresh", fresh)
-        .withColumn("island", island)
-        .groupBy(*keys, "knot", "island")
+        .withColumn("from", opening("fresh", across, F.struct("first_tok", *names)))
+        .select(
+            *keys, "knot", "last_tok", *lowest, *(["items"] if gather else []),
+            c("from.first_tok").alias("first_tok"), *(c(f"from.{n}").alias(n) for n in names),
+        )
+        .groupBy(*keys, "knot", "first_tok", *names)
         .agg(
             F.max("last_tok").alias("last_tok"),
-            *(F.min_by(name, "first_tok").alias(name) for name in first),
-            *(F.min(name).alias(name) for name in lowest),
+            *(F.min(n).alias(n) for n in lowest),
             *([F.array_sort(F.flatten(F.collect_list("items"))).alias("items")] if gather else []),
         )
     )
-    return merged.withColumnRenamed("island", "first_tok").drop("knot")
+    return merged.drop("knot")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from spanlake.functions.inventory import LEADING_EDGE, TRAILING_EDGE
@@ -99,6 +100,7 @@ def annotate(
     """Add one label per token from a batch function over whole sentences.
 
     ``tagger`` maps a list of sentences (token lists) to equally long label lists.
+    A tagger sees a sentence whole, so a sentence has to fit in a row.
     """
     other = [c for c in tokens.columns if c not in keys and c != "tok_id"]
     sentences = tokens.groupBy(*keys).agg(
@@ -106,15 +108,16 @@ def annotate(
     ).withColumn("words", F.col("items")["token"])
     schema = T.StructType([*sentences.schema.fields, T.StructField("labels", T.ArrayType(T.StringType()))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [list(x) for x in batch["words"]]
+            words = batch.column("words").to_pylist()
             labels = tagger(words)
             if [len(x) for x in labels] != [len(x) for x in words]:
                 raise ValueError("the tagger must return one label per token")
-            yield batch.assign(labels=labels)
+            columns = [*batch.columns, pa.array(labels, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     both = F.explode(F.arrays_zip("items", "labels")).alias("x")
-    return sentences.mapInPandas(run, schema).select(*keys, both).select(
+    return sentences.mapInArrow(run, schema).select(*keys, both).select(
         *keys, "x.items.*", F.col("x.labels").alias(name)
     )

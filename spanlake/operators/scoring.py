@@ -81,18 +81,16 @@ def chunk_flags(
     pairs: DataFrame, keys: Sequence[str] = SENTENCE, block: int = BLOCK
 ) -> DataFrame:
     """Per token: does a chunk start here, did one end just before?"""
-    w = Window.partitionBy(*keys, "blk").orderBy("tok_id")
-    rows = with_ghosts(pairs, "tok_id", block)
-    rows = rows.withColumns(
-        {f"prev_{c}": F.coalesce(F.lag(c).over(w), F.lit("O")) for c in ("gold", "guess")}
-    ).where(~F.col("ghost"))
-    flags = {}
-    for c in ("gold", "guess"):
-        flags[f"{c}_start"] = chunk_start(f"prev_{c}", c)
-        flags[f"{c}_end"] = chunk_end(f"prev_{c}", c)
-    names = ("prev_gold", "prev_guess", "gold", "guess")
-    return rows.withColumns(parsed(names)).select(
-        *pairs.columns, *(flag.alias(name) for name, flag in flags.items())
+    rows, _ = _neighbours(pairs, ("gold", "guess"), keys, block)
+    return rows.where(~F.col("ghost")).select(
+        *keys,
+        "tok_id",
+        "gold",
+        "guess",
+        chunk_start("before_gold", "gold").alias("gold_start"),
+        chunk_end("before_gold", "gold").alias("gold_end"),
+        chunk_start("before_guess", "guess").alias("guess_start"),
+        chunk_end("before_guess", "guess").alias("guess_end"),
     )
 
 
