@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from spanlake.functions.inventory import LEADING_EDGE, TRAILING_EDGE
-from spanlake.functions.text import tokens_of
+from spanlake.functions.text import has_text, tokens_of
 
 Tagger = Callable[[list[list[str]]], list[list[str]]]
 
@@ -27,15 +27,15 @@ def tokenize(
     default rules.
     """
     if tokenizer is None:
-        made = df.withColumn("tokens", tokens_of(F.col(col)))
-    else:
-        schema = T.StructType([*df.schema.fields, T.StructField("tokens", T.ArrayType(T.StringType()))])
+        # Any text but whitespace has a token, and no default token is empty.
+        return df.where(has_text(F.col(col))).withColumn("tokens", tokens_of(F.col(col)))
+    schema = T.StructType([*df.schema.fields, T.StructField("tokens", T.ArrayType(T.StringType()))])
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                yield batch.assign(tokens=tokenizer(batch[col]))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(tokens=tokenizer(batch[col]))
 
-        made = df.mapInPandas(run, schema)
+    made = df.mapInPandas(run, schema)
     return made.withColumn("tokens", F.filter("tokens", lambda t: t != "")).where(F.size("tokens") > 0)
 
 
