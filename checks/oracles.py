@@ -60,9 +60,9 @@ SELECT width::BIGINT AS width, width = 3 AS ok, count(*) AS lines FROM widths WH
 
 ORACLES["format_columns"] = sql(TOKENS, """
 SELECT data_set, doc_id, sent_id, tok_id AS line_id, concat_ws(chr(9), tok_id, token, pos, iob) AS line FROM tokens
-UNION ALL SELECT data_set, doc_id, sent_id, max(tok_id) + 1, '' FROM tokens GROUP BY ALL
+UNION ALL SELECT DISTINCT data_set, doc_id, sent_id, 0, '' FROM tokens
 UNION ALL SELECT data_set, doc_id, min(sent_id), -1, '# FILE: ' || doc_id FROM tokens GROUP BY data_set, doc_id
-UNION ALL SELECT data_set, doc_id, min(sent_id), 0, '' FROM tokens GROUP BY data_set, doc_id""")
+UNION ALL SELECT data_set, doc_id, max(sent_id), 9223372036854775807, '' FROM tokens GROUP BY data_set, doc_id""")
 
 # Scoring: flags by lag over every token, a virtual outside token after each
 # sentence, and the match state as the last opening or closing event.

@@ -48,13 +48,19 @@ def _written_columns(spark, sf):
 @query
 def read_columns(spark, sf):
     back = _written_columns(spark, sf)
-    return back.groupBy("data_set", "file", "sent_id").agg(
-        F.array_join(F.array_sort(F.collect_list(F.struct("tok_id", "token")))["token"], " ").alias("text"),
-        F.array_join(F.array_sort(F.collect_list(F.struct("tok_id", "pos")))["pos"], "").alias("pos"),
-        F.array_join(F.array_sort(F.collect_list(F.struct("tok_id", "iob")))["iob"], " ").alias("iob"),
-        F.count("*").alias("n"),
-        F.max("tok_id").alias("last"),
-    ).drop("file", "sent_id")
+    items = F.array_sort(F.collect_list(F.struct("tok_id", "token", "pos", "iob")))
+    return (
+        back.groupBy("data_set", "file", "sent_id")
+        .agg(items.alias("items"), F.max("tok_id").alias("last"))
+        .select(
+            "data_set",
+            F.array_join(F.col("items")["token"], " ").alias("text"),
+            F.array_join(F.col("items")["pos"], "").alias("pos"),
+            F.array_join(F.col("items")["iob"], " ").alias("iob"),
+            F.size("items").cast("bigint").alias("n"),
+            "last",
+        )
+    )
 
 
 def _pair_lines(spark, sf):

@@ -18,16 +18,20 @@ def merge_islands(
     block: int,
     first: dict[str, Column],
     lowest: dict[str, Column] | None = None,
+    totals: dict[str, Column] | None = None,
     gather: Sequence[str] = (),
 ) -> DataFrame:
     """Aggregate each run of consecutive ``tok_id`` opened by a ``head`` row.
 
     ``rows`` has ``keys``, ``blk``, ``tok_id`` and the boolean ``head``. A row
     that neither is a head nor follows its predecessor opens a run of its own.
-    ``first`` holds values of the opening row, ``lowest`` minima over the run,
-    ``gather`` columns collected in token order. Adds ``first_tok``, ``last_tok``.
+    ``first`` holds values of the opening row, ``lowest`` minima and ``totals`` sums
+    over the run, ``gather`` columns collected in token order (``items``). Adds
+    ``first_tok`` and ``last_tok``.
     """
-    lowest = lowest or {}
+    lowest, totals = lowest or {}, totals or {}
+    measures = {**lowest, **totals}
+    merge = [*(F.min(n).alias(n) for n in lowest), *(F.sum(n).alias(n) for n in totals)]
     c = F.col
     w = Window.partitionBy(*keys, "blk").orderBy("tok_id")
     at_border = (c("tok_id") - 1) % block == 0
@@ -47,14 +51,14 @@ def merge_islands(
         # The opening row's values are grouping keys, not aggregates: the
         # aggregation then needs no sort.
         .select(
-            *keys, "blk", "tok_id", *(col.alias(n) for n, col in lowest.items()), *gather,
+            *keys, "blk", "tok_id", *(col.alias(n) for n, col in measures.items()), *gather,
             F.coalesce("from.tok_id", F.lit(0)).alias("piece"), *(c(f"from.{n}").alias(n) for n in names),
         )
         .groupBy(*keys, "blk", "piece", *names)
         .agg(
             F.min("tok_id").alias("first_tok"),
             F.max("tok_id").alias("last_tok"),
-            *(F.min(n).alias(n) for n in lowest),
+            *merge,
             *([F.array_sort(F.collect_list(items)).alias("items")] if gather else []),
         )
     )
@@ -70,13 +74,13 @@ def merge_islands(
         pieces.withColumn("fresh", fresh)
         .withColumn("from", opening("fresh", across, F.struct("first_tok", *names)))
         .select(
-            *keys, "knot", "last_tok", *lowest, *(["items"] if gather else []),
+            *keys, "knot", "last_tok", *measures, *(["items"] if gather else []),
             c("from.first_tok").alias("first_tok"), *(c(f"from.{n}").alias(n) for n in names),
         )
         .groupBy(*keys, "knot", "first_tok", *names)
         .agg(
             F.max("last_tok").alias("last_tok"),
-            *(F.min(n).alias(n) for n in lowest),
+            *merge,
             *([F.array_sort(F.flatten(F.collect_list("items"))).alias("items")] if gather else []),
         )
     )

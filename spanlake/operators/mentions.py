@@ -28,10 +28,15 @@ def mentions(
         "token",
         "pos",
         "iob",
+        F.length("token").alias("length"),
         (~c("iob").startswith("I")).alias("head"),
         block_of("tok_id", block).alias("blk"),
     )
-    runs = merge_islands(rows, keys, block, first={"tag": c("iob")}, gather=("token", "pos"))
+    # Lengths are summed apart from the texts: statistics then never carry those.
+    runs = merge_islands(
+        rows, keys, block, first={"tag": c("iob")}, totals={"chars": c("length")}, gather=("token", "pos")
+    )
+    n_tokens = c("last_tok") - c("first_tok") + 1
     label = mention_type(c("tag"))
     found = runs.where(c("tag").startswith("B") & is_valid_type(coarse_type(label)))
 
@@ -45,8 +50,9 @@ def mentions(
         label.alias("subtype"),
         joined("token").alias("tokens"),
         joined("pos").alias("pos"),
-        F.size("items").cast("bigint").alias("n_tokens"),
-    ).withColumn("n_characters", F.length("tokens").cast("bigint"))
+        n_tokens.alias("n_tokens"),
+        (c("chars") + n_tokens - 1).alias("n_characters"),
+    )
 
 
 def by_type(found: DataFrame, coarse: str) -> DataFrame:

@@ -20,12 +20,14 @@ def length_crosstab(found: DataFrame, unit: str, max_len: int) -> DataFrame:
     """
     length = clip(F.col(UNITS[unit]), 0, max_len)
     lengths = [f"len_{i}" for i in range(1, max_len + 1)]
-    counts = found.rollup("type").agg(
-        F.grouping("type").alias("all_types"),
-        *(F.count_if(length == i + 1).cast("double").alias(c) for i, c in enumerate(lengths)),
-        F.count("*").cast("double").alias("total"),
+    cells = {c: F.count_if(length == i + 1).cast("double") for i, c in enumerate(lengths)}
+    per_type = found.groupBy("type").agg(
+        *(col.alias(c) for c, col in cells.items()), F.count("*").cast("double").alias("total")
     )
-    # From here on there is one row per type.
+    counts = per_type.rollup("type").agg(
+        F.grouping("type").alias("all_types"), *(F.sum(c).alias(c) for c in (*lengths, "total"))
+    )
+    # There is one row per type here.
     everything = Window.partitionBy()
     total = F.max("total").over(everything)
     share = F.when(F.col("all_types") == 0, round2(F.col("total") * 100 / F.col("grand")))
