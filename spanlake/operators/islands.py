@@ -17,6 +17,7 @@ def merge_islands(
     keys: Sequence[str],
     block: int,
     first: dict[str, Column],
+    wanted: Column,
     lowest: dict[str, Column] | None = None,
     totals: dict[str, Column] | None = None,
     gather: Sequence[str] = (),
@@ -25,9 +26,9 @@ def merge_islands(
 
     ``rows`` has ``keys``, ``blk``, ``tok_id`` and the boolean ``head``. A row
     that neither is a head nor follows its predecessor opens a run of its own.
-    ``first`` holds values of the opening row, ``lowest`` minima and ``totals`` sums
-    over the run, ``gather`` columns collected in token order (``items``). Adds
-    ``first_tok`` and ``last_tok``.
+    ``first`` holds values of the opening row, by which ``wanted`` picks the runs
+    to return; ``lowest`` minima and ``totals`` sums over the run, ``gather`` columns
+    collected in token order (``items``). Adds ``first_tok`` and ``last_tok``.
     """
     lowest, totals = lowest or {}, totals or {}
     measures = {**lowest, **totals}
@@ -66,6 +67,7 @@ def merge_islands(
     # each under its own grouping key.
     touches = (c("piece") == 0) | (c("last_tok") % block == 0)
     pieces = pieces.withColumn("knot", F.when(touches, F.lit(0)).otherwise(c("first_tok")))
+    pieces = pieces.where((c("knot") == 0) | wanted)
     across = Window.partitionBy(*keys, "knot").orderBy("first_tok")
     fresh = (c("piece") > 0) | ~F.coalesce(
         F.lag("last_tok").over(across) == c("first_tok") - 1, F.lit(False)
@@ -84,4 +86,4 @@ def merge_islands(
             *([F.array_sort(F.flatten(F.collect_list("items"))).alias("items")] if gather else []),
         )
     )
-    return merged.drop("knot")
+    return merged.where(wanted).drop("knot")

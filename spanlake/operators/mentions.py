@@ -33,12 +33,17 @@ def mentions(
         block_of("tok_id", block).alias("blk"),
     )
     # Lengths are summed apart from the texts: statistics then never carry those.
-    runs = merge_islands(
-        rows, keys, block, first={"tag": c("iob")}, totals={"chars": c("length")}, gather=("token", "pos")
+    label = mention_type(c("tag"))
+    found = merge_islands(
+        rows,
+        keys,
+        block,
+        first={"tag": c("iob")},
+        wanted=c("tag").startswith("B") & is_valid_type(coarse_type(label)),
+        totals={"chars": c("length")},
+        gather=("token", "pos"),
     )
     n_tokens = c("last_tok") - c("first_tok") + 1
-    label = mention_type(c("tag"))
-    found = runs.where(c("tag").startswith("B") & is_valid_type(coarse_type(label)))
 
     def joined(field: str) -> Column:
         return F.array_join(c("items")[field], " ")

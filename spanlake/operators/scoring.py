@@ -22,7 +22,7 @@ from spanlake.functions.tags import (
     tag_prefix,
     tag_type,
 )
-from spanlake.operators.blocks import BLOCK, block_of, with_ghosts
+from spanlake.operators.blocks import BLOCK, with_ghosts
 from spanlake.operators.islands import merge_islands
 
 SENTENCE = ("doc_id", "sent_id")
@@ -311,16 +311,17 @@ def chunk_spans(
         c("tag_t").alias("type"),
         chunk_start("before_tag", "tag").alias("head"),
         chunk_end("tag", "after_tag").alias("ends"),
-        block_of("tok_id", block).alias("blk"),
+        "blk",
     )
     chunks = merge_islands(
         rows,
         keys,
         block,
         first={"type": c("type"), "open": c("head")},
+        wanted=c("open"),
         lowest={"stop": F.when(c("ends"), c("tok_id"))},
     )
-    return chunks.where("open").select(
+    return chunks.select(
         *keys,
         c("first_tok").alias("start"),
         F.coalesce("stop", "last_tok").alias("end"),
