@@ -250,18 +250,17 @@ def number_tokens(spark, sf):
     return labels.label_tokens(rows).select("doc_id", "sent_id", "tok_id", "token", "iob")
 
 
-def _shapes(sentences):
+@query
+def annotate_hook(spark, sf):
     def shape(token):
         first = token[0]
         return "X" if first.isupper() else "x" if first.islower() else "d" if first.isnumeric() else "p"
 
-    return [[shape(t) for t in s] for s in sentences]
-
+    def shapes(sentences):
+        return [[shape(t) for t in s] for s in sentences]
 
-@query
-def annotate_hook(spark, sf):
     words = X.words(spark, sf).select("doc_id", "sent_id", "tok_id", "token")
-    return labels.annotate(words, _shapes)
+    return labels.annotate(words, shapes)
 
 
 @query
