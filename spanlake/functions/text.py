@@ -16,12 +16,15 @@ from spanlake.functions.inventory import HYPHEN_PRONOUNS, LABELS
 WS = r"[\s\x1c-\x1f]"
 WORD = r"[\p{L}\p{N}_]"
 LINE_BREAK = r"\r\n|\r|\n"
-TOKEN = r"(?U)(\p{L}+['’]|[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*|[^\s\x1c-\x1f])"
+TOKEN = r"(?U)(\p{L}++['’]|[\p{L}\p{N}]++(?:-[\p{L}\p{N}]++)*+|[^\s\x1c-\x1f])"
 
 
 def strip_ws(col: Column) -> Column:
-    """Trim every kind of whitespace (``trim`` only removes the space)."""
-    return F.regexp_replace(col, rf"(?U)\A{WS}+|{WS}+\z", "")
+    """Trim every kind of whitespace (``trim`` only removes the space).
+
+    The lookbehind keeps long runs of whitespace inside the text linear.
+    """
+    return F.regexp_replace(col, rf"(?U)\A{WS}++|(?<!{WS}){WS}++\z", "")
 
 
 def squash(col: Column) -> Column:

@@ -12,7 +12,7 @@ BOUNDARY = "-X-"
 def _fields(value: Column, delimiter: str) -> Column:
     """Fields of a line; empty ones at its end do not count."""
     quoted = "".join("\\" + x if not x.isalnum() and x != "_" else x for x in delimiter)
-    body = F.regexp_replace(value, rf"(?:{quoted})+\z", "")
+    body = F.regexp_replace(value, rf"(?<!{quoted})(?:{quoted})++\z", "")
     return F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, quoted))
 
 

@@ -141,3 +141,16 @@ def test_report_of_raw_tags(spark):
     lines = [r.line for r in jobs.pairs_to_report(pairs, raw=True, outside="_").collect()]
     assert lines[0] == "processed 2 tokens with 1 phrases; found: 2 phrases; correct: 1."
     assert jobs.pairs_to_report(pairs, style="latex", raw=True, outside="_").count() == 4
+
+
+def test_extreme_documents(spark):
+    """Long runs of anything take linear time and no deep recursion."""
+    texts = {
+        "spaces": ("<name> x </name>" + " " * 300000 + "y.\n", 3),
+        "hyphens": ("a-b-" * 100000 + "c", 1),
+        "quotes": ("a <name " + '"a" ' * 20000 + ">x</name>", 2),
+        "depth": ("<name>" * 5000 + "x" + "</name>" * 5000, 1),
+    }
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts.values())], "doc_id bigint, text string")
+    counts = {r.doc_id: r["count"] for r in jobs.documents_to_tokens(docs).groupBy("doc_id").count().collect()}
+    assert counts == {i: n for i, (_, n) in enumerate(texts.values())}
