@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from spanlake.llm import chat, secret_scan
+from spanlake.llm import bpe, chat, secret_scan, token_counts, token_ids
 from spanlake.llm.shared import documents
+from spanlake.sources.workspace import new_folder
 
 QUERIES = {}
 
@@ -21,6 +22,34 @@ def joined(spans: Column, kinds: tuple[str, ...] | None = None) -> Column:
     return F.array_join(F.transform(kept, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+@query
+def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "token-ids")
+    token_ids.write_ids(documents(spark, sf_dir), folder)
+    return token_ids.read_documents(spark, folder).select(
+        "doc_id", "start", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+    )
+
+
+@query
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(bpe.encode(documents(spark, sf_dir).select("doc_id", "text")))
+
+
+def bpe_digests(encoded: DataFrame) -> DataFrame:
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, sf_dir), rule="most")
+
+
 @query
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(documents(spark, sf_dir).select("doc_id", "text"))
