@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from spanlake.llm import bpe, chat, secret_scan, token_counts, token_ids
+from spanlake.llm import bpe, chat, decontam, secret_scan, token_counts, token_ids
 from spanlake.llm.shared import documents
 from spanlake.sources.workspace import new_folder
 
@@ -78,3 +78,14 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(loss, 256).alias("loss_sha256"),
         F.length("formatted").cast("bigint").alias("formatted_chars"),
     )
+
+
+@query
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontam.match(documents(spark, sf_dir).select("doc_id", "text"), benchmark).select(
+        "doc_id", "n_words", "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        decontam.contaminated().alias("contaminated"),
+    )
