@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from spanlake.llm import bpe, chat, decontam, secret_scan, token_counts, token_ids
+from spanlake.llm import bpe, chat, decontam, quality, secret_scan, token_counts, token_ids
 from spanlake.llm.shared import documents
 from spanlake.sources.workspace import new_folder
 
@@ -89,3 +89,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         decontam.contaminated().alias("contaminated"),
     )
+
+
+@query
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(documents(spark, sf_dir).select("doc_id", "lang", "text"), keep=("doc_id", "lang"))
+    return judged.select("doc_id", *quality.METRICS, "base_failed", "kept", "score", "lower", "upper")
