@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from spanlake.llm import bpe, chat, decontam, quality, secret_scan, token_counts, token_ids
+from spanlake.llm import bpe, chat, decontam, near_dups, quality, secret_scan, token_counts, token_ids
 from spanlake.llm.shared import documents
 from spanlake.sources.workspace import new_folder
 
@@ -36,9 +36,9 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(bpe.encode(documents(spark, sf_dir).select("doc_id", "text")))
 
 
-def bpe_digests(encoded: DataFrame) -> DataFrame:
+def bpe_digests(encoded: DataFrame, *more: str) -> DataFrame:
     return encoded.select(
-        "doc_id",
+        "doc_id", *more,
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
@@ -50,6 +50,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), rule="most")
 
 
+@query
+def op2_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(documents(spark, sf_dir))
+
+
 @query
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(documents(spark, sf_dir).select("doc_id", "text"))
