@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from spanlake.llm import bpe, chat, decontam, near_dups, quality, secret_scan, token_counts, token_ids
+from spanlake.llm import bpe, chat, decontam, near_dups, quality, repeats, secret_scan, token_counts, token_ids
 from spanlake.llm.shared import documents
 from spanlake.sources.workspace import new_folder
 
@@ -100,3 +100,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(documents(spark, sf_dir).select("doc_id", "lang", "text"), keep=("doc_id", "lang"))
     return judged.select("doc_id", *quality.METRICS, "base_failed", "kept", "score", "lower", "upper")
+
+
+@query
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(documents(spark, sf_dir)).select(
+        "doc_id", "n_bytes", "n_removed",
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
