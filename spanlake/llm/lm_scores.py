@@ -1,0 +1,297 @@
+"""Stupid-backoff scores of every document under a bigram model of the whole corpus.
+
+    S(w | v) = c(v w) / c(v)        where the pair occurs ``LEAST`` times or more
+             = 0.4 * c(w) / N       otherwise
+    S(w)     = c(w) / N             for the first word
+
+Words are ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased. The vocabulary holds the words with at
+least t occurrences, t the smallest power of two for which there are at most
+``VOCABULARY`` of them (which bounds what is broadcast, 12 MB); the rest are one word.
+
+The pair counts are tables partitioned by hash, joined with the documents' pairs:
+
+* In each task the pairs of each document are counted, dealt to buckets by hash, sorted
+  and packed (differences of keys, documents, counts; byte planes under zstandard).
+* A bucket's blocks come together, which gives its count table; the pairs of every
+  document are joined with it, and the terms summed by document.
+* The sums of all buckets are brought back to the documents' own block and added.
+
+At most ``1 / FREQUENT`` words make up ``FREQUENT`` of all words each; only pairs of these
+can be as frequent, so such pairs are counted apart (at most a million, broadcast) and no
+bucket gets a pair that a large share of the documents holds.
+
+Defined results: a null text is empty; a document without words has 0 words, a sum of 0
+and a null mean; rows with equal ids are scored apart; an empty table gives no rows.
+"""
+
+from __future__ import annotations
+
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext, cloudpickle
+from pyspark.sql import DataFrame, functions as F
+
+from spanlake.llm.shared import lowered, mix, segment_hashes, slices, space_words, stored, utf8
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+VOCABULARY = 1 << 20
+FREQUENT = 0.001
+LEAST = 2
+BACKOFF = 0.4
+BUCKETS, BUCKET_WORDS = 256, 8_000_000
+BLOCK = 1 << 24  # bytes of text behind one set of packed blocks
+SHIFT = 21  # bits of a word's number
+
+
+def hashed_words(part: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of a string column and the rows' bounds."""
+    data, offsets = utf8(part)
+    low = lowered(data)
+    starts, ends, bounds = space_words(low, offsets)
+    return segment_hashes(low, starts, ends), bounds
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[head], np.add.reduceat(counts, head) if len(head) else counts[:0]
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``(word, n)``: occurrences of each word hash, summed in each task before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for batch in batches:
+            for at, to in slices(batch.column(0)):
+                words, _ = hashed_words(batch.column(0).slice(at, to - at))
+                new, n = np.unique(words, return_counts=True)
+                keys, counts = summed(np.concatenate([keys, new]), np.concatenate([counts, n]))
+                if len(keys) > 2_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["word", "n"])
+                    keys, counts = keys[:0], counts[:0]
+        if len(keys):
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["word", "n"])
+
+    return docs.select("text").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+class Words:
+    """The vocabulary: sorted hashes and counts; number ``len(hashes)`` is the rest."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int) -> None:
+        order = np.argsort(hashes)
+        self.hashes, self.total = hashes[order], total
+        self.counts = np.append(counts[order], total - counts.sum())
+        self.frequent = np.flatnonzero(self.counts >= max(1, FREQUENT * total))
+        self.rank = np.full(len(self.counts), -1, np.int32)
+        self.rank[self.frequent] = np.arange(len(self.frequent))
+
+    def numbers(self, words: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.zeros(len(words), np.int64)
+        place = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
+        return np.where(self.hashes[place] == words, place, len(self.hashes))
+
+
+def vocabulary(counts: DataFrame, size: int = VOCABULARY) -> Words:
+    powers = [1 << k for k in range(44)]
+    row = counts.agg(F.sum("n"), *(F.count(F.when(F.col("n") >= p, 1)) for p in powers)).first()
+    least = next(p for p, n in zip(powers, row[1:]) if n <= size)
+    kept = counts.where(F.col("n") >= least).toArrow()
+    return Words(
+        kept.column("word").to_numpy().view(np.uint64), kept.column("n").to_numpy().astype(np.int64), row[0] or 0
+    )
+
+
+def frequent_pairs(docs: DataFrame, words: Words) -> np.ndarray:
+    """Counts of all pairs of frequent words, as a square table."""
+    side = len(words.frequent)
+    sent = docs.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(side * side, np.int64)
+        for batch in batches:
+            for at, to in slices(batch.column(0)):
+                hashes, bounds = hashed_words(batch.column(0).slice(at, to - at))
+                left, right, _, _ = pairs_of(sent.value.numbers(hashes), bounds)
+                a, b = sent.value.rank[left].astype(np.int64), sent.value.rank[right]
+                both = (a >= 0) & (b >= 0)
+                counts += np.bincount((a * side + b)[both], minlength=side * side)
+        seen = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], names=["pair", "n"])
+
+    table = np.zeros(side * side, np.int64)
+    if side:
+        rows = docs.select("text").mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+        table[rows.column("pair").to_numpy()] = rows.column("n").to_numpy()
+    return table
+
+
+def pairs_of(numbers: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Neighbouring words within rows: left, right, row; and which words begin a row."""
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    begins = np.zeros(len(numbers), bool)
+    begins[bounds[:-1][np.diff(bounds) > 0]] = True
+    second = np.flatnonzero(~begins)
+    return numbers[second - 1], numbers[second], row[second], begins
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Byte planes of the values under zstandard."""
+    import zstandard
+
+    values = np.ascontiguousarray(values)
+    planes = values.view(np.uint8).reshape(len(values), -1).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def unpacked(raw: bytes, kind: type) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(planes.reshape(size, -1).T).reshape(-1).view(kind)
+
+
+BLOCKS = "block bigint, bucket int, ids binary, keys binary, rows binary, counts binary"
+
+
+def blocks(docs: DataFrame, words: Words, table: np.ndarray, buckets: int) -> DataFrame:
+    """Packed pairs by block and bucket; bucket -1 holds the block's documents and local terms."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sent = docs.sparkSession.sparkContext.broadcast((words, table))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, table = sent.value
+        total = max(words.total, 1)
+        logs = np.log(np.maximum(words.counts, 1))
+        backed = np.log(BACKOFF) + logs - np.log(total)
+        side = len(words.frequent)
+        # 2**20 blocks a task, 2**43 tasks.
+        number = TaskContext.get().partitionId() << 20
+        ids, sizes, terms, keys, rows, held, done = [], [], [], [], [], 0, 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal number, ids, sizes, terms, keys, rows, held, done
+            documents = pa.RecordBatch.from_arrays(
+                [pa.concat_arrays(ids), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(terms))],
+                names=["doc_id", "n_words", "log_score"],
+            )
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, documents.schema) as writer:
+                writer.write_batch(documents)
+            out = [(number, -1, sink.getvalue().to_pybytes(), b"", b"", b"")]
+            key, row = np.concatenate(keys), np.concatenate(rows)
+            order = np.lexsort((row, key))
+            key, row = key[order], row[order]
+            head = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])])) if len(key) else np.zeros(0, np.int64)
+            times = np.diff(np.concatenate([head, [len(key)]]))
+            key, row = key[head], row[head]
+            bucket = (mix(key.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            for b in range(buckets):
+                mine = order[cuts[b] : cuts[b + 1]]
+                if len(mine):
+                    steps = np.diff(key[mine], prepend=0)
+                    out.append((number, b, b"", packed(steps), packed(row[mine].astype(np.int32)), packed(times[mine].astype(np.int32))))
+            number += 1
+            ids, sizes, terms, keys, rows, held, done = [], [], [], [], [], 0, 0
+            kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 4)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=["block", "bucket", "ids", "keys", "rows", "counts"]
+            )
+
+        for batch in batches:
+            for at, to in slices(batch.column(1)):
+                part = batch.slice(at, to - at)
+                hashes, bounds = hashed_words(part.column(1))
+                numbers = words.numbers(hashes)
+                left, right, row, begins = pairs_of(numbers, bounds)
+                term = np.where(begins, logs[numbers] - np.log(total), backed[numbers])
+                # Pairs of frequent words are settled here.
+                a, b = words.rank[left].astype(np.int64), words.rank[right]
+                both = (a >= 0) & (b >= 0)
+                n = np.zeros(len(left), np.int64)
+                n[both] = table[(a * side + b)[both]]
+                gain = np.where(n >= LEAST, np.log(np.maximum(n, 1)) - logs[left] - backed[right], 0.0)
+                size = np.diff(bounds)
+                sums = np.bincount(np.repeat(np.arange(len(size)), size), term, len(size)) + np.bincount(row, gain, len(size))
+                ids.append(part.column(0))
+                sizes.append(size.astype(np.int64))
+                terms.append(sums)
+                keys.append((left << SHIFT | right)[~both])
+                rows.append(row[~both] + done)
+                done += part.num_rows
+                held += int(size.sum()) * 6
+                if held >= BLOCK:
+                    yield flush()
+        if ids:
+            yield flush()
+
+    return docs.select(F.col("doc_id").cast(kind), "text").mapInArrow(run, BLOCKS)
+
+
+def bucket_sums(packed_blocks: DataFrame, words: Words) -> DataFrame:
+    """``(block, rows, gains)``: what the pairs of a bucket add to the documents of each block."""
+    sent = packed_blocks.sparkSession.sparkContext.broadcast(words)
+
+    def scored(group: pa.Table) -> pa.Table:
+        words = sent.value
+        logs = np.log(np.maximum(words.counts, 1))
+        backed = np.log(BACKOFF) + logs - np.log(max(words.total, 1))
+        numbers = group.column("block").to_pylist()
+        keys = [np.cumsum(unpacked(x.as_py(), np.int64)) for x in group.column("keys")]
+        counts = [unpacked(x.as_py(), np.int32) for x in group.column("counts")]
+        known, total = summed(np.concatenate(keys), np.concatenate(counts).astype(np.int64))
+        enough = total >= LEAST
+        known, total = known[enough], total[enough]
+        value = np.log(total) - logs[known >> SHIFT] - backed[known & ((1 << SHIFT) - 1)]
+        out = []
+        for number, key, count, raw in zip(numbers, keys, counts, group.column("rows")):
+            if not len(known):
+                break
+            place = np.minimum(np.searchsorted(known, key), len(known) - 1)
+            hit = known[place] == key
+            if hit.any():
+                row, back = np.unique(unpacked(raw.as_py(), np.int32)[hit], return_inverse=True)
+                gain = np.bincount(back, value[place[hit]] * count[hit])
+                out.append((number, packed(np.diff(row, prepend=0).astype(np.int32)), gain.astype("<f8").tobytes()))
+        kinds = (pa.int64(), pa.binary(), pa.binary())
+        columns = zip(*out) if out else ((), (), ())
+        return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], names=["block", "rows", "gains"])
+
+    return packed_blocks.where("bucket >= 0").select("block", "bucket", "keys", "rows", "counts").groupBy("bucket").applyInArrow(
+        scored, "block bigint, rows binary, gains binary"
+    )
+
+
+def score(docs: DataFrame, size: int = VOCABULARY, buckets: int = BUCKETS) -> DataFrame:
+    """``(doc_id, n_words, log_score, mean_log_score)`` of every document."""
+    counts = stored(word_counts(docs), "word-counts")
+    words = vocabulary(counts, size)
+    buckets = max(buckets, -(-words.total // BUCKET_WORDS))
+    made = stored(blocks(docs, words, frequent_pairs(docs, words), buckets), "pair-blocks")
+    sums = bucket_sums(made, words)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def added(key: tuple, documents: pa.Table, gains: pa.Table) -> pa.Table:
+        with pa.ipc.open_stream(documents.column("ids")[0].as_py()) as reader:
+            table = reader.read_all()
+        total = table.column("log_score").to_numpy().copy()
+        for rows, gain in zip(gains.column("rows"), gains.column("gains")):
+            total[np.cumsum(unpacked(rows.as_py(), np.int32))] += np.frombuffer(gain.as_py(), "<f8")
+        return table.set_column(2, "log_score", pa.array(total))
+
+    documents = made.where("bucket = -1").select("block", "ids").groupBy("block")
+    scored = documents.cogroup(sums.groupBy("block")).applyInArrow(
+        added, f"doc_id {kind}, n_words bigint, log_score double"
+    )
+    mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
+    return scored.withColumn("mean_log_score", mean)

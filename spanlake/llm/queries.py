@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from spanlake.llm import bpe, chat, decontam, near_dups, quality, repeats, secret_scan, token_counts, token_ids
+from spanlake.llm import bpe, chat, decontam, lm_scores, near_dups, quality, repeats, secret_scan, token_counts, token_ids
 from spanlake.llm.shared import documents
 from spanlake.sources.workspace import new_folder
 
@@ -26,9 +26,7 @@ def joined(spans: Column, kinds: tuple[str, ...] | None = None) -> Column:
 def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "token-ids")
     token_ids.write_ids(documents(spark, sf_dir), folder)
-    return token_ids.read_documents(spark, folder).select(
-        "doc_id", "start", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
-    )
+    return token_ids.read_digests(spark, folder).withColumnRenamed("crc", "ids_crc32")
 
 
 @query
@@ -67,6 +65,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores.score(documents(spark, sf_dir))
+
+
 @query
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
