@@ -249,12 +249,12 @@ def match(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, shard: int = S
     ``items`` the sorted ids of the items with a window in the document.
     """
     docs = docs.select(*(c for c in docs.columns if c not in ADDED))
-    pieces = stored(item_pieces(benchmark, n).distinct(), "benchmark-words")
+    pieces = stored(item_pieces(benchmark, n, min(PIECE, shard)).distinct(), "benchmark-words")
     total = pieces.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-total // shard))
     dealt = lambda: F.pmod(F.xxhash64("item", "words"), F.lit(shards))
     # Dealt by hash, so a shard may be larger than the mean: then more shards are made.
-    while shards > 1 and pieces.groupBy(dealt()).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] > 2 * shard:
+    while shards > 1 and pieces.groupBy(dealt()).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] > 2 * shard + n:
         shards *= 2
     for k in range(shards):
         rows = pieces.where(dealt() == k).select("item", "short", "words").collect()
