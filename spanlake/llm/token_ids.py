@@ -21,9 +21,11 @@ ids are kept, in order of text; null ids come first; an empty table gives no chu
 from __future__ import annotations
 
 import sys
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -33,6 +35,8 @@ from spanlake.llm.pieces import Memory, cached
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK = 1 << 16
+SPACE = "\u0120"  # how this library's byte-level vocabularies write a space
+TOGETHER = 100
 DOCS = "array<struct<number:bigint,doc_id:bigint,piece:int,place:int,n:int,ends:boolean>>"
 CHUNKS = f"shard int, chunk bigint, first bigint, n_ids int, docs {DOCS}, sizes array<int>, body binary"
 
@@ -68,11 +72,25 @@ def library_memory(name: str) -> Memory:
         tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         tokenizer.encode_special_tokens = True
 
-        def encode(texts: list[str]) -> Iterator[bytes]:
-            for x in tokenizer.encode_batch(texts, add_special_tokens=False):
-                yield np.array(x.ids, "<u4").tobytes()
+        spaced = np.zeros(tokenizer.get_vocab_size(), bool)
+        spaced[[i for token, i in tokenizer.get_vocab().items() if token[0] == SPACE]] = True
 
-        return Memory(encode)
+        def encode(texts: list[str]) -> Iterator[bytes]:
+            # Stretches that begin with a space and hold no other go together: a call costs
+            # more than a word, and a token with a space in front begins the next stretch.
+            if len(texts) == 1 or not all(t[0] == " " and t.count(" ") == 1 for t in texts):
+                for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+                    yield np.array(x.ids, "<u4").tobytes()
+                return
+            together = ["".join(texts[i : i + TOGETHER]) for i in range(0, len(texts), TOGETHER)]
+            for x in tokenizer.encode_batch_fast(together, add_special_tokens=False):
+                ids = np.array(x.ids, "<u4")
+                cuts = (4 * np.flatnonzero(spaced[ids])).tolist()
+                raw = ids.tobytes()
+                for a, b in zip(cuts, [*cuts[1:], len(raw)]):
+                    yield raw[a:b]
+
+        return Memory(encode, 400_000)
 
     return cached(("library", name), make)
 
@@ -136,12 +154,13 @@ def write_ids(
     ordered.mapInArrow(run, CHUNKS).write.parquet(folder)
 
 
-def read_pieces(spark: SparkSession, folder: str) -> DataFrame:
+def read_pieces(spark: SparkSession, folder: str, digest: bool = False) -> DataFrame:
     """``(shard, number, doc_id, piece, ends, at, ids)``: documents cut at chunk borders.
 
-    ``at`` is the place in the shard, ``ids`` are little-endian 32-bit integers.
+    ``at`` is the place in the shard, ``ids`` are little-endian 32-bit integers; with
+    ``digest`` their number and crc32 come in their place, ``n`` and ``crc``.
     """
-    names = ("shard", "number", "doc_id", "piece", "ends", "at", "ids")
+    names = ["shard", "number", "doc_id", "piece", "ends", "at", *(("n", "crc") if digest else ("ids",))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -154,6 +173,10 @@ def read_pieces(spark: SparkSession, folder: str) -> DataFrame:
                 planes = [expand.decompress(row["body"][a:b]) for a, b in zip([0, *ends], ends)]
                 ids = from_planes(planes, row["n_ids"]).astype("<u4").tobytes()
                 docs = row["docs"]
+                parts = [ids[4 * d["place"] : 4 * (d["place"] + d["n"])] for d in docs]
+                last = [pa.array(parts, pa.binary())] if not digest else [
+                    pa.array([d["n"] for d in docs], pa.int64()), pa.array([zlib.crc32(x) for x in parts], pa.int64())
+                ]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([row["shard"]] * len(docs), pa.int32()),
                     pa.array([d["number"] for d in docs], pa.int64()),
@@ -161,12 +184,65 @@ def read_pieces(spark: SparkSession, folder: str) -> DataFrame:
                     pa.array([d["piece"] for d in docs], pa.int32()),
                     pa.array([d["ends"] for d in docs], pa.bool_()),
                     pa.array([row["first"] + d["place"] for d in docs], pa.int64()),
-                    pa.array([ids[4 * d["place"] : 4 * (d["place"] + d["n"])] for d in docs], pa.binary()),
+                    *last,
                 ], names=names)
 
     chunks = spark.read.schema(CHUNKS).parquet(folder)
     return chunks.mapInArrow(
-        run, "shard int, number bigint, doc_id bigint, piece int, ends boolean, at bigint, ids binary"
+        run, "shard int, number bigint, doc_id bigint, piece int, ends boolean, at bigint, "
+        + ("n bigint, crc bigint" if digest else "ids binary"),
+    )
+
+
+def _times(matrix: list[int], vector: int) -> int:
+    out, i = 0, 0
+    while vector:
+        if vector & 1:
+            out ^= matrix[i]
+        vector >>= 1
+        i += 1
+    return out
+
+
+def crc_joined(one: int, two: int, size: int) -> int:
+    """crc32 of two stretches of bytes from the crc32 of each and the second's size.
+
+    ``size`` zero bytes behind the first stretch act on its crc as a linear map over bits;
+    the map of one zero bit is squared up to the size's binary digits.
+    """
+    power = [0xEDB88320, *(1 << i for i in range(31))]
+    bits = 8 * size
+    while bits:
+        if bits & 1:
+            one = _times(power, one)
+        power = [_times(power, row) for row in power]
+        bits >>= 1
+    return one ^ two
+
+
+def read_digests(spark: SparkSession, folder: str) -> DataFrame:
+    """``(doc_id, start, n_tokens, crc)`` of every document, from one decoding of its chunks.
+
+    Only numbers are shuffled; the pieces of a document are put together by their sizes.
+    """
+
+    def together(pieces: pd.Series) -> pd.Series:
+        out = []
+        for rows in pieces:
+            crc = 0
+            for k, r in enumerate(sorted(rows, key=lambda r: r["piece"])):
+                crc = crc_joined(crc, r["crc"], 4 * r["n"]) if k else r["crc"]
+            out.append(crc)
+        return pd.Series(out, dtype="int64")
+
+    documents = read_pieces(spark, folder, digest=True).groupBy("shard", "number").agg(
+        F.first("doc_id").alias("doc_id"), F.min("at").alias("at"), F.sum("n").alias("n_tokens"),
+        F.collect_list(F.struct("piece", "n", "crc")).alias("pieces"),
+    )
+    joined = F.pandas_udf(together, "bigint")
+    crc = F.when(F.size("pieces") == 1, F.col("pieces")[0]["crc"]).otherwise(joined("pieces"))
+    return documents.withColumn("crc", crc).join(shard_starts(spark, folder), "shard").select(
+        "doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "crc"
     )
 
 
