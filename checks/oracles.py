@@ -240,6 +240,21 @@ FROM tokens WHERE iob <> 'O'""")
 # Fragments, sentences, labels
 
 ORACLES["fragments"] = sql(FRAGMENTS, "SELECT * FROM frags")
+LENIENT = [
+    """final AS (SELECT doc_id, max(sent_id) AS sent_id, max_by(tok_id, sent_id * 100000 + tok_id) AS tok_id FROM tagged GROUP BY doc_id)""",
+    """ended AS (
+  SELECT doc_id, sent_id, tok_id, token, p, ty FROM tagged
+  UNION ALL SELECT doc_id, sent_id, tok_id + 1, 'x', 'O', '' FROM final WHERE doc_id % 4 = 0
+  UNION ALL SELECT doc_id, sent_id, tok_id + 1, 'x', 'B', 'title' FROM final WHERE doc_id % 4 = 1
+  UNION ALL SELECT doc_id, sent_id, tok_id + 1, 'ab', 'B', 'day' FROM final WHERE doc_id % 4 = 2
+  UNION ALL SELECT doc_id, sent_id, tok_id + 2, 'c', 'O', '' FROM final WHERE doc_id % 4 = 2)""",
+]
+_PLAIN_FRAGMENTS = fragments_sql(False)
+_NEAR = next(i for i, cte in enumerate(_PLAIN_FRAGMENTS) if cte.startswith("near AS"))
+ORACLES["fragments_lenient"] = sql(
+    [*_PLAIN_FRAGMENTS[:_NEAR], *LENIENT, *(c.replace("FROM tagged WINDOW", "FROM ended WINDOW") for c in _PLAIN_FRAGMENTS[_NEAR:])],
+    "SELECT * FROM frags",
+)
 ORACLES["corrections"] = sql(fragments_sql(True), "SELECT * FROM frags")
 ORACLES["markup_errors"] = sql(ANNOTATED, """
 SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN -1 WHEN 1 THEN 1 ELSE 0 END::BIGINT AS unclosed,
@@ -326,6 +341,13 @@ SELECT coalesce(p.doc_id, q.doc_id) AS doc_id, coalesce(p.sent_id, q.sent_id) AS
        p.gold, q.guess, CASE WHEN q.doc_id IS NULL THEN 'gold_only' WHEN p.doc_id IS NULL THEN 'guess_only' ELSE 'matched' END AS status
 FROM pairs p FULL JOIN pred q ON p.doc_id = q.doc_id AND p.sent_id = q.sent_id AND p.tok_id = q.tok_id""")
 
+ORACLES["score_aligned"] = sql(PAIRS, """,
+whole AS (
+  SELECT * FROM pairs ANTI JOIN (
+    SELECT DISTINCT doc_id, sent_id FROM pairs WHERE (doc_id + sent_id + tok_id) % 11 IN (0, 1)) USING (doc_id, sent_id))
+SELECT count(*) AS tokens, count(*) FILTER (gold = guess) AS matched, 100 * (count(*) FILTER (gold = guess))::DOUBLE / count(*) AS accuracy
+FROM whole""")
+
 # Mentions and statistics
 
 MENTIONS = TOKENS + [
@@ -349,10 +371,10 @@ ORACLES["token_counts"] = sql(TOKENS, "SELECT data_set, count(*) AS n_tokens FRO
 
 def _crosstab(value: str, longest: int) -> str:
     cells = ", ".join(
-        f"(count(*) FILTER (least({value}, {longest}) = {i}))::DOUBLE AS len_{i}" for i in range(1, longest + 1)
+        f"(count(*) FILTER (least({value}, {longest}) = {i}))::DOUBLE AS len_{i}" for i in range(longest + 1)
     )
-    shares = ", ".join(f"round_even(len_{i} * 100 / total * 100, 0) / 100 AS len_{i}" for i in range(1, longest + 1))
-    names = ", ".join(f"len_{i}" for i in range(1, longest + 1))
+    shares = ", ".join(f"round_even(len_{i} * 100 / total * 100, 0) / 100 AS len_{i}" for i in range(longest + 1))
+    names = ", ".join(f"len_{i}" for i in range(longest + 1))
     return sql(MENTIONS, f""",
 by_type AS (SELECT type, {cells}, count(*)::DOUBLE AS total FROM mentions GROUP BY type),
 shared AS (SELECT *, round_even(total * 100 / (SELECT sum(total) FROM by_type) * 100, 0) / 100 AS percent FROM by_type),
@@ -402,8 +424,10 @@ SPLIT = PLAIN + [
 ]
 ORACLES["plain_sentences"] = sql(PLAIN, "SELECT * FROM plain")
 ORACLES["corpus_split"] = sql(SPLIT, "SELECT doc_id, sent_id, rank, split, text FROM split")
-ORACLES["train_shards"] = sql(SPLIT, "SELECT doc_id, sent_id, rank, split, shard FROM shards WHERE shard <= 100")
-ORACLES["split_files"] = sql(SPLIT, "SELECT split, shard, text FROM shards WHERE shard <= 100")
+ORACLES["train_shards_equal"] = sql(SPLIT, "SELECT doc_id, sent_id, rank, split, shard FROM shards WHERE shard <= 100")
+EVEN = "CASE WHEN split = 'train' THEN rank * 100 // n_train + 1 ELSE 0 END::BIGINT AS shard"
+ORACLES["train_shards"] = sql(SPLIT, f"SELECT doc_id, sent_id, rank, split, {EVEN} FROM split")
+ORACLES["split_files"] = sql(SPLIT, f"SELECT split, {EVEN}, text FROM split")
 ORACLES["union_corpora"] = sql(PAIRS, """
 SELECT data_set, iob, count(*) AS n
 FROM (SELECT 'gold' AS data_set, gold AS iob FROM pairs UNION ALL SELECT 'guess', guess FROM pairs) GROUP BY ALL""")

@@ -200,6 +200,11 @@ def fragments_(spark, sf):
 QUERIES["fragments"] = QUERIES.pop("fragments_")
 
 
+@query
+def fragments_lenient(spark, sf):
+    return fragments.fragments(X.broken(spark, sf))
+
+
 @query
 def corrections(spark, sf):
     return fragments.fragments(X.annotated(spark, sf), mode="c")
@@ -276,6 +281,12 @@ def align_pairs(spark, sf):
     return scoring.align(X.tokens(spark, sf), X.predictions(spark, sf))
 
 
+@query
+def score_aligned(spark, sf):
+    whole, _ = scoring.whole_sentences(scoring.align(X.tokens(spark, sf), X.predictions(spark, sf)))
+    return scoring.token_accuracy(whole)
+
+
 @query
 def chunk_flags(spark, sf):
     return scoring.chunk_flags(X.pairs(spark, sf).select("doc_id", "sent_id", "tok_id", "gold", "guess"))
@@ -392,6 +403,12 @@ def train_shards(spark, sf):
     return rows.select("doc_id", "sent_id", "rank", "split", "shard")
 
 
+@query
+def train_shards_equal(spark, sf):
+    rows = splits.shard(splits.split(splits.plain_text(X.tokens(spark, sf))), equal=True)
+    return rows.select("doc_id", "sent_id", "rank", "split", "shard")
+
+
 @query
 def union_corpora(spark, sf):
     p = X.pairs(spark, sf)

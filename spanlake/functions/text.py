@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from html.entities import name2codepoint
 
 from pyspark.sql import Column, functions as F
 
@@ -16,6 +17,7 @@ from spanlake.functions.inventory import HYPHEN_PRONOUNS, LABELS
 WS = r"[\s\x1c-\x1f]"
 WORD = r"[\p{L}\p{N}_]"
 LINE_BREAK = r"\r\n|\r|\n"
+SENTENCE_END = (".", "!", "?")
 TOKEN = r"(?U)(\p{L}++['’]|[\p{L}\p{N}]++(?:-[\p{L}\p{N}]++)*+|[^\s\x1c-\x1f])"
 
 
@@ -55,16 +57,67 @@ def escape_unknown_tags(col: Column, labels: Sequence[str] = LABELS) -> Column:
     return F.regexp_replace(F.regexp_replace(col, pattern, "*"), pattern, "*")
 
 
+def _last(col: Column, n: int) -> Column:
+    return F.right(col, F.lit(n))
+
+
+def _ends_line(line: Column, above: Column) -> Column:
+    """A line that a newline must follow: its end is a sentence's, or a capital.
+
+    A closing quote may stand behind the full stop, and one white space between them,
+    which can be the line break ``above`` ends with.
+    """
+    inner = F.substr(line, F.lit(1), F.length(line) - 1)
+    stop = _last(inner, 1)
+    spaced = stop.rlike(rf"(?U)^{WS}$") & (_last(F.substr(inner, F.lit(1), F.length(inner) - 1), 1) == ".")
+    alone = (line == "»") & (_last(above, 1) == ".")
+    quoted = (_last(line, 1) == "»") & ((stop == ".") | spaced)
+    return _last(line, 1).isin(*SENTENCE_END) | is_capital(_last(line, 1)) | quoted | alone
+
+
+def is_capital(char: Column) -> Column:
+    return char.between("A", "Z") & (F.length(char) == 1)
+
+
 def unwrap_lines(col: Column) -> Column:
-    """Newline to space, except after a sentence end or around a capital."""
-    return F.regexp_replace(
-        col, rf"(?U)(?<![.!?])(?<!\.{WS}»)(?<!\.»)(?<![A-Z])\n(?![A-Z])", " "
+    """Newline to space, except after a sentence end or around a capital.
+
+    Decided line by line: each line but the first is put behind a newline or a space.
+    """
+    lines = F.split(col, "\n", -1)
+    near = F.arrays_zip(
+        F.concat(F.array(F.lit("")), lines).alias("above"), lines.alias("line"),
+        F.slice(lines, F.lit(2), F.size(lines)).alias("below"),
     )
 
+    def end(x: Column) -> Column:
+        stays = _ends_line(x["line"], x["above"]) | is_capital(F.left(x["below"], F.lit(1)))
+        return F.concat(x["line"], F.when(x["below"].isNull(), "").when(stays, "\n").otherwise(" "))
+
+    return F.array_join(F.transform(near, end), "")
+
 
 def break_after_punct(col: Column) -> Column:
-    """Whitespace after ``. ! ?`` to newline unless ``a-z`` or ``<`` follows."""
-    return F.regexp_replace(col, rf"(?U)(?<=[.!?]){WS}+(?![a-z<])", "\n")
+    """White space after ``. ! ?`` to a newline, as far as what follows it allows.
+
+    ``a-z`` and ``<`` go on with the sentence: then the run of white space gives its
+    last character back and the rest of it, if any, is the break.
+    """
+    runs = F.split(col, rf"(?U)(?={WS})(?<!{WS})|(?<={WS})(?!{WS})", -1)
+    near = F.arrays_zip(
+        F.concat(F.array(F.lit("")), runs).alias("before"), runs.alias("run"),
+        F.slice(runs, F.lit(2), F.size(runs)).alias("after"),
+    )
+
+    def piece(x: Column) -> Column:
+        run = x["run"]
+        here = run.rlike(rf"(?U)^{WS}") & _last(x["before"], 1).isin(*SENTENCE_END)
+        after = F.coalesce(x["after"], F.lit(""))
+        goes_on = F.left(after, F.lit(1)).between("a", "z") | after.startswith("<")
+        short = F.when(F.length(run) > 1, F.concat(F.lit("\n"), _last(run, 1))).otherwise(run)
+        return F.when(here & goes_on, short).when(here, "\n").otherwise(run)
+
+    return F.array_join(F.transform(near, piece), "")
 
 
 def dehyphenate(col: Column, keep: Sequence[str] = HYPHEN_PRONOUNS) -> Column:
@@ -97,12 +150,32 @@ def ends_terminal(col: Column) -> Column:
     return col.rlike(r"[.!?A-Z]$")
 
 
+def _references() -> dict[str, str]:
+    """Named references: the predefined five and those of the Latin-1 characters."""
+    names = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "amp": "&"}
+    return names | {name: chr(n) for name, n in name2codepoint.items() if 160 <= n <= 255}
+
+
 def decode_references(col: Column) -> Column:
-    """Decode the five predefined character references, ``&amp;`` last."""
-    plain = col
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        col = F.replace(col, F.lit(name), F.lit(char))
-    return F.when(plain.contains("&"), col).otherwise(plain)
+    """Decode decimal, hexadecimal and named character references, each once.
+
+    What stands for no character (unknown names, numbers beyond Unicode) stays as it is.
+    """
+    pattern = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z]+[0-9]*);"
+    names = F.create_map(*(F.lit(x) for pair in _references().items() for x in pair))
+
+    def character(ref: Column) -> Column:
+        body = F.substr(ref, F.lit(2), F.length(ref) - 2)
+        digits = F.regexp_extract(body, "^#[xX]?(.*)$", 1)
+        number = F.when(body.rlike("^#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("int")
+        valid = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+        coded = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        return F.coalesce(F.when(body.startswith("#"), F.when(valid, coded)).otherwise(F.try_element_at(names, body)), ref)
+
+    refs = F.transform(F.regexp_extract_all(col, F.lit(pattern), F.lit(0)), character)
+    plain = F.split(col, pattern, -1)
+    decoded = F.array_join(F.zip_with(plain, refs, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return F.when(col.contains("&"), decoded).otherwise(col)
 
 
 def tokens_of(col: Column) -> Column:

@@ -6,9 +6,12 @@ per document, never see more than one row's text.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window, WindowSpec, functions as F
 
 from spanlake.functions.inventory import NOISE_LABEL
+from spanlake.functions.markup import TAG, TAG_NAME, balanced
 from spanlake.functions.text import (
     decode_references,
     ends_terminal,
@@ -18,26 +21,25 @@ from spanlake.functions.text import (
     upper_majority,
 )
 
-# A tag, its attribute values quoted; and the pieces a text falls into: a tag with
-# the text after it, text alone, or a bracket that opens no tag.
-TAG = r"""<[^<>"']*+(?:"[^"]*+"[^<>"']*+|'[^']*+'[^<>"']*+)*+>"""
+# The pieces a text falls into: a tag with the text after it, text alone, or a bracket
+# that opens no tag.
 PIECE = rf"({TAG}[^<]*+|[^<]++|<[^<]*+)"
-TAG_NAME = r"^</?([^\s/>]+)"
 CORRECTION = r"""\scorrection=(?:"([^"]*)"|'([^']*)')"""
 MODES = ("n", "c")
+KEYS = ("doc_id",)
 
 
-def _by_pos() -> WindowSpec:
+def _by_pos(keys: Sequence[str]) -> WindowSpec:
     return (
-        Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
 
 
-def _same_level() -> WindowSpec:
-    return Window.partitionBy("doc_id", "level").orderBy("pos")
+def _same_level(keys: Sequence[str]) -> WindowSpec:
+    return Window.partitionBy(*keys, "level").orderBy("pos")
 
 
-def pieces(docs: DataFrame) -> DataFrame:
+def pieces(docs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Each tag with the text after it, and the nesting depth.
 
     ``step`` is +1 for an opening tag, -1 for a closing one; ``depth`` counts the
@@ -50,10 +52,10 @@ def pieces(docs: DataFrame) -> DataFrame:
     empty = c("tag").endswith("/>")
     double, single = (F.regexp_extract("tag", CORRECTION, i) for i in (1, 2))
     return (
-        docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(PIECE), F.lit(1))).alias("pos", "piece"))
+        docs.select(*keys, F.posexplode(F.regexp_extract_all("text", F.lit(PIECE), F.lit(1))).alias("pos", "piece"))
         .withColumn("tag", F.regexp_extract("piece", rf"^({TAG})", 1))
         .select(
-            "doc_id",
+            *keys,
             "pos",
             F.when(is_tag, F.regexp_extract("tag", TAG_NAME, 1)).alias("name"),
             F.when(closed, -1).when(is_tag & ~empty, 1).otherwise(0).alias("step"),
@@ -63,23 +65,23 @@ def pieces(docs: DataFrame) -> DataFrame:
                 F.when(double != "", double).otherwise(single),
             ).alias("given"),
         )
-        .withColumn("depth", F.sum("step").over(_by_pos()))
+        .withColumn("depth", F.sum("step").over(_by_pos(keys)))
         .withColumn("level", F.when(c("step") == 1, c("depth")).when(c("step") == -1, c("depth") + 1))
     )
 
 
-def _with_fault(rows: DataFrame) -> DataFrame:
+def _with_fault(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add ``fault``: a closing tag with nothing, or another name, to close."""
-    opened = F.lag("name").over(_same_level())
+    opened = F.lag("name").over(_same_level(keys))
     fault = (F.col("step") == -1) & ((F.col("level") < 1) | ~F.col("name").eqNullSafe(opened))
     return rows.withColumn("fault", fault)
 
 
-def markup_errors(docs: DataFrame) -> DataFrame:
+def markup_errors(docs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Documents whose annotations are not properly nested."""
     return (
-        _with_fault(pieces(docs))
-        .groupBy("doc_id")
+        _with_fault(pieces(docs, keys), keys)
+        .groupBy(*keys)
         .agg(
             F.sum("step").cast("bigint").alias("unclosed"),
             F.min("depth").cast("bigint").alias("min_depth"),
@@ -89,15 +91,15 @@ def markup_errors(docs: DataFrame) -> DataFrame:
     )
 
 
-def _apply_corrections(rows: DataFrame) -> DataFrame:
+def _apply_corrections(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Put each ``correction`` attribute in place of its annotation's content."""
     c = F.col
     turn = (
         F.when(c("given").isNotNull(), 1)
-        .when((c("step") == -1) & F.lag("given").over(_same_level()).isNotNull(), -1)
+        .when((c("step") == -1) & F.lag("given").over(_same_level(keys)).isNotNull(), -1)
         .otherwise(0)
     )
-    rows = rows.withColumn("turn", turn).withColumn("inside", F.sum("turn").over(_by_pos()))
+    rows = rows.withColumn("turn", turn).withColumn("inside", F.sum("turn").over(_by_pos(keys)))
     content = (
         F.when(c("given").isNotNull() & (c("inside") == 1), c("given"))
         .when(c("inside") > 0, "")
@@ -106,13 +108,13 @@ def _apply_corrections(rows: DataFrame) -> DataFrame:
     return rows.withColumn("after", content)
 
 
-def fragments(docs: DataFrame, mode: str = "n") -> DataFrame:
-    """``fragments(doc_id, frag_id, text, label)`` of well-formed documents.
+def fragments(docs: DataFrame, mode: str = "n", keys: Sequence[str] = KEYS) -> DataFrame:
+    """``fragments(keys, frag_id, text, label)`` of every document; ``keys`` tell them apart.
 
     An outermost annotation is one fragment, markup inside it flattened; plain
     text gives one fragment per line (``label`` NULL). Mode ``c`` uses the
-    corrections given as attributes. ``markup_errors`` reports the documents left
-    out here.
+    corrections given as attributes. Markup that does not nest is put right first
+    (``functions.markup.balance`` has the rule); ``markup_errors`` reports it.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, not {mode!r}")
@@ -122,15 +124,12 @@ def fragments(docs: DataFrame, mode: str = "n") -> DataFrame:
     empty_tag = c("name").isNotNull() & (c("step") == 0) & (c("depth") == 0)
     # Odd runs are outermost annotations, even runs the plain text between them.
     turn = F.when(outer_open | outer_close, 1).when(empty_tag, 2).otherwise(0)
-    rows = pieces(docs).withColumn("turn", turn).withColumn("run", F.sum("turn").over(_by_pos()))
+    sound = docs.select(*keys, balanced(F.col("text")).alias("text"))
+    rows = pieces(sound, keys).withColumn("turn", turn).withColumn("run", F.sum("turn").over(_by_pos(keys)))
     if mode == "c":
-        rows = _apply_corrections(rows)
-    whole = Window.partitionBy("doc_id")
+        rows = _apply_corrections(rows, keys)
     runs = (
-        _with_fault(rows)
-        .withColumns({"unclosed": F.sum("step").over(whole), "broken": F.max("fault").over(whole)})
-        .where((c("unclosed") == 0) & ~c("broken"))
-        .groupBy("doc_id", "run")
+        rows.groupBy(*keys, "run")
         .agg(
             F.max(F.when(outer_open, c("name"))).alias("name"),
             F.array_sort(F.collect_list(F.struct("pos", "after"))).alias("parts"),
@@ -138,21 +137,21 @@ def fragments(docs: DataFrame, mode: str = "n") -> DataFrame:
     )
     label = F.when(c("name") != NOISE_LABEL, c("name"))
     texts = runs.select(
-        "doc_id", "run", label.alias("label"), F.array_join(c("parts")["after"], "").alias("text")
+        *keys, "run", label.alias("label"), F.array_join(c("parts")["after"], "").alias("text")
     ).withColumn("text", decode_references(c("text")))
     cut = F.when(c("run") % 2 == 0, F.split("text", "\n")).otherwise(F.array("text"))
-    order = Window.partitionBy("doc_id").orderBy("run", "line")
+    order = Window.partitionBy(*keys).orderBy("run", "line")
     return (
-        texts.select("doc_id", "run", "label", F.posexplode(cut).alias("line", "text"))
+        texts.select(*keys, "run", "label", F.posexplode(cut).alias("line", "text"))
         .where(has_text(c("text")))
         .withColumn("text", squash(c("text")))
-        .select("doc_id", F.row_number().over(order).cast("bigint").alias("frag_id"), "text", "label")
+        .select(*keys, F.row_number().over(order).cast("bigint").alias("frag_id"), "text", "label")
     )
 
 
-def assemble_sentences(frags: DataFrame) -> DataFrame:
+def assemble_sentences(frags: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Add ``sent_id`` (from 0): which fragments belong to one sentence."""
-    w = Window.partitionBy("doc_id").orderBy("frag_id")
+    w = Window.partitionBy(*keys).orderBy("frag_id")
     prev = F.lag("text").over(w)
     text = F.col("text")
     open_before = ~ends_terminal(F.col("prev"))

@@ -32,8 +32,8 @@ OVERALL = "(overall)"
 def align(gold: DataFrame, pred: DataFrame, keys: Sequence[str] = SENTENCE) -> DataFrame:
     """Pair gold and predicted tags by position.
 
-    ``status`` is ``matched``, ``gold_only`` or ``guess_only``; only matched rows
-    can be scored.
+    ``status`` is ``matched``, ``gold_only`` or ``guess_only``. To score the result use
+    ``whole_sentences``: a row left out would be taken for an ``O`` between its neighbours.
     """
     g = gold.select(*keys, "tok_id", F.col("iob").alias("gold"), F.lit(True).alias("in_gold"))
     p = pred.select(*keys, "tok_id", F.col("iob").alias("guess"), F.lit(True).alias("in_pred"))
@@ -47,6 +47,14 @@ def align(gold: DataFrame, pred: DataFrame, keys: Sequence[str] = SENTENCE) -> D
     )
 
 
+def whole_sentences(aligned: DataFrame, keys: Sequence[str] = SENTENCE) -> tuple[DataFrame, DataFrame]:
+    """``align``'s sentences in which every token has both tags, ready to be scored, and
+    the rows of the others."""
+    missing = F.max(F.col("status") != "matched").over(Window.partitionBy(*keys))
+    rows = aligned.withColumn("missing", missing)
+    return rows.where("NOT missing").drop("status", "missing"), rows.where("missing").drop("missing")
+
+
 def raw_tags(pairs: DataFrame, outside: str = "O") -> DataFrame:
     """Give prefixless tags a ``B-``; each token becomes its own chunk."""
     return pairs.withColumns(

@@ -16,11 +16,11 @@ def length_crosstab(found: DataFrame, unit: str, max_len: int) -> DataFrame:
     """Mentions by type and clipped length.
 
     Rows by falling total, then ``(total)`` and ``(percent)`` (share of each
-    length). Columns ``len_1`` .. ``len_<max>``, ``total``, ``percent``.
+    length). Columns ``len_0`` .. ``len_<max>``, ``total``, ``percent``.
     """
     length = clip(F.col(UNITS[unit]), 0, max_len)
-    lengths = [f"len_{i}" for i in range(1, max_len + 1)]
-    cells = {c: F.count_if(length == i + 1).cast("double") for i, c in enumerate(lengths)}
+    lengths = [f"len_{i}" for i in range(max_len + 1)]
+    cells = {c: F.count_if(length == i).cast("double") for i, c in enumerate(lengths)}
     per_type = found.groupBy("type").agg(
         *(col.alias(c) for c, col in cells.items()), F.count("*").cast("double").alias("total")
     )

@@ -19,37 +19,59 @@ from spanlake.operators.stats import corpus_summary, length_crosstab, length_his
 from spanlake.sources.annotated import prepare
 
 
+DOCUMENT = ("corpus", "doc_id")
+
+
+def document_keys(df: DataFrame) -> tuple[str, ...]:
+    """The columns that tell documents apart: ``corpus`` counts where there is one."""
+    return tuple(c for c in DOCUMENT if c in df.columns)
+
+
+def _prepared(docs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return prepare(docs.select(*keys, "text")).withColumn("text", repair(F.col("text")))
+
+
 def documents_to_tokens(
-    docs: DataFrame, mode: str = "n", tokenizer=None, tagger: Tagger | None = None
+    docs: DataFrame, mode: str = "n", tokenizer=None, tagger: Tagger | None = None,
+    keys: Sequence[str] | None = None,
 ) -> DataFrame:
-    """``documents(doc_id, text)`` to ``tokens(doc_id, sent_id, tok_id, token, iob, pos)``.
+    """``documents([corpus,] doc_id, text)`` to ``tokens(keys, sent_id, tok_id, token, iob, pos)``.
 
     Cleans and escapes the text, repairs its lines, extracts the annotations,
     assembles sentences and labels their tokens. One shuffle, by document; a tagger
-    adds one by sentence. Without a tagger ``pos`` is the token's shape.
+    adds one by sentence. Without a tagger ``pos`` is the token's shape. The corpus, if
+    there is one, is the tokens' ``data_set``.
     """
-    text = prepare(docs.select("doc_id", "text")).withColumn("text", repair(F.col("text")))
-    sentences = assemble_sentences(fragments(text, mode))
+    keys = tuple(keys or document_keys(docs))
+    sentences = assemble_sentences(fragments(_prepared(docs, keys), mode, keys), keys)
     # Fragments without tokens still separate sentences, but have none to label.
-    labelled = label_tokens(number_tokens(trim_edges(tokenize(sentences, tokenizer=tokenizer))))
-    tokens = labelled.select("doc_id", "sent_id", "tok_id", "token", "iob")
+    numbered = number_tokens(trim_edges(tokenize(sentences, tokenizer=tokenizer)), (*keys, "sent_id"))
+    tokens = label_tokens(numbered).select(*keys, "sent_id", "tok_id", "token", "iob")
     if tagger is None:
-        return tokens.withColumn("pos", token_shape(F.col("token")))
-    return annotate(tokens, tagger)
+        tokens = tokens.withColumn("pos", token_shape(F.col("token")))
+    else:
+        tokens = annotate(tokens, tagger, (*keys, "sent_id"))
+    return tokens.withColumnRenamed("corpus", "data_set")
+
+
+def repaired_documents(docs: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
+    """The documents whose markup ``documents_to_tokens`` puts right, and what was wrong."""
+    keys = tuple(keys or document_keys(docs))
+    return markup_errors(_prepared(docs, keys), keys)
 
 
-def rejected_documents(docs: DataFrame) -> DataFrame:
-    """The documents that ``documents_to_tokens`` leaves out, and why."""
-    text = prepare(docs.select("doc_id", "text")).withColumn("text", repair(F.col("text")))
-    return markup_errors(text)
+def sentence_keys(tokens: DataFrame) -> tuple[str, ...]:
+    """The columns that tell sentences apart, of documents or of files that were read."""
+    return tuple(c for c in ("data_set", "file", "doc_id", "sent_id") if c in tokens.columns)
 
 
-def tokens_to_statistics(tokens: DataFrame) -> dict[str, DataFrame]:
-    """All summaries of a token table, by name.
+def tokens_to_statistics(tokens: DataFrame, keys: Sequence[str] | None = None) -> dict[str, DataFrame]:
+    """All summaries of a token table, by name; it needs a ``data_set`` column.
 
     They share the mention table: write it out or persist it if you want several.
     """
-    found = mentions(tokens)
+    keys = tuple(keys or sentence_keys(tokens))
+    found = mentions(tokens, keys)
     return {
         "mentions": found,
         "faulty_labels": faulty(tokens),
@@ -59,7 +81,7 @@ def tokens_to_statistics(tokens: DataFrame) -> dict[str, DataFrame]:
         "length_hist_tokens": length_histogram(found, "token", 0, 12, 2),
         "length_hist_chars": length_histogram(found, "character", 0, 35, 5),
         "tag_dictionary": tag_dictionary(tokens),
-        "corpus_summary": corpus_summary(tokens),
+        "corpus_summary": corpus_summary(tokens, keys=[k for k in keys if k != "data_set"]),
     }
 
 
@@ -77,7 +99,9 @@ def pairs_to_report(
 
 
 def tokens_to_shards(
-    tokens: DataFrame, seed: int = 42, train: float = 0.8, shards: int = 100, keep_remainder: bool = False
+    tokens: DataFrame, seed: int = 42, train: float = 0.8, shards: int = 100, equal: bool = False,
+    keys: Sequence[str] | None = None,
 ) -> DataFrame:
     """Shuffled plain sentences with ``split`` and ``shard``, ready to write."""
-    return shard(split(plain_text(tokens), seed, train), shards, keep_remainder)
+    keys = tuple(keys or sentence_keys(tokens))
+    return shard(split(plain_text(tokens, keys), seed, train, keys), shards, equal)

@@ -77,7 +77,7 @@ def check_width(
 
 def format_pairs(pairs: DataFrame) -> DataFrame:
     """Lines ``token gold guess`` with a boundary line after each sentence."""
-    line = F.concat_ws(" ", "token", "gold", "guess")
+    line = F.concat_ws(" ", F.coalesce("token", F.lit("_")), "gold", "guess")
     body = pairs.select("doc_id", "sent_id", "tok_id", line.alias("line"))
     ends = pairs.groupBy("doc_id", "sent_id").agg(F.max("tok_id").alias("tok_id")).select(
         "doc_id", "sent_id", (F.col("tok_id") + 1).alias("tok_id"), F.lit("").alias("line")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from spanlake.functions.inventory import COARSE_TYPES
 
 
@@ -24,33 +26,37 @@ def starts(prev, cur):
     return c not in ("O", ".") and pt != ct
 
 
+def side(tags):
+    """Of one side of a sentence: kinds of the tags, places of chunk starts and of ends before a place."""
+    pairs = list(enumerate(zip(["O", *tags], [*tags, "O"])))
+    return (
+        [cut(tag)[1] for tag in [*tags, "O"]],
+        {at for at, (prev, cur) in pairs if starts(prev, cur)},
+        {at for at, (prev, cur) in pairs if ends(prev, cur)},
+    )
+
+
 def count(sentences):
-    """Counts per type and overall: gold, guessed, correct."""
-    table = {}
+    """Counts per type and overall: gold, guessed, correct.
 
-    def add(kind, column):
-        for key in (kind, "(overall)"):
-            table.setdefault(key, [0, 0, 0])[column] += 1
+    Two chunks are in step from a place where both start with one kind up to the first
+    place where a side ends or the kinds part. Both are correct if both end there.
+    """
+    table = {"(overall)": [0, 0, 0]}
+
+    def add(kinds, column):
+        for kind in kinds:
+            for key in (kind, "(overall)"):
+                table.setdefault(key, [0, 0, 0])[column] += 1
 
-    table["(overall)"] = [0, 0, 0]
     for sentence in sentences:
-        inside = False
-        last_gold = last_guess = "O"
-        for gold, guess in [*sentence, ("O", "O")]:
-            gold_ends, guess_ends = ends(last_gold, gold), ends(last_guess, guess)
-            if inside:
-                if gold_ends and guess_ends and cut(last_gold)[1] == cut(last_guess)[1]:
-                    add(cut(last_gold)[1], 2)
-                    inside = False
-                elif gold_ends != guess_ends or cut(gold)[1] != cut(guess)[1]:
-                    inside = False
-            if starts(last_gold, gold):
-                add(cut(gold)[1], 0)
-            if starts(last_guess, guess):
-                add(cut(guess)[1], 1)
-            if starts(last_gold, gold) and starts(last_guess, guess) and cut(gold)[1] == cut(guess)[1]:
-                inside = True
-            last_gold, last_guess = gold, guess
+        (kinds, begin, stop), (kinds2, begin2, stop2) = (side([pair[k] for pair in sentence]) for k in (0, 1))
+        add((kinds[at] for at in begin), 0)
+        add((kinds2[at] for at in begin2), 1)
+        parted = sorted(stop | stop2 | {at for at in range(len(kinds)) if kinds[at] != kinds2[at]})
+        in_step = [at for at in begin & begin2 if kinds[at] == kinds2[at]]
+        breaks = {next((at for at in parted if at > first), None) for first in in_step}
+        add((kinds[at - 1] for at in breaks if at in stop and at in stop2), 2)
     return {k: tuple(v) for k, v in table.items()}
 
 
@@ -67,18 +73,15 @@ def spans(tags):
 
 
 def mentions(tokens):
-    """Mentions of one sentence of (token, pos, tag) triples."""
-    out, i = [], 0
-    while i < len(tokens):
-        tag = tokens[i][2]
-        if tag.startswith("B") and tag[2:].split(".")[0] in COARSE_TYPES:
-            j = i + 1
-            while j < len(tokens) and tokens[j][2].startswith("I"):
-                j += 1
-            words = " ".join(t[0] for t in tokens[i:j])
-            pos = " ".join(t[1] for t in tokens[i:j])
-            out.append((i + 1, tag[2:].split(".")[0], tag[2:], words, pos, j - i, len(words)))
-            i = j
-        else:
-            i += 1
+    """Mentions of one sentence of (token, pos, tag) triples: a valid B and the I after it."""
+    def letter(tag):
+        valid = tag[:1] != "B" or tag[2:].split(".")[0] in COARSE_TYPES
+        return tag[:1] if valid and tag[:1] in ("B", "I") else "."
+
+    out = []
+    for found in re.finditer("BI*", "".join(letter(tag) for *_, tag in tokens)):
+        words, pos, tags = zip(*tokens[found.start() : found.end()])
+        subtype = tags[0][2:]
+        text = " ".join(words)
+        out.append((found.start() + 1, subtype.split(".")[0], subtype, text, " ".join(pos), len(words), len(text)))
     return out

@@ -55,11 +55,12 @@ def test_corrections(spark):
         fragments.fragments(docs_of(spark, text), "x")
 
 
-def test_unsound_documents_are_set_aside(spark):
+def test_unsound_documents_are_reported_and_kept(spark):
     texts = ["<name>ok</name>", "<name>open", "close</name>", "<day><year>x</day></year>", "</name><name>"]
     docs = docs_of(spark, *texts)
     assert {r.doc_id for r in fragments.markup_errors(docs).collect()} == {1, 2, 3, 4}
-    assert {r.doc_id for r in fragments.fragments(docs).collect()} == {0}
+    got = {(r.doc_id, r.text, r.label) for r in fragments.fragments(docs).collect()}
+    assert got == {(0, "ok", "name"), (1, "open", "name"), (2, "close", None), (3, "x", "day")}
 
 
 def sentences_of(spark, frags):
@@ -174,13 +175,13 @@ MENTIONS = "type string, n_tokens bigint, n_characters bigint"
 
 
 def test_crosstab(spark):
-    found = spark.createDataFrame([("pers", 1, 3), ("pers", 9, 40), ("loc", 2, 5)], MENTIONS)
+    found = spark.createDataFrame([("pers", 1, 3), ("pers", 9, 40), ("loc", 2, 5), ("loc", 0, 0)], MENTIONS)
     rows = stats.length_crosstab(found, "token", 3).collect()
     assert [tuple(r) for r in rows] == [
-        ("pers", 1.0, 0.0, 1.0, 2.0, 66.67),
-        ("loc", 0.0, 1.0, 0.0, 1.0, 33.33),
-        ("(total)", 1.0, 1.0, 1.0, 3.0, 100.0),
-        ("(percent)", 33.33, 33.33, 33.33, None, None),
+        ("loc", 1.0, 0.0, 1.0, 0.0, 2.0, 50.0),
+        ("pers", 0.0, 1.0, 0.0, 1.0, 2.0, 50.0),
+        ("(total)", 1.0, 1.0, 1.0, 1.0, 4.0, 100.0),
+        ("(percent)", 25.0, 25.0, 25.0, 25.0, None, None),
     ]
 
 
@@ -199,7 +200,7 @@ def test_tag_dictionary_and_summary(spark):
     assert [tuple(r) for r in stats.corpus_summary(df).collect()] == [("d", 2, 3, 2)]
 
 
-@pytest.mark.parametrize("n", [0, 1, 5, 99, 100, 101, 124, 125, 1000])
+@pytest.mark.parametrize("n", [0, 1, 5, 99, 100, 101, 124, 125, 248, 1000])
 def test_split_and_shards_have_exact_sizes(spark, n):
     df = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(0).cast("bigint").alias("sent_id"), F.lit("x").alias("text"))
     rows = splits.split(df)
@@ -209,11 +210,16 @@ def test_split_and_shards_have_exact_sizes(spark, n):
     want = {"train": train, "valid": valid, "test": n - train - valid}
     assert got == {k: v for k, v in want.items() if v}
     assert sorted(r["rank"] for r in rows.collect()) == list(range(n))
-    sizes = {r.shard: r["count"] for r in splits.shard(rows).where("split = 'train'").groupBy("shard").count().collect()}
+    equal = splits.shard(rows, equal=True).where("split = 'train'")
+    sizes = {r.shard: r["count"] for r in equal.groupBy("shard").count().collect()}
     size = int(0.01 * train)
     assert sizes == ({i: size for i in range(1, 101)} if size else {})
-    kept = splits.shard(rows, keep_remainder=True).where("split = 'train'")
-    assert kept.count() == train
+    kept = splits.shard(rows)
+    assert kept.count() == n
+    sizes = [r["count"] for r in kept.where("split = 'train'").groupBy("shard").count().collect()]
+    assert sum(sizes) == train and len(sizes) == min(train, 100)
+    assert not sizes or max(sizes) - min(sizes) <= 1
+    assert kept.where("split = 'train' AND NOT shard BETWEEN 1 AND 100").count() == 0
 
 
 def test_shuffle_depends_on_the_seed_only(spark):

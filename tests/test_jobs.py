@@ -6,9 +6,12 @@ import random
 import re
 from html.parser import HTMLParser
 
-from spanlake.functions.inventory import HYPHEN_PRONOUNS, LABELS, LEADING_EDGE, TRAILING_EDGE
+import characters
+from spanlake.functions.inventory import LEADING_EDGE, TRAILING_EDGE
+from spanlake.functions.markup import balance
+from spanlake.operators.fragments import fragments
 from spanlake.plans import jobs
-from pyspark.sql import functions as F
+from spanlake.sources import annotated, columns
 
 TOKEN = re.compile(r"[^\W\d_]+['’]|[^\W_]+(?:-[^\W_]+)*|\S")
 
@@ -40,16 +43,8 @@ def sequential_tokens(text):
     lines = [x.strip() for x in text.split("\n")]
     text = "\n".join(x for x in lines if x and not x.endswith(".png"))
 
-    def settle(m):
-        return m.group(0) if m.group(2) in LABELS else "*" + m.group(1)
-
-    for _ in range(2):
-        text = re.sub(r"<(/?([^<]*?)(?:\s|>|$))", settle, text)
-    text = re.sub(r"(?<![.!?])(?<!\.\s»)(?<!\.»)(?<![A-Z])\n(?![A-Z])", " ", text)
-    text = re.sub(r"(?<=[.!?])\s+(?![a-z<])", "\n", text)
-    text = re.sub(
-        r"(?<=\w)- (\w+)", lambda m: ("-" if m.group(1) in HYPHEN_PRONOUNS else "") + m.group(1), text
-    )
+    text = characters.escape_once(characters.escape_once(text))
+    text = characters.join_halves(characters.break_sentences(characters.unwrap(text)))
     parser = Outermost()
     parser.feed(text)
     parser.close()
@@ -111,7 +106,7 @@ def test_documents_to_tokens(spark):
     rng = random.Random(12)
     texts = [random_document(rng) for _ in range(400)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    assert jobs.rejected_documents(docs).count() == 0
+    assert jobs.repaired_documents(docs).count() == 0
     got = {}
     for r in jobs.documents_to_tokens(docs).orderBy("doc_id", "sent_id", "tok_id").collect():
         got.setdefault(r.doc_id, []).append((r.sent_id, r.tok_id, r.token, r.iob))
@@ -125,15 +120,54 @@ def test_tagger_hook(spark):
     assert [(r.token, r.pos) for r in rows.orderBy("tok_id").collect()] == [("Un", "4"), ("Mot", "4"), ("ici", "4"), (".", "4")]
 
 
-def test_statistics_and_shards(spark):
-    docs = spark.createDataFrame([(i, f"Le <amount>{i} francs</amount> dit.\nNon.") for i in range(40)], "doc_id bigint, text string")
-    tokens = jobs.documents_to_tokens(docs).withColumn("data_set", F.lit("d"))
-    tables = jobs.tokens_to_statistics(tokens)
-    assert tables["mentions"].count() == 40
-    assert tables["length_crosstab_tokens"].collect()[0].len_2 == 40
-    assert tables["corpus_summary"].collect()[0].sentences == 80
-    shards = jobs.tokens_to_shards(tokens, shards=10)
-    assert shards.where("split = 'train'").groupBy("shard").count().where("count = 6").count() == 10
+def test_files_to_statistics_and_shards(spark, tmp_path):
+    """The way of the README: annotated files, tokens, column files, tables and shards."""
+    for corpus in ("one", "two"):
+        folder = tmp_path / "data" / corpus
+        folder.mkdir(parents=True)
+        for i in range(20):
+            (folder / f"{i} é+%41.norm.ne").write_text(f"Le <amount>{i} francs</amount> dit.\nNon.")
+    docs = annotated.read_annotated(spark, str(tmp_path / "data" / "one")).unionByName(
+        annotated.read_annotated(spark, str(tmp_path / "data" / "two"))
+    )
+    assert {r.corpus for r in docs.collect()} == {"one", "two"}
+    assert {r.doc_id for r in docs.collect()} == {f"{i} é+%41.norm.ne" for i in range(20)}
+    tokens = jobs.documents_to_tokens(docs)
+    columns.write_columns(tokens, str(tmp_path / "columns"))
+    for rows in (tokens, columns.read_columns(spark, str(tmp_path / "columns"))):
+        tables = jobs.tokens_to_statistics(rows)
+        assert tables["mentions"].count() == 40
+        assert tables["length_crosstab_tokens"].collect()[0].len_2 == 40
+        assert {r.data_set: r.sentences for r in tables["corpus_summary"].collect()} == {"one": 40, "two": 40}
+        shards = jobs.tokens_to_shards(rows, shards=10)
+        sizes = {r.shard: r["count"] for r in shards.groupBy("shard").count().collect()}
+        assert sizes == {0: 16} | {k: (64 * k - 1) // 10 - (64 * (k - 1) - 1) // 10 for k in range(1, 11)}
+
+
+UNSOUND = {
+    "ok <pers.ind>Luc</pers.ind> fin <day>lundi": [("ok", None), ("Luc", "pers.ind"), ("fin", None), ("lundi", "day")],
+    "x</name> <name>y</name>": [("x", None), ("y", "name")],
+    "<day>a<year>b</day>c</year>": [("ab", "day"), ("c", None)],
+    "<day>a<day>b</day>c</day></day>d": [("abc", "day"), ("d", None)],
+    "<name>a<year/>b</year>c": [("abc", "name")],
+}
+
+
+def test_markup_that_does_not_nest(spark):
+    docs = spark.createDataFrame([(t, t) for t in UNSOUND], "doc_id string, text string")
+    got = {}
+    for r in fragments(docs).orderBy("doc_id", "frag_id").collect():
+        got.setdefault(r.doc_id, []).append((r.text, r.label))
+    assert got == UNSOUND
+    sound = 'a <name correction="<b>">x<year>y</year></name> < z <day/>'
+    assert balance(sound) == sound
+
+
+def test_equal_ids_in_two_corpora(spark):
+    docs = spark.createDataFrame([("x", "1", "Un <name>Mot</name>"), ("y", "1", "Deux.</name>")], "corpus string, doc_id string, text string")
+    rows = jobs.documents_to_tokens(docs).orderBy("data_set", "tok_id").collect()
+    assert [(r.data_set, r.token, r.iob) for r in rows] == [("x", "Un", "O"), ("x", "Mot", "B-name"), ("y", "Deux", "O"), ("y", ".", "O")]
+    assert [r.corpus for r in jobs.repaired_documents(docs).collect()] == ["y"]
 
 
 def test_report_of_raw_tags(spark):

@@ -59,11 +59,34 @@ def test_read_columns(spark, tmp_path, tiny_splits, newline):
         (tmp_path / f"corpus_{i}.tsv").write_text(data, newline="")
         want += column_sentences(data)
     rows = columns.read_columns(spark, str(tmp_path))
-    assert rows.rdd.getNumPartitions() > 20
     assert read_back(rows, ("token", "pos", "iob")) == sorted(want)
     assert {r.data_set for r in rows.select("data_set").distinct().collect()} == {"corpus"}
 
 
+def test_splits_may_change_before_and_after_the_scan(spark, tmp_path):
+    """Numbers belong to the splits of the one scan, whatever later plans would cut."""
+    text = "".join(f"1\tw{i}\tN\tO\n" + "\n" * (i % 4 == 3) for i in range(4000))
+    (tmp_path / "a.tsv").write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
+        rows = columns.read_columns(spark, str(tmp_path))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "70000")
+        assert rows.select("sent_id").distinct().count() == 1000
+        assert rows.where("tok_id NOT BETWEEN 1 AND 4").count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_missing_fields_do_not_move_others(spark, tmp_path):
+    rows = [("a:b é", "x", 0, 1, "tok", None, "B-x"), ("a:b é", "x", 0, 2, None, "N", "O")]
+    df = spark.createDataFrame(rows, "data_set string, doc_id string, sent_id bigint, tok_id bigint, token string, pos string, iob string")
+    columns.write_columns(df, str(tmp_path / "out"))
+    back = columns.read_columns(spark, str(tmp_path / "out")).orderBy("tok_id").collect()
+    assert [(r.token, r.pos, r.iob) for r in back] == [("tok", "", "B-x"), ("", "N", "O")]
+    assert {r.data_set for r in back} == {"a:b é"}
+
+
 def test_read_columns_by_other_positions(spark, tmp_path):
     (tmp_path / "a.tsv").write_text("tok\tB-x\tNN\n")
     row = columns.read_columns(spark, str(tmp_path), cols=(0, 2, 1)).collect()[0]

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import random
+
+import characters
 import re
 
 import pytest
@@ -50,17 +52,26 @@ def test_escape_unknown_tags(spark, raw, want):
     assert apply(spark, text.escape_unknown_tags, [raw]) == [want]
 
 
-def test_escape_equals_two_passes_of_replacement(spark):
-    def once(s):
-        def settle(m):
-            return m.group(0) if m.group(2) in inventory.LABELS else "*" + m.group(1)
+def test_repair_equals_walks_over_characters(spark):
+    rng = random.Random(5)
+    parts = [".", "!", "»", " ", " ", "\n", "\n", "A", "b", "<", "-", "il", "é", "\t", "\u00a0"]
+    raw = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    assert apply(spark, text.unwrap_lines, raw) == [characters.unwrap(x) for x in raw]
+    assert apply(spark, text.break_after_punct, raw) == [characters.break_sentences(x) for x in raw]
+    assert apply(spark, text.dehyphenate, raw) == [characters.join_halves(x) for x in raw]
+
 
-        return re.sub(r"<(/?([^<]*?)(?:\s|>|$))", settle, s)
+def test_references(spark):
+    raw = ["caf&eacute; &#233;&#xE9; &amp;lt; &lt;b&gt; &quot;&apos;", "&nosuch; & &; &#0; &#xD800; &#x1F600;", "&yuml;&nbsp;x", "none", ""]
+    want = ["café éé &lt; <b> \"'", "&nosuch; & &; &#0; &#xD800; 😀", "ÿ\u00a0x", "none", ""]
+    assert apply(spark, text.decode_references, raw) == want
 
+
+def test_escape_equals_two_passes_of_replacement(spark):
     rng = random.Random(4)
     parts = ["<", ">", "/", " ", "name", "loc.fac", "x", "</", "\n", "day>"]
     raw = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 12))) for _ in range(2000)]
-    assert apply(spark, text.escape_unknown_tags, raw) == [once(once(x)) for x in raw]
+    assert apply(spark, text.escape_unknown_tags, raw) == [characters.escape_once(characters.escape_once(x)) for x in raw]
 
 
 @pytest.mark.parametrize(
@@ -140,7 +151,7 @@ def test_upper_majority(spark):
 
 
 def test_decode_references(spark):
-    assert apply(spark, text.decode_references, ["a &amp;lt; &lt;b&gt; &quot;&apos;&eacute;"]) == ["a &lt; <b> \"'&eacute;"]
+    assert apply(spark, text.decode_references, ["a &amp;lt; &lt;b&gt; &quot;&apos;&eacute;"]) == ["a &lt; <b> \"'é"]
 
 
 def test_tokens(spark):
