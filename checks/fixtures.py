@@ -29,8 +29,17 @@ def fixture(make):
 
 
 def prepare(spark: SparkSession, sf: str) -> None:
-    """Write the derived tables once, so that timings are of the operators."""
+    """Write the inputs once, so that timings are of the operators.
+
+    Given tables are copied to as many files as there are cores twice over, since one file
+    with one row group is one task; derived tables and files are written as they are made.
+    """
     folder = new_folder(spark, "fixtures")
+    cores = spark.sparkContext.defaultParallelism
+    for name in ("documents", "pages", "benchmark"):
+        path = f"{folder}/{name}"
+        spark.read.parquet(f"{sf}/{name}.parquet").repartition(2 * cores).write.parquet(path)
+        PREPARED[sf, name] = path
     for make in (words, lines, pairs, tokens, annotated):
         path = f"{folder}/{make.__name__}"
         make(spark, sf).write.parquet(path)
@@ -38,10 +47,19 @@ def prepare(spark: SparkSession, sf: str) -> None:
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A given table, spread over the cores where its file has too few row groups."""
-    df = spark.read.parquet(f"{sf}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """A given table, or its prepared copy."""
+    return spark.read.parquet(PREPARED.get((sf, name), f"{sf}/{name}.parquet"))
+
+
+def files(spark: SparkSession, sf: str, name: str, write) -> str:
+    """The folder of a set of files that queries read; written once if inputs are prepared."""
+    folder = PREPARED.get((sf, name))
+    if folder is None:
+        folder = new_folder(spark, name)
+        write(folder)
+        if PREPARED:
+            PREPARED[sf, name] = folder
+    return folder
 
 
 @fixture

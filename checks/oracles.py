@@ -363,6 +363,7 @@ MENTIONS = TOKENS + [
   FROM runs WHERE tag[1] = 'B' AND list_contains({sql_list(COARSE_TYPES)}, split_part(substr(tag, 3), '.', 1)))""",
 ]
 ORACLES["mentions"] = sql(MENTIONS, "SELECT * FROM mentions")
+ORACLES["mentions_by_type"] = sql(MENTIONS, "SELECT * FROM mentions WHERE type = 'pers'")
 ORACLES["faulty_labels"] = sql(TOKENS, f"""
 SELECT {_COARSE} AS label, count(*) AS n FROM tokens
 WHERE iob[1] = 'B' AND NOT list_contains({sql_list(COARSE_TYPES)}, {_COARSE}) GROUP BY 1""")

@@ -40,8 +40,7 @@ def clean_lines(spark, sf):
 
 
 def _written_columns(spark, sf):
-    folder = new_folder(spark, "columns")
-    columns.write_columns(X.tokens(spark, sf), folder)
+    folder = X.files(spark, sf, "columns", lambda folder: columns.write_columns(X.tokens(spark, sf), folder))
     return columns.read_columns(spark, folder)
 
 
@@ -82,10 +81,13 @@ def _write_lines(rows, folder):
     )
 
 
+def prepare_pairs(spark, sf):
+    return X.files(spark, sf, "pair-files", lambda folder: _write_lines(_pair_lines(spark, sf), folder))
+
+
 @query
 def read_pairs(spark, sf):
-    folder = new_folder(spark, "pairs")
-    _write_lines(_pair_lines(spark, sf), folder)
+    folder = prepare_pairs(spark, sf)
     back = pairs.read_pairs(spark, folder)
     line = F.concat_ws(" ", "token", "gold", "guess")
     return back.groupBy("file", "sent_id").agg(
@@ -343,6 +345,11 @@ def mentions_(spark, sf):
 QUERIES["mentions"] = QUERIES.pop("mentions_")
 
 
+@query
+def mentions_by_type(spark, sf):
+    return mentions.by_type(_mentions(spark, sf), "pers")
+
+
 @query
 def faulty_labels(spark, sf):
     return mentions.faulty(X.tokens(spark, sf))

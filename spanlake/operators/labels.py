@@ -105,12 +105,13 @@ def annotate(
     other = [c for c in tokens.columns if c not in keys and c != "tok_id"]
     sentences = tokens.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("tok_id", *other))).alias("items")
-    ).withColumn("words", F.col("items")["token"])
+    )
     schema = T.StructType([*sentences.schema.fields, T.StructField("labels", T.ArrayType(T.StringType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = batch.column("words").to_pylist()
+            items = batch.column("items")
+            words = pa.ListArray.from_arrays(items.offsets, items.values.field("token")).to_pylist()
             labels = tagger(words)
             if [len(x) for x in labels] != [len(x) for x in words]:
                 raise ValueError("the tagger must return one label per token")
