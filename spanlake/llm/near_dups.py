@@ -20,8 +20,8 @@ of 128 symbols are let go (one in a million at 0.75).
 Nothing is capped: every pair under the threshold is weighed. Defined results: without a
 word, or with a null text, a document has an empty set and is linked with nothing; with
 fewer than five words its whole sequence is the one shingle; rows with equal ids are
-documents of their own that share an id; null ids come first in ``smallest``, but a
-component that has other ids takes the smallest of these.
+documents of their own that share an id; null ids are passed over in choosing the
+smallest, so only a component without other ids has a null one; an empty table gives none.
 """
 
 from __future__ import annotations

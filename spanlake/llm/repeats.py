@@ -40,7 +40,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LENGTH = 400
 GRAM = 16
-HOT = 50_000
+HOT = 10_000
 SETTLED, EDGE, SPLIT = 1, 2, 4
 
 
