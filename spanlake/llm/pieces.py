@@ -22,7 +22,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # A cut that is none of those above: a space before white space, or at the end.
 ODD = re.compile(r" (?:\s|\Z)")
-KEPT = 150_000  # stretches remembered, twice
+KEPT = 100_000  # stretches remembered, twice
 
 
 class Memory:

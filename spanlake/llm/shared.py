@@ -18,7 +18,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Bytes of text that are worked on at once; one document may be larger.
-SLICE = 1 << 21
+SLICE = 1 << 19
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
