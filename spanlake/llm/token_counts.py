@@ -29,6 +29,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from spanlake.llm.pieces import Memory, cached, rank_encoding, ranks
+from spanlake.llm.shared import slices, utf8
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -49,41 +50,41 @@ def length_memory(name: str) -> Memory:
     return cached(("lengths", name), make)
 
 
-def token_spans(text: str, lengths: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """First and last code point of each token."""
-    ends = np.cumsum(np.frombuffer(lengths, "<u2").astype(np.int64))
-    starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-    if text.isascii():
-        return starts, ends - 1
-    data = np.frombuffer(text.encode(), np.uint8)
-    place = np.cumsum((data & 0xC0) != 0x80) - 1
-    return place[starts], place[ends - 1]
-
-
 def allocate(first: np.ndarray, last: np.ndarray, start: np.ndarray, end: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of each section, and how many tokens cross one of its borders."""
+    """Tokens of each section, and how many tokens cross one of its borders.
+
+    ``first`` and ``last`` are the tokens' characters, ascending; sections come in any order.
+    """
     end = np.maximum(start, end)
+    some = end > start
     by_first = np.searchsorted(first, [start, end])
     by_last = np.searchsorted(last, [start, end])
-    some = end > start
-    # Inside a border's crossing tokens lie those that begin before it and end after it.
-    crossing = (by_first[0] - by_last[0]) + (by_first[1] - by_last[1])
-    # A token that holds the whole section and more was counted at both of its borders.
-    both = np.maximum(0, by_first[0] - by_last[1])
-    counts = (by_first if rule == "first" else by_last)
-    counts = counts[1] - counts[0]
-    if rule == "most":
-        # Wholly inside: first >= start and last < end; then those that cross are weighed.
-        counts = np.maximum(0, by_last[1] - by_first[0])
-        lo, hi = by_last[0], by_first[1]
-        for k in np.flatnonzero((crossing > 0) & some):
-            near = np.unique(np.concatenate([
-                np.arange(lo[k], by_first[0][k]), np.arange(by_last[1][k], hi[k])
-            ]))
-            a, b = first[near], last[near] + 1
-            inside = np.minimum(b, end[k]) - np.maximum(a, start[k])
-            counts[k] += int(((2 * inside > b - a) | ((2 * inside == b - a) & (a >= start[k]))).sum())
-    return np.where(some, counts, 0), np.where(some, crossing - both, 0)
+    # The tokens that cross the start; those that cross the end and not the start too.
+    over_start = by_last[0], by_first[0]
+    over_end = np.maximum(by_last[1], by_first[0]), np.maximum(by_first[1], by_first[0])
+    crossing = over_start[1] - over_start[0] + over_end[1] - over_end[0]
+    if rule != "most":
+        counts = by_first[1] - by_first[0] if rule == "first" else by_last[1] - by_last[0]
+    else:
+        counts = np.maximum(0, by_last[1] - by_first[0])  # tokens wholly inside
+        for lo, hi in (over_start, over_end):
+            n = hi - lo
+            section = np.repeat(np.arange(len(n)), n)
+            token = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[section]
+            a, b = first[token], last[token] + 1
+            inside = np.minimum(b, end[section]) - np.maximum(a, start[section])
+            mine = (2 * inside > b - a) | ((2 * inside == b - a) & (a >= start[section]))
+            counts = counts + np.bincount(section[mine], minlength=len(n))
+    return np.where(some, counts, 0), np.where(some, crossing, 0)
+
+
+def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first byte and end of each sentence of the rows."""
+    stop = np.isin(data, [ord(c) for c in ".!?"])
+    ends = data == ord("\n")
+    ends[1:] |= (data[1:] == ord(" ")) & stop[:-1]
+    edges = np.union1d(np.flatnonzero(ends) + 1, offsets)
+    return np.searchsorted(offsets, edges[:-1], "right") - 1, edges[:-1], edges[1:]
 
 
 def count_tokens(
@@ -107,39 +108,41 @@ def count_tokens(
         )
         docs = docs.join(each, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
 
-    def sentences(text: str) -> tuple[np.ndarray, ...]:
-        data = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        stop = np.isin(data, [ord(c) for c in ".!?"])
-        ends = data == ord("\n")
-        ends[1:] |= (data[1:] == ord(" ")) & stop[:-1]
-        start = np.concatenate([[0], np.flatnonzero(ends) + 1])
-        start = start[start < len(data)]
-        return np.arange(len(start)), start, np.concatenate([start[1:], [len(data)]]) if len(start) else start
-
-    def spans(value: list[dict] | None, size: int) -> tuple[np.ndarray, ...]:
-        rows = [(s["section"], s["start"] or 0, (s["end"] or 0) if s["start"] is not None else 0) for s in value or ()]
-        number, start, end = (np.array(x, np.int64) for x in (zip(*rows) if rows else ((), (), ())))
-        return number, np.clip(start, 0, size), np.clip(end, 0, size)
+    def bounds(values: list[list[dict] | None], lead: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Row, number, start and end of the given sections, in characters of the slice."""
+        rows = [
+            (row, s["section"], *((0, 0) if s["start"] is None or s["end"] is None else (s["start"], s["end"])))
+            for row, value in enumerate(values) for s in value or ()
+        ]
+        row, number, start, end = (np.array(x, np.int64) for x in (zip(*rows) if rows else ((), (), (), ())))
+        size = np.diff(lead)[row]
+        return row, number, lead[row] + np.clip(start, 0, size), lead[row] + np.clip(end, 0, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "section", "start", "end", "n_tokens", "n_crossing", "doc_tokens"]
         lengths = length_memory(name)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                out: list[list[np.ndarray]] = [[] for _ in names[1:]]
-                times = []
-                values = part.column(2).to_pylist() if given else [None] * part.num_rows
-                for text, value in zip(part.column(1).to_pylist(), values):
-                    text = text or ""
-                    first, last = token_spans(text, lengths(text))
-                    number, start, end = spans(value, len(text)) if given else sentences(text)
-                    counts, crossing = allocate(first, last, start, end, rule)
-                    times.append(len(number))
-                    for column, x in zip(out, (number, start, end, counts, crossing, np.full(len(number), len(first)))):
-                        column.append(x.astype(np.int64))
-                ids = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), times)))
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array(np.concatenate(x)) for x in out)], names=names)
+            for at, to in slices(batch.column(1)):
+                part = batch.slice(at, to - at)
+                data, offsets = utf8(part.column(1))
+                # Characters before each byte of the slice, and before each row.
+                chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+                lead = chars[offsets]
+                sizes = [lengths(t or "") for t in part.column(1).to_pylist()]
+                ends = np.cumsum(np.frombuffer(b"".join(sizes), "<u2").astype(np.int64))
+                first = chars[np.concatenate([[0], ends[:-1]]) + 1] - 1 if len(ends) else ends
+                last = chars[ends] - 1
+                if given:
+                    row, number, start, end = bounds(part.column(2).to_pylist(), lead)
+                else:
+                    row, start, end = sentences(data, offsets)
+                    number = np.arange(len(row)) - np.searchsorted(row, row)
+                    start, end = chars[start], chars[end]
+                counts, crossing = allocate(first, last, start, end, rule)
+                tokens = np.array([len(x) // 2 for x in sizes])[row]
+                out = number, start - lead[row], end - lead[row], counts, crossing, tokens
+                ids = part.column(0).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int64()) for x in out)], names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(
