@@ -42,21 +42,25 @@ CHUNKS = f"shard int, chunk bigint, first bigint, n_ids int, docs {DOCS}, sizes
 
 
 def to_planes(ids: np.ndarray, plane: str) -> list[bytes]:
-    """The planes of 32-bit ids, from the lowest."""
+    """The planes of 32-bit ids, from the lowest; those above the highest bit are zero."""
     raw = ids.astype("<u4").view(np.uint8).reshape(-1, 4)
     if plane == "byte":
         return [raw[:, i].tobytes() for i in range(4)]
-    bits = np.unpackbits(raw, axis=1, bitorder="little")
+    size = -(-int(ids.max(initial=0)).bit_length() // 8)
+    bits = np.unpackbits(np.ascontiguousarray(raw[:, :size]), axis=1, bitorder="little")
     packed = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")
-    return [row.tobytes() for row in packed]
+    return [*(row.tobytes() for row in packed), *[bytes(-(-len(ids) // 8))] * (32 - len(packed))]
 
 
 def from_planes(planes: list[bytes], n: int) -> np.ndarray:
     if len(planes) == 4:
         return np.stack([np.frombuffer(p, np.uint8) for p in planes], axis=1).reshape(-1).view("<u4")
     packed = np.stack([np.frombuffer(p, np.uint8) for p in planes])
-    bits = np.unpackbits(packed, axis=1, count=n, bitorder="little")
-    return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").reshape(-1).view("<u4")
+    used = int(np.flatnonzero(packed.any(axis=1)).max(initial=0)) // 8 + 1
+    bits = np.unpackbits(packed[: 8 * used], axis=1, count=n, bitorder="little")
+    raw = np.zeros((n, 4), np.uint8)
+    raw[:, :used] = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")
+    return raw.reshape(-1).view("<u4")
 
 
 def library_memory(name: str) -> Memory:
@@ -230,7 +234,7 @@ def read_digests(spark: SparkSession, folder: str) -> DataFrame:
         out = []
         for rows in pieces:
             crc = 0
-            for k, r in enumerate(sorted(rows, key=lambda r: r["piece"])):
+            for k, r in enumerate(sorted(() if rows is None else rows, key=lambda r: r["piece"])):
                 crc = crc_joined(crc, r["crc"], 4 * r["n"]) if k else r["crc"]
             out.append(crc)
         return pd.Series(out, dtype="int64")
@@ -239,8 +243,9 @@ def read_digests(spark: SparkSession, folder: str) -> DataFrame:
         F.first("doc_id").alias("doc_id"), F.min("at").alias("at"), F.sum("n").alias("n_tokens"),
         F.collect_list(F.struct("piece", "n", "crc")).alias("pieces"),
     )
-    joined = F.pandas_udf(together, "bigint")
-    crc = F.when(F.size("pieces") == 1, F.col("pieces")[0]["crc"]).otherwise(joined("pieces"))
+    several = F.size("pieces") > 1
+    joined = F.pandas_udf(together, "bigint")(F.when(several, F.col("pieces")))  # null for whole documents
+    crc = F.when(several, joined).otherwise(F.col("pieces")[0]["crc"])
     return documents.withColumn("crc", crc).join(shard_starts(spark, folder), "shard").select(
         "doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "crc"
     )
