@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from spanlake.llm import bpe, chat, decontam, lm_scores, near_dups, quality, repeats, secret_scan, token_counts, token_ids
+from spanlake.llm import bpe, chat, decontam, near_dups, ngram_scores, quality, repeats, secret_scan, token_counts, token_ids
 from spanlake.llm.shared import documents
 from spanlake.sources.workspace import new_folder
 
@@ -67,7 +67,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scores.score(documents(spark, sf_dir))
+    return ngram_scores.score(documents(spark, sf_dir))
 
 
 @query
