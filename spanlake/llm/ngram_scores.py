@@ -19,7 +19,9 @@ documents: log c(document) - log N). What is left to find is counts:
   counts; byte planes under zstandard). Which documents use which key stays with the block.
 * A bucket's blocks come together, which gives its count table; each block gets back the
   counts of its keys, in their order. An n-gram of every document is one key a block.
-* A block's counts meet its documents, and the logarithms are summed by document.
+* A block's counts meet its documents, and the logarithms are summed by document. Blocks
+  are cut twice, once for the keys and once for who uses them, so that the latter is
+  shuffled once; should the input come in other partitions the second time, this fails.
 
 Nothing is broadcast; the driver gets the number of words. Hashes of different n-grams are
 taken for different (with 5 * 10**9 of them, less than one collision is expected).
@@ -44,11 +46,12 @@ from spanlake.llm.shared import mix, slices, space_words, utf8
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-ORDER = 2
+ORDER = 3
 BUCKETS, BUCKET_WORDS = 256, 2_000_000
 BLOCK = 1 << 24  # bytes of text behind one set of packed blocks
-PACKED = "block bigint, bucket int, ids binary, uses binary, rows binary, keys binary, counts binary"
-COUNTED = "block bigint, bucket int, ids binary, uses binary, rows binary, counts binary"
+PACKED = "block bigint, bucket int, keys binary, counts binary"
+COUNTED = "block bigint, bucket int, check bigint, counts binary"
+DOCUMENTS = "block bigint, check bigint, ids binary, uses binary, rows binary"
 
 
 def schema_of(names: str) -> pa.Schema:
@@ -87,10 +90,11 @@ def grams(words: np.ndarray, bounds: np.ndarray, order: int) -> Iterator[tuple[n
             keys = mix(keys * factor + np.concatenate([words[n:], np.zeros(min(n, len(words)), np.uint64)]))
 
 
-def blocks(docs: DataFrame, buckets: int, order: int) -> DataFrame:
-    """Packed keys and counts by block and bucket; negative buckets hold the blocks' documents."""
+def blocks(docs: DataFrame, buckets: int, order: int, names: str) -> DataFrame:
+    """By block and bucket the packed keys and counts (``PACKED``), or by block its documents,
+    and by key the rows that use it (``DOCUMENTS``)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = schema_of(PACKED)
+    schema = schema_of(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # 2**20 blocks a task, 2**43 tasks.
@@ -98,15 +102,9 @@ def blocks(docs: DataFrame, buckets: int, order: int) -> DataFrame:
         number = 0
         ids, sizes, parts, held, done = [], [], [], 0, 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
             nonlocal number, ids, sizes, parts, held, done
             block = task << 20 | number
-            documents = pa.RecordBatch.from_arrays(
-                [pa.concat_arrays(ids), pa.array(np.concatenate(sizes))], names=["doc_id", "n_words"]
-            )
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, documents.schema) as writer:
-                writer.write_batch(documents)
             key = np.concatenate([k for k, _ in parts])
             use = np.concatenate([u for _, u in parts])
             parts = []
@@ -115,22 +113,29 @@ def blocks(docs: DataFrame, buckets: int, order: int) -> DataFrame:
             del place
             head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
             times = np.diff(np.concatenate([head, [len(key)]]))
-            used = np.add.reduceat((use >= 0).astype(np.int32), head) if len(head) else np.zeros(0, np.int32)
-            key, use = key[head], use[use >= 0]
-            yield pa.RecordBatch.from_pylist([{
-                "block": block, "bucket": -1 - (task * 7919 + number) % buckets, "ids": sink.getvalue().to_pybytes(),
-                "uses": packed(used.astype(np.int32)), "rows": packed(use),
-            }], schema=schema)
-            bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-            out = []
-            for b in np.flatnonzero(np.diff(cuts)).tolist():
-                a, z = cuts[b], cuts[b + 1]
-                steps = np.concatenate([key[a : a + 1], np.diff(key[a:z])])
-                out.append({"block": block, "bucket": b, "keys": packed(steps), "counts": packed(times[a:z])})
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
+            if names == DOCUMENTS:
+                documents = pa.RecordBatch.from_arrays(
+                    [pa.concat_arrays(ids), pa.array(np.concatenate(sizes))], names=["doc_id", "n_words"]
+                )
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, documents.schema) as writer:
+                    writer.write_batch(documents)
+                used = np.add.reduceat((use >= 0).astype(np.int32), head) if len(head) else np.zeros(0, np.int32)
+                out = [{
+                    "block": block, "check": fingerprint(key[head]), "ids": sink.getvalue().to_pybytes(),
+                    "uses": packed(used.astype(np.int32)), "rows": packed(use[use >= 0]),
+                }]
+            else:
+                key, out = key[head], []
+                bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+                cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+                for b in np.flatnonzero(np.diff(cuts)).tolist():
+                    a, z = cuts[b], cuts[b + 1]
+                    steps = np.concatenate([key[a : a + 1], np.diff(key[a:z])])
+                    out.append({"block": block, "bucket": b, "keys": packed(steps), "counts": packed(times[a:z])})
             number += 1
             ids, sizes, held, done = [], [], 0, 0
+            return pa.RecordBatch.from_pylist(out, schema=schema)
 
         for batch in batches:
             for at, to in slices(batch.column(1)):
@@ -144,26 +149,29 @@ def blocks(docs: DataFrame, buckets: int, order: int) -> DataFrame:
                 done += part.num_rows
                 held += part.num_rows + len(words) * 6
                 if held >= BLOCK:
-                    yield from flush()
+                    yield flush()
         if ids:
-            yield from flush()
+            yield flush()
 
-    return docs.select(F.col("doc_id").cast(kind), "text").mapInArrow(run, PACKED)
+    return docs.select(F.col("doc_id").cast(kind), "text").mapInArrow(run, names)
+
+
+def fingerprint(keys: np.ndarray) -> int:
+    """Adds up over the parts of a block."""
+    return int(mix(keys).sum(dtype=np.uint64).view(np.int64))
 
 
 def counted(made: DataFrame) -> DataFrame:
-    """For each block and bucket the corpus counts of the block's keys, in their order; documents pass."""
+    """For each block and bucket the corpus counts of the block's keys, in their order."""
     schema = schema_of(COUNTED)
 
     def run(group: pa.Table) -> pa.Table:
-        if group.column("bucket")[0].as_py() < 0:
-            return group.select(schema.names)
         keys = [np.cumsum(unpacked(x.as_py(), np.uint64), dtype=np.uint64) for x in group.column("keys")]
         counts = np.concatenate([unpacked(x.as_py(), np.int64) for x in group.column("counts")])
         known, total = summed(np.concatenate(keys), counts)
         found = [packed(total[np.searchsorted(known, key)]) for key in keys]
         return pa.Table.from_arrays([
-            *(group.column(c) for c in schema.names[:-1]), pa.array(found, pa.binary()),
+            group.column("block"), group.column("bucket"), pa.array([fingerprint(key) for key in keys], pa.int64()), pa.array(found, pa.binary()),
         ], schema=schema)
 
     return made.groupBy("bucket").applyInArrow(run, COUNTED)
@@ -175,21 +183,23 @@ def score(docs: DataFrame, order: int = ORDER, buckets: int = BUCKETS) -> DataFr
     buckets = max(buckets, -(-total // BUCKET_WORDS))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(group: pa.Table) -> pa.Table:
-        own = next(i for i, b in enumerate(group.column("bucket").to_pylist()) if b < 0)
-        with pa.ipc.open_stream(group.column("ids")[own].as_py()) as reader:
+    def run(key: tuple, documents: pa.Table, counts: pa.Table) -> pa.Table:
+        check = counts.column("check").to_numpy().sum(dtype=np.int64)
+        if documents.num_rows != 1 or documents.column("check")[0].as_py() != check:
+            raise ValueError("The documents came in other partitions when they were read again; store them first")
+        with pa.ipc.open_stream(documents.column("ids")[0].as_py()) as reader:
             table = reader.read_all()
-        place = np.argsort(group.column("bucket").to_numpy())
-        counts = [unpacked(group.column("counts")[int(i)].as_py(), np.int64) for i in place if i != own]
-        logs = np.log(np.concatenate([np.zeros(0, np.int64), *counts]))
-        rows = unpacked(group.column("rows")[own].as_py(), np.int32)
-        terms = np.repeat(logs, unpacked(group.column("uses")[own].as_py(), np.int32)) * (1 - 2 * (rows & 1))
+        found = [unpacked(counts.column("counts")[int(i)].as_py(), np.int64) for i in np.argsort(counts.column("bucket").to_numpy())]
+        logs = np.log(np.concatenate([np.zeros(0, np.int64), *found]))
+        rows = unpacked(documents.column("rows")[0].as_py(), np.int32)
+        terms = np.repeat(logs, unpacked(documents.column("uses")[0].as_py(), np.int32)) * (1 - 2 * (rows & 1))
         sums = np.bincount(rows >> 1, terms, table.num_rows)
         words = table.column("n_words").to_numpy()
         sums -= np.log(max(total, 1)) * (words if order == 1 else words > 0)  # single words have no context
         return table.append_column("log_score", pa.array(sums))
 
-    scored = counted(blocks(docs, buckets, order)).groupBy("block").applyInArrow(
+    own = blocks(docs, buckets, order, DOCUMENTS).groupBy("block")
+    scored = own.cogroup(counted(blocks(docs, buckets, order, PACKED)).groupBy("block")).applyInArrow(
         run, f"doc_id {kind}, n_words bigint, log_score double"
     )
     mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
