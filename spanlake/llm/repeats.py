@@ -41,6 +41,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 LENGTH = 400
 GRAM = 16
 HOT = 10_000
+EDGE_BYTES = 1 << 23  # of one batch of edges
 SETTLED, EDGE, SPLIT = 1, 2, 4
 
 
@@ -131,41 +132,47 @@ def _anchor_rows(keyed: DataFrame, length: int) -> DataFrame:
 
 
 def _counted_here(rows: DataFrame) -> DataFrame:
-    """``(rank, kind, n, one)`` summed over what a task holds, some million rows at a time."""
+    """``(rank, kind, n)`` and the least anchor ``(one, two, spot)``, summed over what a task
+    holds, some million rows at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def summed() -> pa.RecordBatch:
             values = np.concatenate(held, axis=1)
-            order = np.lexsort((values[2], values[1], values[0]))
+            order = np.lexsort(values[4::-1])
             values = values[:, order]
             new = np.ones(values.shape[1], bool)
             new[1:] = (values[:2, 1:] != values[:2, :-1]).any(axis=0)
             head = np.flatnonzero(new)
-            n = np.add.reduceat(values[3], head)
+            n = np.diff(np.concatenate([head, [values.shape[1]]]))
             return pa.RecordBatch.from_arrays(
-                [pa.array(values[0, head]), pa.array(values[1, head]), pa.array(n), pa.array(values[2, head])],
-                names=["rank", "kind", "n", "one"],
+                [pa.array(values[0, head]), pa.array(values[1, head]), pa.array(n), *(pa.array(v) for v in values[2:, head])],
+                names=["rank", "kind", "n", "one", "two", "spot"],
             )
 
         for batch in batches:
             if batch.num_rows:
-                columns = [batch.column(c).to_numpy() for c in ("rank", "kind", "one")]
-                held.append(np.stack([*columns, np.ones(batch.num_rows, np.int64)]))
+                held.append(np.stack([c.to_numpy() for c in batch.columns]))
             if sum(h.shape[1] for h in held) > 2_000_000:
                 yield summed()
                 held = []
         if held:
             yield summed()
 
-    return rows.select("rank", "kind", "one").mapInArrow(run, "rank bigint, kind bigint, n bigint, one bigint")
+    return rows.select("rank", "kind", "one", "two", "spot").mapInArrow(
+        run, "rank bigint, kind bigint, n bigint, one bigint, two bigint, spot bigint"
+    )
 
 
 def _edges(texts: DataFrame, length: int) -> DataFrame:
     """The bytes that the strings of each edge anchor cover, by the rank they are compared in."""
     w = window_of(length)
     names = ["rank", "one", "two", "start", "alone", "bytes"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,20 +188,22 @@ def _edges(texts: DataFrame, length: int) -> DataFrame:
                 first, last = place - (spot >> 16 & 0xFFFF), place - (spot & 0xFFFF)
                 hashes = Hashes(text)
                 rank = hashes.of(place, place + length - w + 1)
-                out = [(int(r), int(a), int(b), bool(f & SETTLED)) for r, a, b, f in zip(rank.view(np.int64), first, last, flag) if not f & SPLIT]
-                for a, b, f in zip(first.tolist(), last.tolist(), flag.tolist()):
+                one, two = batch.column(0)[at].as_py(), batch.column(1)[at].as_py()
+                out, held = [], 0
+                for r, a, b, f in zip(rank.view(np.int64).tolist(), first.tolist(), last.tolist(), flag.tolist()):
+                    parts = [(r, a, b)]
                     if f & SPLIT:  # each place in a group of its own bytes
                         each = np.arange(a, b + 1)
                         own = hashes.of(each, each + length).view(np.int64).tolist()
-                        out += [(r, i, i, bool(f & SETTLED)) for r, i in zip(own, each.tolist())]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([r for r, *_ in out], pa.int64()),
-                    pa.array([batch.column(0)[at].as_py()] * len(out), pa.int64()),
-                    pa.array([batch.column(1)[at].as_py()] * len(out), pa.int64()),
-                    pa.array([a for _, a, _, _ in out], pa.int32()),
-                    pa.array([not s for *_, s in out], pa.bool_()),
-                    pa.array([text[a : b + length].tobytes() for _, a, b, _ in out], pa.binary()),
-                ], names=names)
+                        parts = zip(own, each.tolist(), each.tolist())
+                    for r, a, b in parts:
+                        out.append((r, one, two, a, not f & SETTLED, text[a : b + length].tobytes()))
+                        held += b + length - a
+                    if held > EDGE_BYTES:
+                        yield batch_of(out)
+                        out, held = [], 0
+                if out:
+                    yield batch_of(out)
 
     return texts.select("one", "two", "text", "marks").mapInArrow(
         run, "rank bigint, one bigint, two bigint, start int, alone boolean, bytes binary"
@@ -303,7 +312,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
     by_rank = Window.partitionBy("rank")
     classes = (
         _counted_here(rows).repartition("rank").groupBy("rank", "kind")
-        .agg(F.sum("n").alias("n"), F.min("one").alias("chosen"))
+        .agg(F.sum("n").alias("n"), F.min(F.struct("one", "two", "spot")).alias("chosen"))
         .withColumn("kinds", F.count("*").over(by_rank))
         .where("n > 1 OR kinds > 1")
     )
@@ -311,7 +320,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
         "one", "two", "spot",
         (
             F.when(F.col("n") > 1, SETTLED).otherwise(0)
-            + F.when((F.col("kinds") > 1) & ((F.col("n") == 1) | (F.col("one") == F.col("chosen"))), EDGE).otherwise(0)
+            + F.when((F.col("kinds") > 1) & ((F.col("n") == 1) | (F.struct("one", "two", "spot") == F.col("chosen"))), EDGE).otherwise(0)
             + F.when(F.col("kinds") > hot, SPLIT).otherwise(0)
         ).cast("tinyint").alias("flag"),
     )

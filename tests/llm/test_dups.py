@@ -139,6 +139,24 @@ def test_removal_at_the_threshold(spark):
     assert {r[0]: r[2] for r in expected}[0] == 0 and {r[0]: r[2] for r in expected}[3] == 400
 
 
+def test_long_run_sends_few_edges(spark, monkeypatch):
+    """Every place of a run is an anchor; of each class one goes on, and batches of edges are bounded."""
+    sent = []
+    edges = repeats._edges
+    monkeypatch.setattr(repeats, "_edges", lambda *a: sent.append(edges(*a)) or sent[-1])
+    monkeypatch.setattr(repeats, "EDGE_BYTES", 2000)
+    rows = [(1, "a" * 20_000 + prose(31, 300)), (2, prose(32, 200) + " " * 9_000 + prose(33, 200)), (3, "a" * 700)]
+    assert removed(spark, rows) == brute_removal(rows, 400)
+    assert sent[0].count() < 3000
+
+
+def test_run_of_megabytes(spark):
+    size = 3 << 20
+    tail = prose(34, 300)
+    got = removed(spark, [(1, "-" * size + tail)])
+    assert [(r[0], r[2], r[3]) for r in got] == [(1, size, [[0, size]])]
+
+
 def test_no_texts(spark):
     assert removed(spark, []) == []
 
