@@ -25,7 +25,7 @@ def joined(spans: Column, kinds: tuple[str, ...] | None = None) -> Column:
 @query
 def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "token-ids")
-    token_ids.write_ids(documents(spark, sf_dir), folder)
+    token_ids.write_ids(documents(spark, sf_dir), folder, ordinary=False)  # as the library's own call
     return token_ids.read_digests(spark, folder).withColumnRenamed("crc", "ids_crc32")
 
 

@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import sys
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -63,10 +63,15 @@ def from_planes(planes: list[bytes], n: int) -> np.ndarray:
     return raw.reshape(-1).view("<u4")
 
 
-def library_memory(name: str) -> Memory:
-    """Encoding by the tokenizers library, ids as little-endian 32-bit integers."""
+def library_memory(name: str, ordinary: bool = True) -> Callable[[str], bytes]:
+    """Encoding by the tokenizers library, ids as little-endian 32-bit integers.
 
-    def make() -> Memory:
+    ``ordinary`` reads the strings of special tokens as any other text; without it they
+    give their own ids, as the library does by default. A text that holds such a string is
+    encoded whole then, as white space before it is not split like that before a word.
+    """
+
+    def make() -> Callable[[str], bytes]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -94,16 +99,30 @@ def library_memory(name: str) -> Memory:
                 for a, b in zip(cuts, [*cuts[1:], len(raw)]):
                     yield raw[a:b]
 
-        return Memory(encode, 400_000)
+        memory = Memory(encode, 400_000)
+        if ordinary:
+            return memory
+        default = Tokenizer.from_file(public_tokenizers.path(name))
+        special = [t.content for t in default.get_added_tokens_decoder().values() if t.special]
+
+        def whole(text: str) -> bytes:
+            if any(x in text for x in special):
+                return np.array(default.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return memory(text)
 
-    return cached(("library", name), make)
+        return whole
+
+    return cached(("library", name, ordinary), make)
 
 
 def write_ids(
     docs: DataFrame, folder: str, name: str = "byte_bpe_50k.json", end_id: int = 2,
-    plane: str = "bit", block: int = BLOCK,
+    plane: str = "bit", block: int = BLOCK, ordinary: bool = True,
 ) -> None:
-    """Encode ``(doc_id, text)`` and write the ids in ascending order of ``doc_id``."""
+    """Encode ``(doc_id, text)`` and write the ids in ascending order of ``doc_id``.
+
+    ``ordinary``: strings of special tokens are ordinary text; see ``library_memory``.
+    """
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     end = np.array([end_id], "<u4").tobytes()
 
@@ -118,7 +137,7 @@ def write_ids(
             ]))),
             ("sizes", pa.list_(pa.int32())), ("body", pa.binary()),
         ])
-        encode = library_memory(name)
+        encode = library_memory(name, ordinary)
         shard = TaskContext.get().partitionId()
         press = zstandard.ZstdCompressor(level=3)
         chunk = number = 0

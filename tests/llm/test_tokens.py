@@ -47,6 +47,27 @@ def test_ids_come_back(spark, docs, plane, block):
     ]
 
 
+def test_query_is_the_unmodified_library(spark):
+    """Special tokens' strings have their own ids in the query, whatever white space is around."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from spanlake.llm.queries import QUERIES
+
+    texts = [
+        "a <|endoftext|> b", "x\n <|endoftext|>\n y", "one<|endoftext|>two  <|endoftext|>", "plain words here",
+        "<|endoftext|>", "\t <|endoftext|><|endoftext|> z a\n <|endoft", None, prose(1, 50),
+    ]
+    folder = new_folder(spark, "special")
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{folder}/documents.parquet")
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    expected = [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    got = sorted(QUERIES["op1_token_ids"](spark, folder).collect(), key=lambda r: r.doc_id)
+    assert [(r.n_tokens, r.ids_crc32) for r in got] == [(len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for x in expected]
+    assert 50256 in expected[0]
+
+
 def test_planes():
     ids = np.array([0, 1, 50256, 2**32 - 1, 7], np.uint32)
     for plane, n in (("bit", 32), ("byte", 4)):
