@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings: distributed prefix doubling over sampled positions.
+"""Removal of repeated byte strings: ranks of sampled positions, in three fixed steps (no prefix doubling).
 
 Every start of a string of ``LENGTH`` bytes belongs to the smallest hash of 16 bytes in the
 256 places from it on, its anchor. Equal strings have their anchor at the same offset, so
