@@ -99,3 +99,27 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.m, d
   d.doc_id <= coalesce(m.m, d.doc_id) AS kept
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(seen) AS m FROM r GROUP BY doc_id) m USING (doc_id)
 """
+
+# Rows of one id are told apart by number.
+ORACLES["op13_substrings"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), w AS (
+  SELECT r, doc_id, s, sha256(array_to_string(list_slice(ws, s, s + 49), ' ')) AS h
+  FROM (SELECT r, doc_id, ws, unnest(range(1, len(ws) - 48)) AS s FROM d WHERE len(ws) >= 50)
+), least AS (
+  SELECT h, min(coalesce(doc_id, 9223372036854775807)) AS lo FROM w GROUP BY h
+), gone AS (
+  SELECT r, s FROM w JOIN least USING (h) WHERE coalesce(doc_id, 9223372036854775807) > lo
+), x AS (
+  SELECT r, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM d
+), y AS (
+  SELECT x.r, i, word,
+    coalesce(max(CASE WHEN gone.s IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY x.r ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) AS cut
+  FROM x LEFT JOIN gone ON x.r = gone.r AND x.i = gone.s
+), z AS (
+  SELECT r, count(*) AS n_words, sum(cut)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (cut = 0) AS kept FROM y GROUP BY r
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN z USING (r)
+"""

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from spanlake.llm import bpe, chat, decontam, near_dups, ngram_scores, quality, repeats, secret_scan, token_counts, token_ids
+from spanlake.llm import (
+    alignment, bpe, chat, decontam, near_dups, ngram_scores, quality, repeats, secret_scan, substrings, token_counts, token_ids,
+    whitening,
+)
 from spanlake.llm.shared import documents
 from spanlake.sources.workspace import new_folder
 
@@ -112,3 +115,21 @@ def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").cast("bigint").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return whitening.whiten(vectors).withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+@query
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir))
+
+
+@query
+def op13_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_substrings(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
