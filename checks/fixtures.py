@@ -13,6 +13,11 @@ from spanlake.sources.workspace import new_folder
 TYPES = ("pers.ind", "func.ind", "loc.adm.town", "amount", "time.date.abs", "org.ent", "prod.media", "name")
 
 
+# Characters and how they are written as references, in the order of replacement; the name of
+# the last one stands for nothing.
+REFERENCES = {"&": "&amp;", "z": "&#x7A;", "q": "&#113;", "k": "&uuml;", "j": "&nosuch;"}
+
+
 # Folders that hold a fixture already, by (sf, name); see ``prepare``.
 PREPARED: dict[tuple[str, str], str] = {}
 

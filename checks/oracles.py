@@ -237,6 +237,8 @@ ORACLES["coarse_types"] = sql(TOKENS, f"""
 SELECT doc_id, sent_id, tok_id, {_COARSE} AS type, list_contains({sql_list(COARSE_TYPES)}, {_COARSE}) AS valid
 FROM tokens WHERE iob <> 'O'""")
 
+ORACLES["references"] = "SELECT doc_id, replace(replace(text, 'k', 'ü'), 'j', '&nosuch;') AS text FROM documents"
+
 # Fragments, sentences, labels
 
 ORACLES["fragments"] = sql(FRAGMENTS, "SELECT * FROM frags")
@@ -341,12 +343,12 @@ SELECT coalesce(p.doc_id, q.doc_id) AS doc_id, coalesce(p.sent_id, q.sent_id) AS
        p.gold, q.guess, CASE WHEN q.doc_id IS NULL THEN 'gold_only' WHEN p.doc_id IS NULL THEN 'guess_only' ELSE 'matched' END AS status
 FROM pairs p FULL JOIN pred q ON p.doc_id = q.doc_id AND p.sent_id = q.sent_id AND p.tok_id = q.tok_id""")
 
-ORACLES["score_aligned"] = sql(PAIRS, """,
-whole AS (
+_WHOLE = """whole AS (
   SELECT * FROM pairs ANTI JOIN (
-    SELECT DISTINCT doc_id, sent_id FROM pairs WHERE (doc_id + sent_id + tok_id) % 11 IN (0, 1)) USING (doc_id, sent_id))
-SELECT count(*) AS tokens, count(*) FILTER (gold = guess) AS matched, 100 * (count(*) FILTER (gold = guess))::DOUBLE / count(*) AS accuracy
-FROM whole""")
+    SELECT DISTINCT doc_id, sent_id FROM pairs WHERE (doc_id + sent_id + tok_id) % 11 IN (0, 1)) USING (doc_id, sent_id))"""
+ORACLES["score_aligned"] = sql(
+    [*PAIRS, _WHOLE, *(cte.replace("FROM pairs", "FROM whole") for cte in SCORES[len(PAIRS):])], "SELECT * FROM scores"
+)
 
 # Mentions and statistics
 
@@ -454,3 +456,19 @@ FROM (SELECT doc_id, sent_id, {value} AS t, unnest(range((length(text) + 249) //
 
 ORACLES["char_sequences"] = _sequences("text")
 ORACLES["char_sequences_backward"] = _sequences("reverse(text)")
+ORACLES["char_ids"] = sql(PLAIN, """,
+counted AS (SELECT char, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS char FROM benchmark) WHERE char <> '' GROUP BY char),
+vocab AS (SELECT char, row_number() OVER (ORDER BY n DESC, char) - 1 AS id FROM counted),
+cut AS (
+  SELECT doc_id, sent_id, i AS piece, substr(text, i * 250 + 1, 250) AS chars
+  FROM (SELECT doc_id, sent_id, text, unnest(range((length(text) + 249) // 250)) AS i FROM plain)),
+each AS (SELECT doc_id, sent_id, piece, unnest(string_split(chars, '')) AS char, generate_subscripts(string_split(chars, ''), 1) AS k FROM cut)
+SELECT doc_id, sent_id, piece, string_agg(coalesce(id, (SELECT count(*) FROM vocab))::VARCHAR, ' ' ORDER BY k) AS ids
+FROM each LEFT JOIN vocab USING (char) GROUP BY doc_id, sent_id, piece""")
+
+# Whole jobs from files
+
+ORACLES["files_to_statistics"] = sql(MENTIONS, """
+SELECT data_set, type, subtype, count(*) AS n, sum(n_tokens)::BIGINT AS tokens, sum(n_characters)::BIGINT AS characters
+FROM mentions GROUP BY data_set, type, subtype""")
+ORACLES["files_to_shards"] = sql(SPLIT, f"SELECT split, {EVEN}, count(*) AS n FROM split GROUP BY ALL")

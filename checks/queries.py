@@ -191,6 +191,15 @@ def coarse_types(spark, sf):
     )
 
 
+@query
+def references(spark, sf):
+    """Characters written as references of each kind, and one name that stands for none."""
+    written = F.col("text")
+    for char, ref in X.REFERENCES.items():
+        written = F.replace(written, F.lit(char), F.lit(ref))
+    return X.table(spark, sf, "documents").select("doc_id", text.decode_references(written).alias("text"))
+
+
 # Fragments, sentences, labels
 
 
@@ -286,7 +295,7 @@ def align_pairs(spark, sf):
 @query
 def score_aligned(spark, sf):
     whole, _ = scoring.whole_sentences(scoring.align(X.tokens(spark, sf), X.predictions(spark, sf)))
-    return scoring.token_accuracy(whole)
+    return scoring.score(whole)
 
 
 @query
@@ -445,3 +454,30 @@ def char_sequences(spark, sf):
 @query
 def char_sequences_backward(spark, sf):
     return chars.char_sequences(splits.plain_text(X.tokens(spark, sf)), backward=True)
+
+
+@query
+def char_ids(spark, sf):
+    vocab = chars.char_inventory(X.table(spark, sf, "benchmark"))
+    pieces = chars.char_sequences(splits.plain_text(X.tokens(spark, sf)))
+    return chars.char_ids(pieces, vocab, col="chars").withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), " "))
+
+
+# Whole jobs from files
+
+
+@query
+def files_to_statistics(spark, sf):
+    tables = jobs.tokens_to_statistics(_written_columns(spark, sf))
+    return tables["mentions"].groupBy("data_set", "type", "subtype").agg(
+        F.count("*").alias("n"), F.sum("n_tokens").alias("tokens"), F.sum("n_characters").alias("characters")
+    )
+
+
+@query
+def files_to_shards(spark, sf):
+    """Ranks are by file name, so only the files' sizes can be known beforehand."""
+    folder = new_folder(spark, "plain")
+    columns.write_splits(jobs.tokens_to_shards(_written_columns(spark, sf)), folder)
+    back = spark.read.text(folder)
+    return back.groupBy("split", F.col("shard").cast("bigint").alias("shard")).agg(F.count("*").alias("n"))

@@ -101,23 +101,23 @@ def break_after_punct(col: Column) -> Column:
     """White space after ``. ! ?`` to a newline, as far as what follows it allows.
 
     ``a-z`` and ``<`` go on with the sentence: then the run of white space gives its
-    last character back and the rest of it, if any, is the break.
+    last character back and the rest of it, if any, is the break. The text is cut behind
+    those marks alone; every piece but the first begins with such a run.
     """
-    runs = F.split(col, rf"(?U)(?={WS})(?<!{WS})|(?<={WS})(?!{WS})", -1)
-    near = F.arrays_zip(
-        F.concat(F.array(F.lit("")), runs).alias("before"), runs.alias("run"),
-        F.slice(runs, F.lit(2), F.size(runs)).alias("after"),
-    )
-
-    def piece(x: Column) -> Column:
-        run = x["run"]
-        here = run.rlike(rf"(?U)^{WS}") & _last(x["before"], 1).isin(*SENTENCE_END)
-        after = F.coalesce(x["after"], F.lit(""))
-        goes_on = F.left(after, F.lit(1)).between("a", "z") | after.startswith("<")
-        short = F.when(F.length(run) > 1, F.concat(F.lit("\n"), _last(run, 1))).otherwise(run)
-        return F.when(here & goes_on, short).when(here, "\n").otherwise(run)
-
-    return F.array_join(F.transform(near, piece), "")
+    pieces = F.split(col, rf"(?U)(?<=[{''.join(SENTENCE_END)}])(?={WS})", -1)
+
+    def decided(piece: Column, number: Column) -> Column:
+        body = F.regexp_replace(piece, rf"(?U)\A{WS}++", "")
+        run = F.length(piece) - F.length(body)
+        goes_on = F.left(body, F.lit(1)).between("a", "z") | body.startswith("<")
+        return (
+            F.when(number == 0, piece)
+            .when(~goes_on, F.concat(F.lit("\n"), body))
+            .when(run > 1, F.concat(F.lit("\n"), F.substr(piece, run)))
+            .otherwise(piece)
+        )
+
+    return F.array_join(F.transform(pieces, decided), "")
 
 
 def dehyphenate(col: Column, keep: Sequence[str] = HYPHEN_PRONOUNS) -> Column:

@@ -114,7 +114,7 @@ def fragments(docs: DataFrame, mode: str = "n", keys: Sequence[str] = KEYS) -> D
     An outermost annotation is one fragment, markup inside it flattened; plain
     text gives one fragment per line (``label`` NULL). Mode ``c`` uses the
     corrections given as attributes. Markup that does not nest is put right first
-    (``functions.markup.balance`` has the rule); ``markup_errors`` reports it.
+    (``functions.markup.put_right`` has the rule); ``markup_errors`` reports it.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, not {mode!r}")

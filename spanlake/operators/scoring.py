@@ -28,6 +28,12 @@ from spanlake.operators.islands import merge_islands
 SENTENCE = ("doc_id", "sent_id")
 OVERALL = "(overall)"
 
+# The words of the printed reports.
+LATEX_HEAD = r"        & Precision &  Recall  & F$_{\beta=1} \\\hline"
+SUMMARY = ("processed ", " tokens with ", " phrases; found: ", " phrases; correct: ", ".")
+RATES = ("precision: ", "%; recall: ", "%; FB1: ")
+ACCURACY = ("accuracy: ", "%; ")
+
 
 def align(gold: DataFrame, pred: DataFrame, keys: Sequence[str] = SENTENCE) -> DataFrame:
     """Pair gold and predicted tags by position.
@@ -49,10 +55,15 @@ def align(gold: DataFrame, pred: DataFrame, keys: Sequence[str] = SENTENCE) -> D
 
 def whole_sentences(aligned: DataFrame, keys: Sequence[str] = SENTENCE) -> tuple[DataFrame, DataFrame]:
     """``align``'s sentences in which every token has both tags, ready to be scored, and
-    the rows of the others."""
-    missing = F.max(F.col("status") != "matched").over(Window.partitionBy(*keys))
-    rows = aligned.withColumn("missing", missing)
-    return rows.where("NOT missing").drop("status", "missing"), rows.where("missing").drop("missing")
+    the rows of the others.
+
+    Told apart by the sentences of unmatched rows, one row each, so a sentence need not
+    come together anywhere.
+    """
+    matched, unmatched = aligned.where("status = 'matched'"), aligned.where("status <> 'matched'")
+    incomplete = unmatched.select(*keys).distinct()
+    whole = matched.join(incomplete, list(keys), "left_anti").drop("status")
+    return whole, unmatched.unionByName(matched.join(incomplete, list(keys), "left_semi"))
 
 
 def raw_tags(pairs: DataFrame, outside: str = "O") -> DataFrame:
@@ -353,7 +364,7 @@ def report_lines(scores: DataFrame, accuracy: DataFrame | None = None, style: st
     rows = rows.withColumn("overall", c("type") == OVERALL).withColumn(
         "n", F.row_number().over(by_type)
     )
-    head = r"        & Precision &  Recall  & F$_{\beta=1} \\\hline"
+    head = LATEX_HEAD
     name = F.when(c("overall"), "Overall").otherwise(F.rpad("type", F.greatest(F.length("type"), F.lit(7)), " "))
     # The line before the overall row carries its own rule; it may be the header.
     penultimate = F.lead("overall").over(by_type)
@@ -384,15 +395,10 @@ def _text_report(scores: DataFrame, accuracy: DataFrame) -> DataFrame:
     )
     rows = with_fixed2(rows, ("precision", "recall", "f1", "accuracy"))
     count = [F.coalesce(x, F.lit(0)).cast("string") for x in ("tokens", "gold", "guessed", "correct")]
-    summary = F.concat(
-        F.lit("processed "), count[0], F.lit(" tokens with "), count[1], F.lit(" phrases; found: "),
-        count[2], F.lit(" phrases; correct: "), count[3], F.lit("."),
-    )
-    measures = [
-        F.lit("precision: "), c("precision"), F.lit("%; recall: "), c("recall"),
-        F.lit("%; FB1: "), c("f1"),
-    ]
-    rates = F.concat(F.lit("accuracy: "), c("accuracy"), F.lit("%; "), *measures)
+    between = [F.lit(words) for words in SUMMARY]
+    summary = F.concat(*(x for pair in zip(between, count) for x in pair), between[-1])
+    measures = [x for words, rate in zip(RATES, ("precision", "recall", "f1")) for x in (F.lit(words), c(rate))]
+    rates = F.concat(F.lit(ACCURACY[0]), c("accuracy"), F.lit(ACCURACY[1]), *measures)
     name = F.lpad("type", F.greatest(F.length("type"), F.lit(17)), " ")
     detail = F.concat(name, F.lit(": "), *measures, F.lit("  "), c("guessed").cast("string"))
     lines = (

@@ -77,13 +77,26 @@ def length_histogram(found: DataFrame, unit: str, start: int, stop: int, step: i
     )
 
 
+HEAD = 4  # characters of a tag that choose its bucket
+
+
 def tag_dictionary(tokens: DataFrame, tag: str = "iob") -> DataFrame:
-    """Distinct tags with an id from 0."""
-    order = Window.orderBy("tag")
+    """Distinct tags with an id from 0, in order of the tag.
+
+    Tags are numbered within buckets of equal beginnings, which lie in the same order, and
+    the buckets' sizes give each one its offset; so only the list of beginnings, and not
+    the tags, is ordered as a whole.
+    """
+    tags = tokens.select(F.col(tag).alias("tag")).distinct().withColumn("head", F.left("tag", F.lit(HEAD)))
+    before = Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = tags.groupBy("head").agg(F.count("*").alias("n")).select(
+        F.col("head").alias("bucket"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")
+    )
+    place = F.row_number().over(Window.partitionBy("head").orderBy("tag")) - 1
     return (
-        tokens.select(F.col(tag).alias("tag"))
-        .distinct()
-        .withColumn("id", (F.row_number().over(order) - 1).cast("bigint"))
+        tags.withColumn("place", place)
+        .join(offsets, F.col("head").eqNullSafe(F.col("bucket")))
+        .select("tag", (F.col("offset") + F.col("place")).cast("bigint").alias("id"))
     )
 
 

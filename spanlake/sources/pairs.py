@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from spanlake.sources.lines import number_sentences, read_lines
+from spanlake.sources.lines import INDEX, number_sentences, read_lines, split_index
 
 BOUNDARY = "-X-"
 
@@ -16,19 +16,40 @@ def _fields(value: Column, delimiter: str) -> Column:
     return F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, quoted))
 
 
+def _lines(spark: SparkSession, path: str, delimiter: str, boundary: str) -> tuple[DataFrame, Column, Column, Column]:
+    """The lines of pair files, which of them end a sentence, which hold a token, and their fields' number."""
+    fields = _fields(F.col("value"), delimiter)
+    breaks = (F.size(fields) == 0) | (F.get(fields, F.lit(0)) == boundary)
+    return read_lines(spark, path), breaks, F.lit(True), F.size(fields)
+
+
+def index_pairs(spark: SparkSession, path: str, folder: str, delimiter: str = " ", boundary: str = BOUNDARY) -> None:
+    """Count the splits of pair files once, for ``read_pairs(index=folder)``.
+
+    The counts hold for these files and the settings that cut them, such as
+    ``spark.sql.files.maxPartitionBytes``.
+    """
+    split_index(*_lines(spark, path, delimiter, boundary)).write.parquet(folder)
+
+
 def read_pairs(
-    spark: SparkSession, path: str, delimiter: str = " ", boundary: str = BOUNDARY
+    spark: SparkSession, path: str, delimiter: str = " ", boundary: str = BOUNDARY, strict: bool = True,
+    index: str | None = None,
 ) -> DataFrame:
     """``pairs(file, sent_id, tok_id, token, gold, guess)``.
 
     A blank line, or one whose first field is ``boundary``, ends the sentence. A
-    line with a single field is an error. ``token`` is the first field, NULL if
-    the line has only the tags.
+    line with a single field is an error, and so is, unless ``strict`` is off, a line that
+    is not blank and has not as many fields as the file's first one. ``token`` is the first
+    field, NULL if the line has only the tags. ``index`` is a folder of ``index_pairs``; without
+    it the files are scanned twice.
     """
-    c = F.col
-    fields = _fields(c("value"), delimiter)
-    breaks = (F.size(fields) == 0) | (F.get(fields, F.lit(0)) == boundary)
-    rows = number_sentences(read_lines(spark, path), breaks, F.lit(True)).withColumn("fields", fields)
+    fields = _fields(F.col("value"), delimiter)
+    known = spark.read.schema(INDEX).parquet(index) if index else None
+    if known is not None and not strict:
+        known = known.withColumns({name: F.lit(None).cast("bigint") for name in ("first_width", "least_width", "most_width")})
+    lines, breaks, is_token, width = _lines(spark, path, delimiter, boundary)
+    rows = number_sentences(lines, breaks, is_token, width if strict else None, known).withColumn("fields", fields)
     size = F.size("fields")
     checked = F.when(
         size < 2,

@@ -262,3 +262,19 @@ def test_char_sequences(spark):
     assert got == [(1, 0, "abc"), (1, 1, "dé👍"), (1, 2, "g")]
     got = [r.chars for r in chars.char_sequences(df, 3, backward=True).orderBy("piece").collect()]
     assert got == ["g👍é", "dcb", "a"]
+
+
+def test_tag_dictionary(spark):
+    tags = ["O", "B-pers.ind", "B-pers", "B-", "", "I-é", "B-pers.ind.x", "O", "I-loc", "B-loc"]
+    rows = stats.tag_dictionary(spark.createDataFrame([(t,) for t in [*tags, None]], "iob string")).collect()
+    assert {r.tag: r.id for r in rows} == {t: i for i, t in enumerate([None, *sorted(set(tags))])}
+
+
+def test_char_ids(spark):
+    docs = docs_of(spark, "aab é😀", "", None, "\x00b")
+    vocab = chars.char_inventory(docs_of(spark, "aaa bb é"))
+    ids = {r.char: r.id for r in vocab.collect()}
+    got = {r.doc_id: r.ids for r in chars.char_ids(docs.withColumn("ids_of", F.lit(1)), vocab).collect()}
+    assert got == {0: [ids["a"], ids["a"], ids["b"], ids[" "], ids["é"], 4], 1: [], 2: None, 3: [4, ids["b"]]}
+    assert chars.char_ids(docs, vocab, unknown=99).where("doc_id = 3").first().ids[0] == 99
+    assert chars.char_ids(docs, vocab.limit(0)).where("doc_id = 0").first().ids == [0] * 6

@@ -6,9 +6,12 @@ import random
 import re
 from html.parser import HTMLParser
 
+import pytest
+from pyspark.sql import functions as F
+
 import characters
 from spanlake.functions.inventory import LEADING_EDGE, TRAILING_EDGE
-from spanlake.functions.markup import balance
+from spanlake.functions.markup import balanced
 from spanlake.operators.fragments import fragments
 from spanlake.plans import jobs
 from spanlake.sources import annotated, columns
@@ -160,7 +163,45 @@ def test_markup_that_does_not_nest(spark):
         got.setdefault(r.doc_id, []).append((r.text, r.label))
     assert got == UNSOUND
     sound = 'a <name correction="<b>">x<year>y</year></name> < z <day/>'
-    assert balance(sound) == sound
+    assert repaired(spark, [sound]) == [sound]
+
+
+def repaired(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    return [r.text for r in df.select("i", balanced(F.col("text")).alias("text")).orderBy("i").collect()]
+
+
+def closed_in_order(text):
+    """Every annotation closed once: a walk over the tags with a list of what is open."""
+    out, opened = [], []
+    for part in re.split(r"(<[^<>]*>)", text):
+        name = part.strip("</> ").split(" ")[0]
+        if part[:2] == "</" and part[-1:] == ">":
+            if name in opened:
+                after = opened[len(opened) - opened[::-1].index(name) :]
+                out += [f"</{x}>" for x in reversed(after)] + [part]
+                del opened[len(opened) - len(after) - 1 :]
+            continue
+        if part[:1] == "<" and part[-1:] == ">" and part[-2:] != "/>":
+            opened.append(name)
+        out.append(part)
+    return "".join(out + [f"</{x}>" for x in reversed(opened)])
+
+
+@pytest.mark.parametrize("longest", [6, 400])
+def test_random_markup(spark, longest):
+    rng = random.Random(longest)
+    tags = ["<a>", "</a>", "<b>", "</b>", "<ab>", "</ab>", "<c/>", '<a n="1">', "</>", "<>", "x", " ", "é\n", "5 > 4", "&lt;"]
+    texts = ["".join(rng.choices(tags, k=rng.randint(0, longest))) for _ in range(2500 // longest + 200)]
+    got = repaired(spark, [*texts, None])
+    assert got == [*map(closed_in_order, texts), None]
+    assert repaired(spark, got) == got
+
+
+def test_sound_and_unsound_documents_stay_in_the_plan(spark):
+    docs = spark.createDataFrame([(1, "x")], "doc_id bigint, text string")
+    plan = fragments(docs)._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan and "MapIn" not in plan
 
 
 def test_equal_ids_in_two_corpora(spark):
@@ -184,6 +225,7 @@ def test_extreme_documents(spark):
         "hyphens": ("a-b-" * 100000 + "c", 1),
         "quotes": ("a <name " + '"a" ' * 20000 + ">x</name>", 2),
         "depth": ("<name>" * 5000 + "x" + "</name>" * 5000, 1),
+        "faults": ("<name>x</day></name> " * 30000, 30000),
     }
     docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts.values())], "doc_id bigint, text string")
     counts = {r.doc_id: r["count"] for r in jobs.documents_to_tokens(docs).groupBy("doc_id").count().collect()}

@@ -144,6 +144,16 @@ def test_align_reports_what_does_not_match(spark):
     assert got == {1: ("O", None, "gold_only"), 2: ("B-a", "O", "matched"), 3: (None, "B-a", "guess_only")}
 
 
+def test_whole_sentences(spark):
+    rows = [(1, 0, 1, "O"), (1, 0, 2, "B-a"), (1, 1, 1, "B-a"), (1, 1, 2, "I-a"), (None, 0, 1, "O")]
+    gold = spark.createDataFrame(rows, "doc_id bigint, sent_id bigint, tok_id bigint, iob string")
+    whole, others = scoring.whole_sentences(scoring.align(gold, gold.where("NOT (sent_id = 0 AND tok_id = 2)")))
+    assert sorted((r.sent_id, r.tok_id, r.gold, r.guess) for r in whole.collect()) == [(1, 1, "B-a", "B-a"), (1, 2, "I-a", "I-a")]
+    assert others.count() == 4 and whole.columns == ["doc_id", "sent_id", "tok_id", "gold", "guess"]
+    assert table(scoring.score(whole))["a"] == (1, 1, 1)
+    assert "Window" not in whole._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_text_report(spark):
     sentences = [[("B-a", "B-a"), ("I-a", "I-a"), ("O", "B-b")], [("B-b", "B-b"), ("O", "O")]]
     df = pairs_of(spark, sentences)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanlake.operators import splits
-from spanlake.sources import annotated, columns, pairs
+from spanlake.sources import annotated, columns, lines, pairs
 from spanlake.sources.workspace import new_folder
 
 
@@ -63,19 +63,53 @@ def test_read_columns(spark, tmp_path, tiny_splits, newline):
     assert {r.data_set for r in rows.select("data_set").distinct().collect()} == {"corpus"}
 
 
-def test_splits_may_change_before_and_after_the_scan(spark, tmp_path):
-    """Numbers belong to the splits of the one scan, whatever later plans would cut."""
+def numbered_file(tmp_path):
     text = "".join(f"1\tw{i}\tN\tO\n" + "\n" * (i % 4 == 3) for i in range(4000))
-    (tmp_path / "a.tsv").write_text(text)
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    try:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
-        rows = columns.read_columns(spark, str(tmp_path))
-        spark.conf.set("spark.sql.files.maxPartitionBytes", "70000")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.tsv").write_text(text)
+    return str(tmp_path / "in")
+
+
+@pytest.fixture
+def split_size(spark):
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    yield lambda size: spark.conf.set(name, size)
+    spark.conf.set(name, before)
+
+
+def test_reading_is_lazy_and_splits_may_change(spark, tmp_path, split_size, monkeypatch):
+    """Both scans of a plan are cut alike, whatever was set when the DataFrame was made."""
+    folder = numbered_file(tmp_path)
+    monkeypatch.setattr("spanlake.sources.workspace.new_folder", None)  # nothing is written
+    for bound in (lines.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(lines, "BROADCAST_ROWS", bound)
+        split_size("900")
+        rows = columns.read_columns(spark, folder)
+        assert ("strategy=broadcast" in rows._jdf.queryExecution().analyzed().toString()) == (bound > 0)
+        split_size("70000")
         assert rows.select("sent_id").distinct().count() == 1000
         assert rows.where("tok_id NOT BETWEEN 1 AND 4").count() == 0
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_stored_index_saves_a_scan(spark, tmp_path, split_size):
+    folder, index = numbered_file(tmp_path), str(tmp_path / "index")
+    split_size("900")
+    columns.index_columns(spark, folder, index)
+    assert spark.read.parquet(index).count() == len({r.start for r in lines.read_lines(spark, folder).collect()}) > 20
+    rows = columns.read_columns(spark, folder, index=index)
+    assert rows._jdf.queryExecution().executedPlan().toString().count("FileScan text") == 1
+    assert sorted(rows.collect()) == sorted(columns.read_columns(spark, folder).collect())
+    split_size("700")
+    with pytest.raises(Exception, match="the index does not know this part"):
+        columns.read_columns(spark, folder, index=index).collect()
+
+
+def test_split_bound(spark, tmp_path, tiny_splits):
+    for i in range(5):
+        (tmp_path / f"{i}.tsv").write_text("a\tb\n" * 40 * i)
+    read = lines.read_lines(spark, str(tmp_path))
+    assert read.select("file", "start").distinct().count() <= lines.split_bound(read) < 200
 
 
 def test_missing_fields_do_not_move_others(spark, tmp_path):
@@ -146,11 +180,28 @@ def test_pairs_need_two_fields(spark, tmp_path):
     (tmp_path / "a.txt").write_text("O B-x\n")
     row = pairs.read_pairs(spark, str(tmp_path)).collect()[0]
     assert (row.token, row.gold, row.guess) == (None, "O", "B-x")
-    (tmp_path / "a.txt").write_text("a O O\nlonely\n")
+    (tmp_path / "a.txt").write_text("lonely\n")
     with pytest.raises(Exception, match="lonely"):
         pairs.read_pairs(spark, str(tmp_path)).collect()
 
 
+def test_pairs_of_several_widths(spark, tmp_path, tiny_splits):
+    """The first line that is not blank sets the width, over all splits of its file only."""
+    (tmp_path / "a.txt").write_text("\n\n" + "a O O\n" * 30)
+    (tmp_path / "b.txt").write_text("a x O O\n" * 30 + "-X- x O O\n  \n")
+    assert pairs.read_pairs(spark, str(tmp_path)).count() == 60
+    for odd in ("a x O O\n", "-X- O\n"):
+        (tmp_path / "a.txt").write_text("\n\n" + "a O O\n" * 30 + odd + "a O O\n")
+        with pytest.raises(Exception, match="unexpected number of fields: [24] .3. in .*a.txt"):
+            pairs.read_pairs(spark, str(tmp_path)).collect()
+        assert pairs.read_pairs(spark, str(tmp_path), strict=False).count() == 61 + (odd[0] == "a")
+    index = str(tmp_path.parent / "widths")
+    pairs.index_pairs(spark, str(tmp_path), index)
+    with pytest.raises(Exception, match="unexpected number of fields"):
+        pairs.read_pairs(spark, str(tmp_path), index=index).collect()
+    assert pairs.read_pairs(spark, str(tmp_path), strict=False, index=index).count() == 61
+
+
 def test_check_width(spark, tmp_path):
     (tmp_path / "a.txt").write_text("a O O\n\nb O O  \nc x O O\n")
     got = {(r.width, r.lines, r.ok) for r in pairs.check_width(spark, str(tmp_path)).collect()}
