@@ -1,34 +1,33 @@
-"""Stupid-backoff scores of every document under an n-gram model of the whole corpus.
+"""Stupid-backoff scores of every document under an n-gram model of all other documents.
 
-    S(w | h) = c(h w) / c(h)            where h w occurs, h the ``ORDER`` - 1 words before
+    S(w | h) = c(h w) / c(h)            where h w occurs elsewhere, h the ``ORDER`` - 1 words before
              = 0.4 * S(w | shorter h)   otherwise
-    S(w)     = c(w) / N
-
-The first words of a document have the shorter histories that are there. Words are
-``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased; all words and all counts from 1 are used, a
-document's own among them. So every n-gram that is scored occurs, the model never backs
-off, and a document's product of ratios shortens to
-
-    log S = sum of log c(n-gram) - sum of log c(context) - log N
-
-over its n-grams of full order and its contexts but the first and the last one (shorter
-documents: log c(document) - log N). What is left to find is counts:
-
-* A task numbers its documents in blocks. The n-grams of a block are counted by 64-bit
-  hash, dealt to buckets by ranges of the hash, and packed (differences of sorted keys,
-  counts; byte planes under zstandard). Which documents use which key stays with the block.
-* A bucket's blocks come together, which gives its count table; each block gets back the
-  counts of its keys, in their order. An n-gram of every document is one key a block.
-* A block's counts meet its documents, and the logarithms are summed by document. Blocks
-  are cut twice, once for the keys and once for who uses them, so that the latter is
-  shuffled once; should the input come in other partitions the second time, this fails.
+    S(w)     = c(w) / N                 where w occurs elsewhere
+             = 0.4 / N                  otherwise
+
+c and N count every occurrence in the corpus but those in the document itself (a document
+would else know each of its own n-grams, and junk score like common text). The first words of
+a document have the shorter histories that are there. Words are ``[^\\x20\\x09-\\x0D]+``, A-Z
+lower-cased; all words and all counts from 1 are used. Rows are documents, so a copy is
+"elsewhere".
+
+* Documents are taken in blocks of about ``BLOCK`` bytes of text and written, each block as its
+  different words and the order they stand in; all that follows reads these.
+* The n-grams of a block are counted by 64-bit hash, one order after the other, dealt to
+  buckets by ranges of the hash, and packed (differences of sorted keys, counts; byte planes
+  under zstandard). A bucket's rows come together, which gives its count table, and each block
+  gets the counts of its n-grams back, in their order. An n-gram of every document is one key
+  a block.
+* A block's counts meet its words; a document's own occurrences are taken off, words whose
+  n-gram is left with none back off, and the logarithms are summed by document.
 
 Nothing is broadcast; the driver gets the number of words. Hashes of different n-grams are
 taken for different (with 5 * 10**9 of them, less than one collision is expected).
 
 Defined results: a null text is empty; a document without words has 0 words, a sum of 0
-and a null mean; rows with equal ids are scored apart; an empty table gives no rows. A
-block holds one document at least, which has to fit in a worker.
+and a null mean; in a corpus of one document N is 1; rows with equal ids are scored apart;
+further columns are not looked at; an empty table gives no rows. A block holds one document
+at least, which has to fit in a worker.
 """
 
 from __future__ import annotations
@@ -41,17 +40,17 @@ import pyarrow as pa
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from spanlake.llm.lm_scores import hashed_words, packed, summed, unpacked
-from spanlake.llm.shared import mix, slices, space_words, utf8
+from spanlake.llm.shared import hashed_words, mix, packed, slices, stored, summed, unpacked
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ORDER = 3
+BACKOFF = 0.4
 BUCKETS, BUCKET_WORDS = 256, 2_000_000
-BLOCK = 1 << 24  # bytes of text behind one set of packed blocks
-PACKED = "block bigint, bucket int, keys binary, counts binary"
-COUNTED = "block bigint, bucket int, check bigint, counts binary"
-DOCUMENTS = "block bigint, check bigint, ids binary, uses binary, rows binary"
+BLOCK = 1 << 22  # bytes of text of a block
+BLOCKS = "block bigint, total bigint, ids binary, sizes binary, words binary, places binary"
+GRAMS = "block bigint, part int, bucket int, keys binary, counts binary"
+COUNTED = "block bigint, part int, bucket int, counts binary"
 
 
 def schema_of(names: str) -> pa.Schema:
@@ -59,110 +58,86 @@ def schema_of(names: str) -> pa.Schema:
     return pa.schema([(n, kinds[k]) for n, k in (x.split(" ") for x in names.split(", "))])
 
 
-def total_words(docs: DataFrame) -> int:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = 0
-        for batch in batches:
-            for at, to in slices(batch.column(0)):
-                n += len(space_words(*utf8(batch.column(0).slice(at, to - at)))[0])
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
-
-    return docs.select("text").mapInArrow(run, "n bigint").agg(F.sum("n")).first()[0] or 0
-
-
-def grams(words: np.ndarray, bounds: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each length up to ``order``: keys of all n-grams within rows, their rows, and their
-    weights in the score of the row."""
-    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    first, size = bounds[:-1][row], np.diff(bounds)[row]
-    keys = words
-    for n in range(1, order + 1):
-        at = np.flatnonzero(np.arange(len(words)) + n <= bounds[1:][row])
-        place, length = at - first[at], size[at]
-        weight = np.where(length == n, 1, 0)
-        if n == order:
-            weight[:] = 1
-        elif n == order - 1:
-            weight[(place > 0) & (place < length - n)] = -1
-        yield keys[at], row[at], weight
-        if n < order:  # the last ones reach beyond their row and are left out above
-            factor = mix(np.array([n], np.uint64)) | np.uint64(1)
-            keys = mix(keys * factor + np.concatenate([words[n:], np.zeros(min(n, len(words)), np.uint64)]))
-
-
-def blocks(docs: DataFrame, buckets: int, order: int, names: str) -> DataFrame:
-    """By block and bucket the packed keys and counts (``PACKED``), or by block its documents,
-    and by key the rows that use it (``DOCUMENTS``)."""
+def blocks(docs: DataFrame) -> DataFrame:
+    """``BLOCKS``: ids and sizes of a block's documents, hashes of its words, frequent ones first,
+    and the place of each document's words among them."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = schema_of(names)
+    schema = schema_of(BLOCKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # 2**20 blocks a task, 2**43 tasks.
-        task = TaskContext.get().partitionId()
-        number = 0
-        ids, sizes, parts, held, done = [], [], [], 0, 0
+        task, number = TaskContext.get().partitionId(), 0  # 2**24 blocks a task
+        ids, sizes, parts, held = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal number, ids, sizes, parts, held, done
-            block = task << 20 | number
-            key = np.concatenate([k for k, _ in parts])
-            use = np.concatenate([u for _, u in parts])
-            parts = []
-            place = np.argsort(key, kind="stable")
-            key, use = key[place], use[place]
-            del place
-            head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-            times = np.diff(np.concatenate([head, [len(key)]]))
-            if names == DOCUMENTS:
-                documents = pa.RecordBatch.from_arrays(
-                    [pa.concat_arrays(ids), pa.array(np.concatenate(sizes))], names=["doc_id", "n_words"]
-                )
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, documents.schema) as writer:
-                    writer.write_batch(documents)
-                used = np.add.reduceat((use >= 0).astype(np.int32), head) if len(head) else np.zeros(0, np.int32)
-                out = [{
-                    "block": block, "check": fingerprint(key[head]), "ids": sink.getvalue().to_pybytes(),
-                    "uses": packed(used.astype(np.int32)), "rows": packed(use[use >= 0]),
-                }]
-            else:
-                key, out = key[head], []
-                bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
-                cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-                for b in np.flatnonzero(np.diff(cuts)).tolist():
-                    a, z = cuts[b], cuts[b + 1]
-                    steps = np.concatenate([key[a : a + 1], np.diff(key[a:z])])
-                    out.append({"block": block, "bucket": b, "keys": packed(steps), "counts": packed(times[a:z])})
+            nonlocal number, ids, sizes, parts, held
+            words, place, times = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+            falling = np.argsort(-times, kind="stable")
+            rank = np.empty(len(words), np.int32)
+            rank[falling] = np.arange(len(words), dtype=np.int32)
+            table = pa.Table.from_arrays([pa.chunked_array(ids)], names=["doc_id"]).combine_chunks()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as writer:
+                writer.write_table(table)
+            row = {
+                "block": task << 24 | number, "total": len(place), "ids": sink.getvalue().to_pybytes(),
+                "sizes": packed(np.concatenate(sizes)), "words": packed(words[falling]), "places": packed(rank[place]),
+            }
             number += 1
-            ids, sizes, held, done = [], [], 0, 0
-            return pa.RecordBatch.from_pylist(out, schema=schema)
+            ids, sizes, parts, held = [], [], [], 0
+            return pa.RecordBatch.from_pylist([row], schema=schema)
 
         for batch in batches:
             for at, to in slices(batch.column(1)):
                 part = batch.slice(at, to - at)
                 words, bounds = hashed_words(part.column(1))
-                for keys, row, weight in grams(words, bounds, order):
-                    # Row and sign in one number; -1 is counted only.
-                    parts.append((keys, np.where(weight != 0, (row + done) << 1 | (weight < 0), -1).astype(np.int32)))
+                parts.append(words)
                 ids.append(part.column(0))
                 sizes.append(np.diff(bounds).astype(np.int64))
-                done += part.num_rows
                 held += part.num_rows + len(words) * 6
                 if held >= BLOCK:
                     yield flush()
         if ids:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast(kind), "text").mapInArrow(run, names)
+    return docs.select(F.col("doc_id").cast(kind), "text").mapInArrow(run, BLOCKS)
 
 
-def fingerprint(keys: np.ndarray) -> int:
-    """Adds up over the parts of a block."""
-    return int(mix(keys).sum(dtype=np.uint64).view(np.int64))
+def grams(words: np.ndarray, sizes: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length up to ``order`` the places at which an n-gram of a document ends, and its key."""
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    keys = words
+    for n in range(1, order + 1):
+        first = np.flatnonzero(np.arange(len(words)) + n <= ends)
+        yield first + n - 1, keys[first]
+        if n < order:  # the last ones reach beyond their document and are left out above
+            factor = mix(np.array([n], np.uint64)) | np.uint64(1)
+            keys = mix(keys * factor + np.concatenate([words[n:], np.zeros(min(n, len(words)), np.uint64)]))
+
+
+def packed_grams(made: DataFrame, order: int, buckets: int) -> DataFrame:
+    """``GRAMS``: by block, order and bucket the different n-grams and how often the block has them."""
+    schema = schema_of(GRAMS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, sizes, words, places in zip(*(batch.column(i) for i in range(4))):
+                words = unpacked(words.as_py(), np.uint64)[unpacked(places.as_py(), np.int32)]
+                for part, (_, key) in enumerate(grams(words, unpacked(sizes.as_py(), np.int64), order)):
+                    key, times = summed(key, np.ones(len(key), np.int64))
+                    bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+                    cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+                    out = []
+                    for b in np.flatnonzero(np.diff(cuts)).tolist():
+                        a, z = cuts[b], cuts[b + 1]
+                        steps = np.concatenate([key[a : a + 1], np.diff(key[a:z])])
+                        out.append({"block": block.as_py(), "part": part, "bucket": b, "keys": packed(steps), "counts": packed(times[a:z])})
+                    yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return made.select("block", "sizes", "words", "places").mapInArrow(run, GRAMS)
 
 
 def counted(made: DataFrame) -> DataFrame:
-    """For each block and bucket the corpus counts of the block's keys, in their order."""
+    """``COUNTED``: the corpus counts of the n-grams of each row of ``GRAMS``, in their order."""
     schema = schema_of(COUNTED)
 
     def run(group: pa.Table) -> pa.Table:
@@ -170,37 +145,64 @@ def counted(made: DataFrame) -> DataFrame:
         counts = np.concatenate([unpacked(x.as_py(), np.int64) for x in group.column("counts")])
         known, total = summed(np.concatenate(keys), counts)
         found = [packed(total[np.searchsorted(known, key)]) for key in keys]
-        return pa.Table.from_arrays([
-            group.column("block"), group.column("bucket"), pa.array([fingerprint(key) for key in keys], pa.int64()), pa.array(found, pa.binary()),
-        ], schema=schema)
+        return pa.Table.from_arrays(
+            [group.column("block"), group.column("part"), group.column("bucket"), pa.array(found, pa.binary())], schema=schema
+        )
+
+    return made.groupBy("part", "bucket").applyInArrow(run, COUNTED)
+
 
-    return made.groupBy("bucket").applyInArrow(run, COUNTED)
+def elsewhere(key: np.ndarray, row: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How often each n-gram occurs outside its own document; ``counts`` are those of the
+    different keys in ascending order, rows ascend."""
+    order = np.argsort(key, kind="stable")
+    key, row = key[order], row[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    total = counts[np.cumsum(new) - 1] if len(key) else counts
+    new[1:] |= row[1:] != row[:-1]
+    own = np.diff(np.append(np.flatnonzero(new), len(key)))
+    out = np.empty(len(key), np.int64)
+    out[order] = total - np.repeat(own, own)
+    return out
 
 
 def score(docs: DataFrame, order: int = ORDER, buckets: int = BUCKETS) -> DataFrame:
     """``(doc_id, n_words, log_score, mean_log_score)`` of every document."""
-    total = total_words(docs)
+    made = stored(blocks(docs), "word-blocks")
+    total = made.agg(F.sum("total")).first()[0] or 0
     buckets = max(buckets, -(-total // BUCKET_WORDS))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(key: tuple, documents: pa.Table, counts: pa.Table) -> pa.Table:
-        check = counts.column("check").to_numpy().sum(dtype=np.int64)
-        if documents.num_rows != 1 or documents.column("check")[0].as_py() != check:
-            raise ValueError("The documents came in other partitions when they were read again; store them first")
-        with pa.ipc.open_stream(documents.column("ids")[0].as_py()) as reader:
+    def run(key: tuple, block: pa.Table, counts: pa.Table) -> pa.Table:
+        with pa.ipc.open_stream(block.column("ids")[0].as_py()) as reader:
             table = reader.read_all()
-        found = [unpacked(counts.column("counts")[int(i)].as_py(), np.int64) for i in np.argsort(counts.column("bucket").to_numpy())]
-        logs = np.log(np.concatenate([np.zeros(0, np.int64), *found]))
-        rows = unpacked(documents.column("rows")[0].as_py(), np.int32)
-        terms = np.repeat(logs, unpacked(documents.column("uses")[0].as_py(), np.int32)) * (1 - 2 * (rows & 1))
-        sums = np.bincount(rows >> 1, terms, table.num_rows)
-        words = table.column("n_words").to_numpy()
-        sums -= np.log(max(total, 1)) * (words if order == 1 else words > 0)  # single words have no context
-        return table.append_column("log_score", pa.array(sums))
-
-    own = blocks(docs, buckets, order, DOCUMENTS).groupBy("block")
-    scored = own.cogroup(counted(blocks(docs, buckets, order, PACKED)).groupBy("block")).applyInArrow(
-        run, f"doc_id {kind}, n_words bigint, log_score double"
-    )
+        sizes = unpacked(block.column("sizes")[0].as_py(), np.int64)
+        words = unpacked(block.column("words")[0].as_py(), np.uint64)[unpacked(block.column("places")[0].as_py(), np.int32)]
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        rest = np.maximum(total - sizes, 1)[row]
+        part, bucket = counts.column("part").to_numpy(), counts.column("bucket").to_numpy()
+        logs, backed, before = np.zeros(len(words)), np.full(len(words), np.inf), None
+        deepest = np.zeros(len(words), np.int64)
+        for n, (end, keys) in enumerate(grams(words, sizes, order)):
+            mine = np.flatnonzero(part == n)
+            mine = mine[np.argsort(bucket[mine])]
+            known = [unpacked(counts.column("counts")[int(i)].as_py(), np.int64) for i in mine]
+            here = np.zeros(len(words), np.int64)
+            here[end] = elsewhere(keys, row[end], np.concatenate([np.zeros(0, np.int64), *known]))
+            deepest[end] = n
+            some = np.flatnonzero(here)
+            above = rest[some] if before is None else before[some - 1]
+            logs[some], backed[some] = np.log(here[some] / above), n
+            before = here
+        none = np.isinf(backed)  # a word that no other document has
+        logs[none], backed[none] = -np.log(rest[none]), -1
+        logs += np.log(BACKOFF) * (deepest - backed)
+        return pa.Table.from_arrays(
+            [table.column("doc_id"), pa.array(sizes), pa.array(np.bincount(row, logs, len(sizes)))], names=["doc_id", "n_words", "log_score"]
+        )
+
+    found = counted(packed_grams(made, order, buckets))
+    scored = made.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, f"doc_id {kind}, n_words bigint, log_score double")
     mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
     return scored.withColumn("mean_log_score", mean)

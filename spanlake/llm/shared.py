@@ -140,3 +140,36 @@ def lowered(data: np.ndarray) -> np.ndarray:
     table = np.arange(256, dtype=np.uint8)
     table[65:91] += 32
     return table[data]
+
+
+def hashed_words(part: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of a string column, A-Z lower-cased, and the rows' bounds."""
+    data, offsets = utf8(part)
+    low = lowered(data)
+    starts, ends, bounds = space_words(low, offsets)
+    return segment_hashes(low, starts, ends), bounds
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in ascending order, and the sum of each one's counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[head], np.add.reduceat(counts, head) if len(head) else counts[:0]
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Byte planes of the values under zstandard."""
+    import zstandard
+
+    values = np.ascontiguousarray(values)
+    planes = values.view(np.uint8).reshape(len(values), values.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def unpacked(raw: bytes, kind: type) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(planes.reshape(size, -1).T).reshape(-1).view(kind)

@@ -14,20 +14,27 @@ DOCS = documents()
 
 
 def brute_scores(rows, order):
+    """The definition, word by word: counts of all other documents, 0.4 for each step back."""
     texts = [WORD.findall((r[1] or "").translate(FOLD)) for r in rows]
-    count = [Counter(tuple(t[i : i + n]) for t in texts for i in range(len(t) - n + 1)) for n in range(1, order + 1)]
-    total = sum(count[0].values())
 
-    def s(gram):
-        if len(gram) == 1:
-            return count[0][gram] / total
-        seen = count[len(gram) - 1][gram]
-        return seen / count[len(gram) - 2][gram[:-1]] if seen else 0.4 * s(gram[1:])
+    def counts(texts):
+        return Counter(tuple(t[i : i + n]) for t in texts for n in range(1, order + 1) for i in range(len(t) - n + 1))
 
-    return sorted(
-        (str(r[0]), len(t), round(sum(math.log(s(tuple(t[max(0, i - order + 1) : i + 1]))) for i in range(len(t))), 5))
-        for r, t in zip(rows, texts)
-    )
+    every = counts(texts)
+    out = []
+    for row, t in zip(rows, texts):
+        own, others = counts([t]), max(1, sum(map(len, texts)) - len(t))
+        left = lambda gram: every[gram] - own[gram]
+
+        def s(gram):
+            if not gram:
+                return 1 / others
+            if left(gram):
+                return left(gram) / (left(gram[:-1]) if gram[:-1] else others)
+            return 0.4 * s(gram[1:])
+
+        out.append((str(row[0]), len(t), round(sum(math.log(s(tuple(t[max(0, i - order + 1) : i + 1]))) for i in range(len(t))), 5) + 0.0))
+    return sorted(out)
 
 
 def found(df, *more):
@@ -44,8 +51,25 @@ def test_scores_by_the_definition(spark, monkeypatch, order, buckets, block):
     assert ngram_scores.score(df.limit(0)).count() == 0
 
 
-def test_rare_words_do_not_become_one(spark):
-    """More words than the old limit of the vocabulary, none of them twice, beside one frequent word."""
+def test_many_rare_words(spark):
+    """A million words that no other document has, beside one frequent word."""
     junk = [(i, " ".join(f"{i}x{j}" for j in range(220_000))) for i in range(5)]
     rows = [*junk, (5, "7x7 8x8"), (6, "the " * 50), (7, "the the 7x8")]
-    assert found(spark.createDataFrame(rows, "doc_id bigint, text string")) == brute_scores(rows, ngram_scores.ORDER)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    total = 1_100_000 + 2 + 50 + 3
+    got = {r.doc_id: r for r in ngram_scores.score(df).collect()}
+    step, others = math.log(0.4), math.log(total - 220_000)
+    assert [round(got[i].log_score / (220_000 * (3 * step - others) - 3 * step), 9) for i in range(5)] == [1.0] * 5
+    assert got[5].log_score == pytest.approx(3 * step - 2 * math.log(total - 2))
+
+
+def test_unknown_junk_scores_below_common_text(spark):
+    common = [(i, "the cat sat on the mat and the dog lay by the door") for i in range(20)]
+    rows = [*common, (50, "the cat the cat the cat the dog"), (51, "qxv zzkw pfft grbl nnqo wvut"), (52, "mat the on sat cat the")]
+    got = {r.doc_id: r.mean_log_score for r in ngram_scores.score(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[0] > got[50] > got[52] > got[51]
+
+
+def test_one_document_and_clashing_columns(spark):
+    one = spark.createDataFrame([(1, "a b a")], "doc_id bigint, text string").selectExpr("*", "1 AS block", "2 AS part", "3 AS total")
+    assert found(one) == brute_scores([(1, "a b a")], 3)
