@@ -120,6 +120,7 @@ WITH d AS (
 ), z AS (
   SELECT r, count(*) AS n_words, sum(cut)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (cut = 0) AS kept FROM y GROUP BY r
 )
-SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256,
+  coalesce(kept, '') AS text
 FROM d LEFT JOIN z USING (r)
 """

@@ -104,8 +104,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.judge(documents(spark, sf_dir).select("doc_id", "lang", "text"), keep=("doc_id", "lang"))
-    return judged.select("doc_id", *quality.METRICS, "base_failed", "kept", "score", "lower", "upper")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    judged = quality.judge(documents(spark, sf_dir).select("doc_id", "lang", "text"), labels, keep=("doc_id", "lang"))
+    return judged.select("doc_id", *quality.METRICS, "base_failed", "kept", "score", "word_score", *quality.LIMITS)
 
 
 @query
@@ -114,6 +115,8 @@ def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed",
         F.size("spans").cast("bigint").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"),
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("text"),  # a cut may part a character
     )
 
 
@@ -131,5 +134,5 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_substrings(documents(spark, sf_dir)).select(
-        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.col("kept").alias("text")
     )

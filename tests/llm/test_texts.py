@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from samples import FOLD, SCHEMA, WORD, documents, prose
 
-from spanlake.llm import chat, decontam, lm_scores, quality, secret_scan
+from spanlake.llm import chat, decontam, quality, secret_scan
 
 DOCS = documents()
 
@@ -124,22 +125,8 @@ def test_base_rules(docs):
     assert quality.judge(docs.limit(0)).count() == 0
 
 
-def test_model_sums_to_one_and_backs_off():
-    data = np.frombuffer((prose(1, 400) + " |#1").encode(), np.uint8)
-    keys = quality.trigram_keys(data, np.array([0, len(data)]))
-    model = quality.Model(*np.unique(keys, return_counts=True))
-    table = np.exp(model.table().astype(float)).reshape(64, 64, 64)
-    assert np.allclose(table.sum(axis=2), 1, atol=1e-4)
-    for hashes, logs, *_ in model.orders:
-        assert (np.diff(hashes.astype(object)) > 0).all() and (logs <= 0).all()
-
-
-def test_modified_kneser_ney_by_hand():
-    """The interpolated probability of one trigram from the definitions."""
-    rng = np.random.default_rng(1)
-    keys = (rng.integers(0, 5, 4000) ** 2 // 6) * 4096 + (rng.integers(0, 5, 4000) ** 2 // 5) * 64 + rng.integers(0, 6, 4000) ** 2 // 7
-    counts = Counter(keys.tolist())
-    model = quality.Model(np.array(list(counts)), np.array(list(counts.values())))
+def plain_model(grams, pairs):
+    """Modified Kneser-Ney by its definitions, from a Counter of tuples of four bytes."""
 
     def discounts(values):
         n = Counter(values)
@@ -149,36 +136,105 @@ def test_modified_kneser_ney_by_hand():
         d = {1: 1 - 2 * y * n[2] / n[1], 2: 2 - 3 * y * n[3] / n[2], 3: 3 - 4 * y * n[4] / n[3] if n[3] else 1.5}
         return {k: min(max(v, 0.1), (0.9, 1.8, 2.7)[k - 1]) for k, v in d.items()}
 
+    tables = {quality.ORDER: grams}
+    for n in range(quality.ORDER - 1, 1, -1):
+        tables[n] = Counter(g[1:] for g in tables[n + 1])
+
     def prob(gram, order):
-        if order == 0:
-            return 1 / 64
-        if order == 3:
-            table = {(k >> 12, k >> 6 & 63, k & 63): n for k, n in counts.items()}
-        else:
-            grams = {(k >> 12, k >> 6 & 63, k & 63) for k in counts}
-            table = Counter(g[1:] for g in grams)
-            if order == 1:
-                table = Counter(g[1:] for g in table)
+        if order == 1:
+            return pairs(gram[-2:])
+        table = tables[order]
         d = discounts(table.values())
-        here = {g: n for g, n in table.items() if g[:-1] == gram[:-1]}
+        mine = gram[-order:]
+        here = {g: n for g, n in table.items() if g[:-1] == mine[:-1]}
         total = sum(here.values())
         if not total:
-            return prob(gram[1:], order - 1)
+            return prob(gram, order - 1)
         left = sum(d[min(n, 3)] for n in here.values()) / total
-        n = here.get(gram, 0)
-        return max(n - d.get(min(n, 3), 0), 0) / total + left * prob(gram[1:], order - 1)
+        n = here.get(mine, 0)
+        return max(n - d.get(min(n, 3), 0), 0) / total + left * prob(gram, order - 1)
+
+    return lambda gram: prob(gram, quality.ORDER)
+
+
+def grams_of(text):
+    raw = b"\0" * (quality.ORDER - 1) + text.encode()
+    return [tuple(raw[i : i + quality.ORDER]) for i in range(len(text.encode()))]
+
+
+def packed(gram):
+    return sum(b << 8 * k for k, b in enumerate(reversed(gram)))
+
 
-    for gram in ((0, 0, 0), (2, 3, 1), (1, 1, 3), (2, 0, 9), (60, 1, 0), (60, 61, 3)):
-        key = np.array([gram[0] << 12 | gram[1] << 6 | gram[2]])
-        assert math.isclose(float(np.exp(model.log_probability(key))[0]), prob(gram, 3), rel_tol=1e-4)
+def test_modified_kneser_ney_by_hand():
+    text, other = prose(1, 60) + " | #1", "zz é " + prose(2, 20)
+    pairs = np.random.default_rng(1).random(1 << 16)
+    counts = Counter(grams_of(text))
+    model = quality.Model(np.array([packed(g) for g in counts]), np.array(list(counts.values())), np.log(pairs))
+    plain = plain_model(counts, lambda pair: pairs[pair[0] << 8 | pair[1]])
+    wanted = list(dict.fromkeys([*grams_of(text), *grams_of(other), (0, 0, 0, 0), (255, 254, 253, 252)]))
+    got = np.exp(model.log_probability(np.array([packed(g) for g in wanted], np.uint64)))
+    assert np.allclose(got, [plain(g) for g in wanted], rtol=1e-4)
 
 
-def test_bands_reject_noise_and_keep_prose(spark):
-    rng = np.random.default_rng(2)
-    noise = " ".join("".join(rng.choice(list("qxzjkvw#%&0123456789"), 6)) for _ in range(300))
-    rows = [(i, prose(i, 150), "en", "s", 0) for i in range(200)] + [(900, noise, "en", "s", 0)]
-    got = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert not got.pop(900) and all(got.values())
+def test_model_sums_to_one():
+    data = np.frombuffer((prose(1, 400) + " |#1").encode(), np.uint8)
+    keys, counts = np.unique(quality.packed_grams(data, np.array([0, 50, 50, len(data)])), return_counts=True)
+    pairs = quality.pair_logs(*np.unique(keys & 0xFFFF, return_counts=True))
+    assert np.allclose(np.exp(pairs).reshape(256, 256).sum(axis=1), 1)
+    model = quality.Model(keys, counts, pairs)
+    every = (keys.astype(np.uint64)[:300, None] & ~np.uint64(255)) | np.arange(256, dtype=np.uint64)
+    assert np.allclose(np.exp(model.log_probability(every.reshape(-1))).reshape(-1, 256).sum(axis=1), 1, atol=1e-4)
+    for hashes, *_ in model.orders:
+        assert (np.diff(hashes.astype(object)) > 0).all()
+
+
+@pytest.mark.parametrize("most", [quality.MOST, 1])
+def test_scores_of_documents(spark, most):
+    """Every document's scores by the definitions, in one group of languages and in groups of one."""
+    rows = [(i, prose(i, 30), lang, "s", 0) for i, lang in enumerate(["en", "en", "de", None, "fr", "fr"])] + [(9, None, "xx", "s", 0), (10, "", None, "s", 0)]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, SCHEMA).repartition(2), most=most).collect()}
+    counts = {lang: Counter(g for r in rows if r[2] == lang for g in grams_of(r[1] or "")) for lang in ("en", "de", None, "fr")}
+    both = Counter()
+    for c in counts.values():
+        for g, n in c.items():
+            both[0, 0, *g[-2:]] += n
+    pair_model = quality.pair_logs(np.array([packed(g) for g in both], np.uint64), np.array(list(both.values())))
+    for lang, c in counts.items():
+        plain = plain_model(c, lambda pair: math.exp(pair_model[pair[0] << 8 | pair[1]]))
+        known = {g: -math.log(plain(g)) for g in c}
+        for r in (r for r in rows if r[2] == lang and r[1]):
+            total = sum(known[g] for g in grams_of(r[1]))
+            assert got[r[0]].score == pytest.approx(total / len(r[1].encode()), rel=1e-4)
+            assert got[r[0]].word_score == pytest.approx(total / len(WORD.findall(r[1])), rel=1e-4)
+    assert len(got) == 8 and got[9].score is None and got[10].word_score is None and not got[9].kept
+
+
+JUNK = {
+    "marked": lambda words, rng: " ".join(w + rng.choice(["$$$", "***", "%%%", "&&&"]) for w in words),
+    "shouted": lambda words, rng: " ".join(w.upper() + "!!" for w in words),
+    "barred": lambda words, rng: " | ".join(words),
+}
+
+
+def test_bands_reject_junk_and_keep_prose(spark):
+    """A tenth of the documents is junk of three kinds, half of all documents are labelled."""
+    rng = random.Random(2)
+    rows = [(i, prose(i, rng.randint(60, 400)), "en", "s", 0) for i in range(900)]
+    for k, spoil in enumerate(JUNK.values()):
+        rows += [(1000 + 100 * k + i, spoil(prose(1000 + 100 * k + i, 200).split(), rng), "en", "s", 0) for i in range(30)]
+    labels = [(r[0], int(r[0] < 1000)) for r in rows if r[0] % 2] + [(1, 1), (None, 1), (7777, 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r.kept for r in quality.judge(docs, spark.createDataFrame(labels, "doc_id bigint, quality int")).collect()}
+    assert sum(got[i] for i in range(900)) >= 0.96 * 900
+    for k in range(len(JUNK)):
+        assert sum(not got[1000 + 100 * k + i] for i in range(30)) >= 27
+
+
+def test_labels_of_no_use(spark, docs):
+    for labels in ([], [(1, 0), (1, 1)], [(5, 1), (0, 1)]):
+        rows = quality.judge(docs, spark.createDataFrame(labels, "doc_id bigint, quality int")).collect()
+        assert len(rows) == len(DOCS)
 
 
 # Decontamination
@@ -225,33 +281,3 @@ def test_long_items_in_pieces(spark):
     pieces = decontam.item_pieces(spark.createDataFrame([(1, text)], "item_id bigint, text string"), 13, 50).collect()
     n = len(TOKEN.findall(text.translate(FOLD)))
     assert sum(p.n - 12 for p in pieces) == n - 12 and max(p.n for p in pieces) == 62
-
-
-# Scores
-
-
-@pytest.mark.parametrize("size,buckets", [(1 << 20, 256), (8, 3)])
-def test_scores(spark, docs, size, buckets):
-    texts = [WORD.findall((r[1] or "").translate(FOLD)) for r in DOCS]
-    count = Counter(w for t in texts for w in t)
-    least = 1
-    while sum(n >= least for n in count.values()) > size:
-        least *= 2
-    texts = [[w if count[w] >= least else None for w in t] for t in texts]
-    one, two = Counter(w for t in texts for w in t), Counter(p for t in texts for p in zip(t, t[1:]))
-    total = sum(one.values())
-    expected = []
-    for row, t in zip(DOCS, texts):
-        s = math.log(one[t[0]] / total) if t else 0.0
-        for a, b in zip(t, t[1:]):
-            s += math.log(two[a, b] / one[a]) if two[a, b] >= 2 else math.log(0.4 * one[b] / total)
-        expected.append((str(row[0]), len(t), round(s, 5)))
-    got = lm_scores.score(docs, size, buckets).collect()
-    assert sorted((str(r.doc_id), r.n_words, round(r.log_score, 5)) for r in got) == sorted(expected)
-    assert all((r.mean_log_score is None) == (r.n_words == 0) for r in got)
-
-
-def test_scores_of_nothing(docs):
-    assert lm_scores.score(docs.limit(0)).count() == 0
-
-
