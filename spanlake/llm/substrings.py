@@ -20,7 +20,8 @@ in a document with a smaller id too; windows are judged on the input.
 
 No step makes pairs of a group: each anchor meets one reference. References of seeds with
 more than ``HOT`` anchors are sent several times, so that no task holds the group; minima are
-taken before the shuffle, and the joins can be split by adaptive execution. Words, seeds
+taken before the shuffle and written, so that both sides of the joins that hand them back are
+plain exchanges, whose hot keys adaptive execution splits. Words, seeds
 and windows are compared by 64-bit hashes. Nothing is broadcast.
 
 Defined results: a null text has no words; a null id counts as larger than any other, and
@@ -46,7 +47,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LENGTH = 50
 GRAM = 8
-HOT = 20_000
+HOT = 1_000
 NO_ID = (1 << 63) - 1  # rank of a null id
 SENT_BYTES = 1 << 23  # of one batch of reaches
 GONE, REACH, REFERENCE, PAIR = 1, 2, 4, 8
@@ -129,18 +130,18 @@ def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
 
 def shared_anchors(rows: DataFrame, hot: int) -> DataFrame:
     """Anchors of seeds that stand under several ids, with what is to be done with each."""
-    seeds = rows.groupBy("seed").agg(
+    seeds = stored(rows.groupBy("seed").agg(
         F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n"),
         F.min("kind").alias("kind_a"), F.max("kind").alias("kind_z"),
-    ).where("least < most")
+    ).where("least < most"), "shared-seeds")
     several = F.col("kind_a") < F.col("kind_z")
     shared = stored(rows.join(seeds, "seed").select(
         "one", "two", "id", "spot", "seed", "kind", "least", "n", several.alias("several"),
     ), "shared-anchors")
     # One kind: no reference is needed. The smallest struct is found without the whole group.
-    references = shared.where("several AND id = least").groupBy("seed").agg(
+    references = stored(shared.where("several AND id = least").groupBy("seed").agg(
         F.min(F.struct("kind", "one", "two", "spot")).alias("ref")
-    )
+    ), "seed-references")
     mine = F.struct("kind", "one", "two", "spot")
     same = ~F.col("several") | (F.col("kind") == F.col("ref.kind"))
     flag = (
@@ -269,7 +270,9 @@ def ranges(sent: DataFrame, length: int) -> DataFrame:
     """``(one, two, more)``: ranges of window starts that stand in documents with smaller ids."""
     rows = stored(extended(sent, length), "extended")
     rest = rows.where("window IS NOT NULL")
-    least = rest.groupBy("window").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
+    least = stored(
+        rest.groupBy("window").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most"), "shared-windows"
+    )
     again = rest.join(least, "window").where("id > least").select("one", "two", "first", "last")
     found = rows.where("window IS NULL").select("one", "two", "first", "last").unionByName(again)
     return found.groupBy("one", "two").agg(F.collect_set(F.struct("first", "last")).alias("more"))

@@ -39,7 +39,7 @@ def removed(spark, rows, **more):
     return sorted(((r.doc_id, r.n_words, r.n_removed, [(s.start, s.end) for s in r.spans], r.kept) for r in got), key=repr)
 
 
-@pytest.mark.parametrize("length,hot", [(50, 20_000), (50, 1), (12, 2), (3, 20_000), (1, 20_000)])
+@pytest.mark.parametrize("length,hot", [(50, substrings.HOT), (50, 1), (12, 2), (3, substrings.HOT), (1, substrings.HOT)])
 def test_removal_of_samples(spark, length, hot):
     rows = [r[:2] for r in documents()]
     assert removed(spark, rows, length=length, hot=hot) == brute(rows, length)
@@ -63,7 +63,7 @@ def test_passages_at_the_threshold(spark):
     assert removed(spark, rows) == expected and sum(r[2] for r in expected) > 600
 
 
-@pytest.mark.parametrize("hot", [20_000, 7])
+@pytest.mark.parametrize("hot", [substrings.HOT, 7])
 def test_matches_that_the_reference_lacks(spark, hot):
     """Copies of one passage that go on in a few ways: most windows at its ends are not in the smallest id."""
     rng = random.Random(9)
