@@ -53,7 +53,8 @@ class Vocabulary:
     def __init__(self, pieces: list[bytes], ids_of: Callable[[str], np.ndarray]) -> None:
         self.pieces, self.ids_of = pieces, ids_of
         self.sizes = np.array([len(p) for p in pieces], np.int64)
-        self.inside = np.array([f"{i}," for i in range(len(pieces))], object)
+        # Decimal ids with what follows them: inside a side, at the end of A's, at the end of B's.
+        self.inside, self.end_a, self.end_b = (np.array([f"{i}{sign}" for i in range(len(pieces))], object) for sign in ",|;")
 
     def spelt(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids.tolist()))
@@ -132,17 +133,15 @@ def merged(
     return at_a[order], at_b[order]
 
 
-def written(a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray, left: np.ndarray, right: np.ndarray) -> str:
+def written(a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray, one: Vocabulary, two: Vocabulary) -> str:
     """``a1,a2|b1;a3|b2,b3`` of one document; cuts are the places of the linked tokens."""
-    group_a, group_b = np.searchsorted(cut_a, np.arange(len(a))), np.searchsorted(cut_b, np.arange(len(b)))
+    size_a, size_b = np.diff(cut_a, prepend=-1), np.diff(cut_b, prepend=-1)
     out = np.empty(len(a) + len(b), object)
-    before = np.append(0, cut_b + 1)  # tokens of B in the groups up to each
-    place_a = np.arange(len(a)) + before[group_a]
-    place_b = np.arange(len(b)) + cut_a[group_b] + 1
-    out[place_a], out[place_b] = left[a], right[b]
-    last_a, last_b = place_a[cut_a], place_b[cut_b]
-    out[last_a] = [s[:-1] + "|" for s in out[last_a].tolist()]
-    out[last_b] = [s[:-1] + ";" for s in out[last_b].tolist()]
+    # A token stands behind the other side's tokens of the groups before it, B's behind its own group's too.
+    place_a = np.arange(len(a)) + np.repeat(cut_b + 1 - size_b, size_a)
+    place_b = np.arange(len(b)) + np.repeat(cut_a + 1, size_b)
+    out[place_a], out[place_b] = one.inside[a], two.inside[b]
+    out[place_a[cut_a]], out[place_b[cut_b]] = one.end_a[a[cut_a]], two.end_b[b[cut_b]]
     return "".join(out.tolist())[:-1]
 
 
@@ -192,7 +191,7 @@ def block_rows(docs: DataFrame, name_a: str, name_b: str, lane: int) -> DataFram
                 cuts = np.searchsorted(at_a, bound_a)
                 for i, (a, b) in enumerate(tokens):
                     z = slice(cuts[i], cuts[i + 1])
-                    text = written(a, b, at_a[z] - bound_a[i], at_b[z] - bound_b[i], one.inside, two.inside) if len(a) else ""
+                    text = written(a, b, at_a[z] - bound_a[i], at_b[z] - bound_b[i], one, two) if len(a) else ""
                     digests.append(hashlib.sha256(text.encode()).hexdigest() if text else "")
                     numbers.append((len(a), len(b), cuts[i + 1] - cuts[i]))
                 keys.append(all_a[at_a] << 32 | all_b[at_b])
