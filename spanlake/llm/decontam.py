@@ -63,6 +63,7 @@ class Automaton:
             last = 0
             for w in ids:
                 last = self._extend(last, w)
+        self._cut: dict[int, int] = {}
         self.windows: dict[int, set[int]] = {}  # by state that holds the n words
         self.whole: dict[int, list[tuple[int, int]]] = {}  # by state: length, short item
         for k, short, ids in sequences:
@@ -114,9 +115,14 @@ class Automaton:
             yield state, length, at
 
     def of_window(self, state: int) -> int:
-        """The state of the last n words of a match of at least n."""
-        while self.length[self.link[state]] >= self.n:
+        """The state of the last n words of a match of at least n; walked to once per state."""
+        seen = []
+        while state not in self._cut and self.length[self.link[state]] >= self.n:
+            seen.append(state)
             state = self.link[state]
+        state = self._cut.get(state, state)
+        for s in seen:
+            self._cut[s] = state
         return state
 
     def near_whole(self, state: int) -> int:

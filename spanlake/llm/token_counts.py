@@ -15,7 +15,8 @@ A character whose bytes are spread over several tokens counts as a character of
 
 Defined results: a null or empty text has no section of its own making (sentences); given
 sections get 0 tokens there; sections beyond the text are cut to it; null bounds count
-as an empty section; equal ids share their sections; an empty table gives no rows.
+as an empty section; a document that no section is given for has one row with a null section,
+which no token falls to; equal ids share their sections; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from spanlake.llm.shared import slices, utf8
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 RULES = ("first", "last", "most")
+NONE = -(1 << 62)  # number of the section of a document without any
 
 
 def length_memory(name: str) -> Memory:
@@ -106,13 +108,14 @@ def count_tokens(
         each = sections.groupBy(F.col("doc_id").alias("__id")).agg(
             F.array_sort(F.collect_list(F.struct("section", "start", "end"))).alias("sections")
         )
-        docs = docs.join(each, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
+        docs = docs.join(each, F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
 
     def bounds(values: list[list[dict] | None], lead: np.ndarray) -> tuple[np.ndarray, ...]:
         """Row, number, start and end of the given sections, in characters of the slice."""
+        none = {"section": NONE, "start": None, "end": None}
         rows = [
             (row, s["section"], *((0, 0) if s["start"] is None or s["end"] is None else (s["start"], s["end"])))
-            for row, value in enumerate(values) for s in value or ()
+            for row, value in enumerate(values) for s in value or (none,)
         ]
         row, number, start, end = (np.array(x, np.int64) for x in (zip(*rows) if rows else ((), (), (), ())))
         size = np.diff(lead)[row]
@@ -140,9 +143,9 @@ def count_tokens(
                     start, end = chars[start], chars[end]
                 counts, crossing = allocate(first, last, start, end, rule)
                 tokens = np.array([len(x) // 2 for x in sizes])[row]
-                out = number, start - lead[row], end - lead[row], counts, crossing, tokens
+                place = [pa.array(x, pa.int64(), mask=number == NONE) for x in (number, start - lead[row], end - lead[row])]
                 ids = part.column(0).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int64()) for x in out)], names=names)
+                yield pa.RecordBatch.from_arrays([ids, *place, *(pa.array(x, pa.int64()) for x in (counts, crossing, tokens))], names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -276,6 +277,16 @@ def test_nothing_to_match(spark, docs):
     assert {r.n_hit for r in decontam.match(docs, benchmark.limit(0)).collect()} == {0}
 
 
+def test_one_word_over_and_over(spark):
+    """Work per word does not grow with the length of the match."""
+    n = 20_000
+    benchmark = spark.createDataFrame([(1, "no " * n)], "item_id bigint, text string")
+    df = spark.createDataFrame([(1, "no " * 350_000), (2, "no " * 12), (3, "yes " + "no " * 13)], "doc_id bigint, text string")
+    start = time.time()
+    rows = {r.doc_id: (r.n_words, r.n_hit) for r in decontam.match(df, benchmark).select("doc_id", "n_words", "n_hit").collect()}
+    assert rows == {1: (350_000, 350_000), 2: (12, 0), 3: (14, 13)} and time.time() - start < 90
+
+
 def test_long_items_in_pieces(spark):
     text = prose(5, 300)
     pieces = decontam.item_pieces(spark.createDataFrame([(1, text)], "item_id bigint, text string"), 13, 50).collect()

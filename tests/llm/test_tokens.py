@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import zlib
 
 import numpy as np
@@ -143,6 +144,44 @@ def test_sections_by_hand(spark, rule):
     assert got == {(1, k): n for k, n in expected.items()} | {(2, k): 0 for k in expected}
 
 
+def test_documents_without_sections_stay(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "d e"), (3, None), (None, "x")], "doc_id bigint, text string")
+    given = spark.createDataFrame([(1, 0, 0, 3), (9, 0, 0, 3)], "doc_id bigint, section int, start int, end int")
+    rows = {r.doc_id: tuple(r)[1:] for r in token_counts.count_tokens(docs, given).collect()}
+    assert rows == {1: (0, 0, 3, 2, 0, 3), 2: (None, None, None, 0, 0, 2), 3: (None, None, None, 0, 0, 0), None: (None, None, None, 0, 0, 1)}
+
+
+def plain_sentences(text):
+    """Ranges that end with a newline, or with a space after a full stop, question or exclamation mark."""
+    out, low = [], 0
+    for i, c in enumerate(text):
+        if c == "\n" or (c == " " and i and text[i - 1] in ".!?") or i == len(text) - 1:
+            out.append((low, i + 1))
+            low = i + 1
+    return out
+
+
+def test_sentences_by_brute_force(docs):
+    """The query's own sections: places, tokens by the rule ``most``, and tokens over a border."""
+    encoding = pieces.rank_encoding("byte_bpe_50k.tiktoken")
+    expected = []
+    for doc_id, text, *_ in DOCS:
+        spans, at, data = [], 0, (text or "").encode()
+        lead = [0, *itertools.accumulate(int((b & 0xC0) != 0x80) for b in data)]
+        for i in encoding.encode_ordinary(text or ""):
+            size = len(encoding.decode_single_token_bytes(i))
+            spans.append((lead[at + 1] - 1, lead[at + size]))
+            at += size
+        for k, (a, b) in enumerate(plain_sentences(text or "")):
+            near = [(x, y) for x, y in spans if x < b and y > a]
+            crossing = sum(x < a or y > b for x, y in near)
+            inside = [2 * (min(y, b) - max(x, a)) - (y - x) for x, y in near]
+            n = sum(m > 0 or (m == 0 and x >= a) for m, (x, _) in zip(inside, near))
+            expected.append((doc_id, k, a, b, n, crossing, len(spans)))
+    rows = [tuple(r) for r in token_counts.count_tokens(docs, rule="most").collect()]
+    assert sorted(rows, key=repr) == sorted(expected, key=repr)
+
+
 @pytest.mark.parametrize("rule", token_counts.RULES)
 def test_sentences_hold_every_token_once(docs, rule):
     encoding = pieces.rank_encoding("byte_bpe_50k.tiktoken")
