@@ -63,27 +63,28 @@ def merge_islands(
             *([F.array_sort(F.collect_list(items)).alias("items")] if gather else []),
         )
     )
-    # Only pieces that touch a border can belong together; the rest stand alone,
-    # each under its own grouping key.
+    # Only pieces that touch a border can belong together. The others are settled and stay
+    # where they are; both branches read the one exchange above.
     touches = (c("piece") == 0) | (c("last_tok") % block == 0)
-    pieces = pieces.withColumn("knot", F.when(touches, F.lit(0)).otherwise(c("first_tok")))
-    pieces = pieces.where((c("knot") == 0) | wanted)
-    across = Window.partitionBy(*keys, "knot").orderBy("first_tok")
+    columns = [*keys, "first_tok", "last_tok", *names, *measures, *(["items"] if gather else [])]
+    settled = pieces.where(~touches & wanted).select(*columns)
+    across = Window.partitionBy(*keys).orderBy("first_tok")
     fresh = (c("piece") > 0) | ~F.coalesce(
         F.lag("last_tok").over(across) == c("first_tok") - 1, F.lit(False)
     )
     merged = (
-        pieces.withColumn("fresh", fresh)
+        pieces.where(touches)
+        .withColumn("fresh", fresh)
         .withColumn("from", opening("fresh", across, F.struct("first_tok", *names)))
         .select(
-            *keys, "knot", "last_tok", *measures, *(["items"] if gather else []),
+            *keys, "last_tok", *measures, *(["items"] if gather else []),
             c("from.first_tok").alias("first_tok"), *(c(f"from.{n}").alias(n) for n in names),
         )
-        .groupBy(*keys, "knot", "first_tok", *names)
+        .groupBy(*keys, "first_tok", *names)
         .agg(
             F.max("last_tok").alias("last_tok"),
             *merge,
             *([F.array_sort(F.flatten(F.collect_list("items"))).alias("items")] if gather else []),
         )
     )
-    return merged.where(wanted).drop("knot")
+    return settled.unionByName(merged.where(wanted).select(*columns))

@@ -8,14 +8,19 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from spanlake.functions.inventory import LEADING_EDGE, TRAILING_EDGE
 from spanlake.functions.text import has_text, tokens_of
+from spanlake.operators.blocks import BLOCK, block_of
 
 Tagger = Callable[[list[list[str]]], list[list[str]]]
+CONTEXT = 256  # tokens on either side of a block that its tagger sees as well
+CALL = 1 << 16  # tokens of one call
 
 
 def tokenize(
@@ -95,30 +100,49 @@ def label_tokens(df: DataFrame) -> DataFrame:
 
 
 def annotate(
-    tokens: DataFrame, tagger: Tagger, keys: Sequence[str] = ("doc_id", "sent_id"), name: str = "pos"
+    tokens: DataFrame, tagger: Tagger, keys: Sequence[str] = ("doc_id", "sent_id"), name: str = "pos",
+    block: int = BLOCK, context: int = CONTEXT,
 ) -> DataFrame:
     """Add one label per token from a batch function over whole sentences.
 
-    ``tagger`` maps a list of sentences (token lists) to equally long label lists.
-    A tagger sees a sentence whole, so a sentence has to fit in a row.
+    ``tagger`` maps a list of sentences (token lists) to equally long label lists; a call gets
+    ``CALL`` tokens, or one sentence. A sentence of more than ``block`` tokens is handed over in
+    blocks of that size, each with up to ``context`` tokens before and after it; the labels of
+    those do not count, as their own block has them. So no sentence has to fit in a row.
     """
+    if not 0 <= 2 * context <= block:
+        raise ValueError("a block must hold its neighbours' context twice over")
     other = [c for c in tokens.columns if c not in keys and c != "tok_id"]
-    sentences = tokens.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("tok_id", *other))).alias("items")
+    own = block_of("tok_id", block)
+    place = F.col("tok_id") - 1 - own * block  # within its block
+    homes = (
+        F.when((place < context) & (own > 0), F.array(own, own - 1))
+        .when(place >= block - context, F.array(own, own + 1))
+        .otherwise(F.array(own))
     )
+    dealt = tokens.withColumn("__blk", F.explode(homes)).withColumn("__own", F.col("__blk") == own)
+    # What stands at the end of a last block is copied to a block that has no tokens of its own.
+    sentences = dealt.groupBy(*keys, "__blk").agg(
+        F.array_sort(F.collect_list(F.struct("tok_id", "__own", *other))).alias("items")
+    ).where(F.exists("items", lambda x: x["__own"])).drop("__blk")
     schema = T.StructType([*sentences.schema.fields, T.StructField("labels", T.ArrayType(T.StringType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            items = batch.column("items")
-            words = pa.ListArray.from_arrays(items.offsets, items.values.field("token")).to_pylist()
-            labels = tagger(words)
-            if [len(x) for x in labels] != [len(x) for x in words]:
-                raise ValueError("the tagger must return one label per token")
-            columns = [*batch.columns, pa.array(labels, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        for whole in batches:
+            sizes = np.cumsum(pc.list_value_length(whole.column("items")).to_numpy())
+            at = before = 0
+            while at < whole.num_rows:
+                to = max(at + 1, int(np.searchsorted(sizes, before + CALL, "right")))
+                batch = whole.slice(at, to - at)
+                words = [x.values.field("token").to_pylist() for x in batch.column("items")]
+                labels = tagger(words)
+                if [len(x) for x in labels] != [len(x) for x in words]:
+                    raise ValueError("the tagger must return one label per token")
+                columns = [*batch.columns, pa.array(labels, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+                at, before = to, int(sizes[to - 1])
 
     both = F.explode(F.arrays_zip("items", "labels")).alias("x")
-    return sentences.mapInArrow(run, schema).select(*keys, both).select(
+    return sentences.mapInArrow(run, schema).select(*keys, both).where("x.items.__own").select(
         *keys, "x.items.*", F.col("x.labels").alias(name)
-    )
+    ).drop("__own")

@@ -278,3 +278,40 @@ def test_char_ids(spark):
     assert got == {0: [ids["a"], ids["a"], ids["b"], ids[" "], ids["é"], 4], 1: [], 2: None, 3: [4, ids["b"]]}
     assert chars.char_ids(docs, vocab, unknown=99).where("doc_id = 3").first().ids[0] == 99
     assert chars.char_ids(docs, vocab.limit(0)).where("doc_id = 0").first().ids == [0] * 6
+
+
+def test_tagger_sees_long_sentences_in_blocks(spark, monkeypatch):
+    """Labels that need two neighbours are right at every border, in calls of bounded size."""
+    monkeypatch.setattr(labels, "CALL", 12)
+    rows = [(s, i + 1, f"{s}.{i}", i) for s, n in enumerate([1, 4, 8, 9, 23, 40]) for i in range(n)]
+    df = spark.createDataFrame(rows, "sent_id int, tok_id bigint, token string, other int").repartition(3)
+
+    def near(sentences):
+        assert sum(map(len, sentences)) <= 12 or len(sentences) == 1
+        assert max(map(len, sentences)) <= 8 + 2 * 2
+        return [["|".join(x[max(0, i - 2) : i + 3]) for i in range(len(x))] for x in sentences]
+
+    whole = {}
+    for r in labels.annotate(df, lambda s: [["|".join(x[max(0, i - 2) : i + 3]) for i in range(len(x))] for x in s], ("sent_id",)).collect():
+        whole[r.sent_id, r.tok_id] = (r.token, r.other, r.pos)
+    got = labels.annotate(df, near, ("sent_id",), block=8, context=2).collect()
+    assert len(got) == len(rows) and {(r.sent_id, r.tok_id): (r.token, r.other, r.pos) for r in got} == whole
+    assert got[0].asDict().keys() == {"sent_id", "tok_id", "token", "other", "pos"}
+
+
+def test_ranks_of_keys_with_nulls(spark):
+    df = spark.createDataFrame([(d, s, "t") for d in (1, 2, None) for s in (0, 1, None)], "doc_id bigint, sent_id bigint, text string")
+    rows = splits.split(df).collect()
+    assert sorted(r["rank"] for r in rows) == list(range(9)) and {r.n for r in rows} == {9}
+
+
+def test_mentions_move_once(spark):
+    """Tokens are exchanged once; what touches no border of a block stays where it is."""
+    rows = [(1, 1, i + 1, f"w{i}", "N", "B-pers" if i % 3 == 0 else "I-pers") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id bigint, sent_id bigint, tok_id bigint, token string, pos string, iob string")
+    found = mentions.mentions(df, ("doc_id", "sent_id"))
+    assert found.count() == 10
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert mentions.mentions(df, ("doc_id", "sent_id"), block=2).count() == 10
