@@ -11,8 +11,8 @@ a document have the shorter histories that are there. Words are ``[^\\x20\\x09-\
 lower-cased; all words and all counts from 1 are used. Rows are documents, so a copy is
 "elsewhere".
 
-* Documents are taken in blocks of about ``BLOCK`` bytes of text and written, each block as its
-  different words and the order they stand in; all that follows reads these.
+* Documents are taken in blocks of about ``BLOCK`` bytes of text and dealt out by block, each as its
+  different words and the order they stand in; all that follows reads this one exchange.
 * The n-grams of a block are counted by 64-bit hash, one order after the other, dealt to
   buckets by ranges of the hash, and packed (differences of sorted keys, counts; byte planes
   under zstandard). A bucket's rows come together, which gives its count table, and each block
@@ -21,7 +21,9 @@ lower-cased; all words and all counts from 1 are used. Rows are documents, so a
 * A block's counts meet its words; a document's own occurrences are taken off, words whose
   n-gram is left with none back off, and the logarithms are summed by document.
 
-Nothing is broadcast; the driver gets the number of words. Hashes of different n-grams are
+Nothing is broadcast; the driver gets the number of words. Blocks are cut in the order in which a
+task reads its rows, so ``docs`` has to give them in that order again should a task be run anew, as
+a scan of files does; write out anything else first. Hashes of different n-grams are
 taken for different (with 5 * 10**9 of them, less than one collision is expected).
 
 Defined results: a null text is empty; a document without words has 0 words, a sum of 0
@@ -40,15 +42,15 @@ import pyarrow as pa
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from spanlake.llm.shared import hashed_words, mix, packed, slices, stored, summed, unpacked
+from spanlake.llm.shared import hashed_words, mix, packed, slices, space_words, summed, unpacked, utf8
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ORDER = 3
 BACKOFF = 0.4
 BUCKETS, BUCKET_WORDS = 256, 2_000_000
-BLOCK = 1 << 22  # bytes of text of a block
-BLOCKS = "block bigint, total bigint, ids binary, sizes binary, words binary, places binary"
+BLOCK = 1 << 24  # bytes of text of a block
+BLOCKS = "block bigint, ids binary, sizes binary, words binary, places binary"
 GRAMS = "block bigint, part int, bucket int, keys binary, counts binary"
 COUNTED = "block bigint, part int, bucket int, counts binary"
 
@@ -58,6 +60,17 @@ def schema_of(names: str) -> pa.Schema:
     return pa.schema([(n, kinds[k]) for n, k in (x.split(" ") for x in names.split(", "))])
 
 
+def total_words(docs: DataFrame) -> int:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        for batch in batches:
+            for at, to in slices(batch.column(0)):
+                n += len(space_words(*utf8(batch.column(0).slice(at, to - at)))[0])
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    return docs.select("text").mapInArrow(run, "n bigint").agg(F.sum("n")).first()[0] or 0
+
+
 def blocks(docs: DataFrame) -> DataFrame:
     """``BLOCKS``: ids and sizes of a block's documents, hashes of its words, frequent ones first,
     and the place of each document's words among them."""
@@ -79,7 +92,7 @@ def blocks(docs: DataFrame) -> DataFrame:
             with pa.ipc.new_stream(sink, table.schema) as writer:
                 writer.write_table(table)
             row = {
-                "block": task << 24 | number, "total": len(place), "ids": sink.getvalue().to_pybytes(),
+                "block": task << 24 | number, "ids": sink.getvalue().to_pybytes(),
                 "sizes": packed(np.concatenate(sizes)), "words": packed(words[falling]), "places": packed(rank[place]),
             }
             number += 1
@@ -120,7 +133,7 @@ def packed_grams(made: DataFrame, order: int, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, sizes, words, places in zip(*(batch.column(i) for i in range(4))):
+            for block, _, sizes, words, places in zip(*batch.columns):
                 words = unpacked(words.as_py(), np.uint64)[unpacked(places.as_py(), np.int32)]
                 for part, (_, key) in enumerate(grams(words, unpacked(sizes.as_py(), np.int64), order)):
                     key, times = summed(key, np.ones(len(key), np.int64))
@@ -133,7 +146,7 @@ def packed_grams(made: DataFrame, order: int, buckets: int) -> DataFrame:
                         out.append({"block": block.as_py(), "part": part, "bucket": b, "keys": packed(steps), "counts": packed(times[a:z])})
                     yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return made.select("block", "sizes", "words", "places").mapInArrow(run, GRAMS)
+    return made.mapInArrow(run, GRAMS)  # of all columns: pruned, it would not share the exchange
 
 
 def counted(made: DataFrame) -> DataFrame:
@@ -169,8 +182,8 @@ def elsewhere(key: np.ndarray, row: np.ndarray, counts: np.ndarray) -> np.ndarra
 
 def score(docs: DataFrame, order: int = ORDER, buckets: int = BUCKETS) -> DataFrame:
     """``(doc_id, n_words, log_score, mean_log_score)`` of every document."""
-    made = stored(blocks(docs), "word-blocks")
-    total = made.agg(F.sum("total")).first()[0] or 0
+    total = total_words(docs)
+    made = blocks(docs).repartition("block")
     buckets = max(buckets, -(-total // BUCKET_WORDS))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
