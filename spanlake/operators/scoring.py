@@ -208,16 +208,15 @@ def match_state(
         )
         .where(F.col("blk").isNotNull())
     )
-    state = F.coalesce("state", "entering", F.lit(False))
-    return (
-        rows.join(carried, [*keys, "blk"], "left")
-        .withColumn("state", state)
-        .withColumn("hit", F.col("state") & F.col("gold_end") & F.col("guess_end"))
-        .select(
-            *keys, "tok_id", "gold", "guess", "gold_start", "guess_start",
-            "gold_end", "guess_end", "state", "hit",
-        )
-    )
+    # Most rows know their state within the block; only those before a later block's first event
+    # meet what enters it. Both branches read one exchange of the tokens.
+    waiting = rows.where("state IS NULL").join(carried, [*keys, "blk"], "left")
+    waiting = waiting.withColumn("state", F.coalesce("entering", F.lit(False)))
+    columns = [
+        *keys, "tok_id", "gold", "guess", "gold_start", "guess_start", "gold_end", "guess_end", "state",
+        (F.col("state") & F.col("gold_end") & F.col("guess_end")).alias("hit"),
+    ]
+    return rows.where("state IS NOT NULL").select(*columns).unionByName(waiting.select(*columns))
 
 
 def _tally(
