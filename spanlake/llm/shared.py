@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from spanlake.sources.workspace import new_folder
+from spanlake.sources.workspace import stored  # noqa: F401  (for the operators)
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -25,13 +25,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts lineage, survives lost executors."""
-    folder = new_folder(df.sparkSession, name)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
 def fold(text: Column) -> Column:
     """A-Z to lower case, every other character as it is."""
     return F.translate(text, UPPER, LOWER)
