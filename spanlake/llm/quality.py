@@ -17,8 +17,8 @@ in units of its language: less the median, by the distance of the quartiles (bot
 documents that pass the base rules), by sqrt(1 + ``STEADY`` / bytes), since short documents
 vary more. The limits, lower and upper, leave out ``TAIL`` of the labelled good documents of the
 language on either side; with fewer than ``LEAST`` of these the limits are those of all
-languages' labelled documents together. At most ``SAMPLE`` labelled rows, those with the
-smallest hash of their id, are looked at. Without labels the limits are ``WIDTH`` units.
+languages' labelled documents together. Every labelled row counts, and the limits are exact
+quantiles of them all. Without labels the limits are ``WIDTH`` units.
 
 Defined results: a null text is empty, has no words and fails the base rules; a null
 language is a language; equal ids and rows are scored apart; a label of a repeated id holds for
@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spanlake.llm.shared import mix, segment_hashes, slices, space_words, stored, summed, utf8
 
@@ -45,7 +45,7 @@ MOST = 4_000_000
 HELD = 2_000_000  # counts that a task holds before it hands them on
 TAIL = 0.005
 LEAST = 200
-SAMPLE = 100_000
+NEAR = 10_000  # accuracy of the sketch that says where a limit lies
 WIDTH = 6.0
 STEADY = 2000
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -324,26 +324,66 @@ def unsteady() -> Column:
     return F.sqrt(1 + STEADY / F.greatest("n_bytes", F.lit(1)))
 
 
-def limits(measured: DataFrame, labels: DataFrame, tail: float, least: int, sample: int) -> dict[str | None, list[float]]:
-    """For each language with enough labelled documents, and under ``""`` for all together, the
-    limits in units: lower and upper of the score, of the word score."""
+def quantiles(values: DataFrame, keys: list[str], tail: float) -> DataFrame:
+    """``keys``, ``n`` and the exact ``LIMITS`` of each group of ``(keys, score, word_score)``; between
+    two values a limit is interpolated.
+
+    A sketch tells the values around each limit from the rest. The rest is only counted, so
+    what is put in order is a five hundredth of a group, however large.
+    """
+    wide = 10 / NEAR
+    wanted = list(zip(LIMITS, ("score", "score", "word_score", "word_score"), (tail, 1 - tail) * 2))
+    each = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(q).alias("q"), F.col(x).alias("value")) for name, x, q in wanted))
+    rows = values.select(*keys, F.inline(each)).where("value IS NOT NULL")
+    ends = [min(max(end, 0.0), 1.0) for q in (tail, 1 - tail) for end in (q - wide, q + wide)]
+    few = F.col("n") <= NEAR
+    first = F.col("q") == tail
+    around = rows.groupBy(*keys, "name", "q").agg(
+        F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"),
+        F.percentile_approx("value", ends, NEAR).alias("ends"),
+    ).select(
+        *(F.col(k).alias(f"__{k}") for k in (*keys, "name")), "n", ((F.col("n") - 1) * F.col("q")).alias("at"),
+        F.when(few, F.col("least")).when(first, F.col("ends")[0]).otherwise(F.col("ends")[2]).alias("low"),
+        F.when(few, F.col("most")).when(first, F.col("ends")[1]).otherwise(F.col("ends")[3]).alias("high"),
+    )
+    same = F.lit(True)
+    for k in (*keys, "name"):
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    value = F.col("value")
+    spot = F.when(value < F.col("low"), float("-inf")).when(value > F.col("high"), float("inf")).otherwise(value)
+    spots = rows.join(F.broadcast(around), same).groupBy(*keys, "name", "n", "at", spot.alias("spot")).agg(F.count("*").alias("times"))
+    upto = F.sum("times").over(Window.partitionBy(*keys, "name").orderBy("spot"))
+    below, above = F.floor("at"), F.ceil("at")
+    found = spots.withColumn("upto", upto).groupBy(*keys, "name", "n", "at").agg(
+        F.min(F.when(F.col("upto") > below, F.col("spot"))).alias("one"),
+        F.min(F.when(F.col("upto") > above, F.col("spot"))).alias("two"),
+    )
+    missed = F.abs("one").isin(float("inf")) | F.abs("two").isin(float("inf"))
+    limit = (
+        F.when(missed, F.raise_error(F.lit("a limit lies outside the values around it")).cast("double"))
+        .when(below == above, F.col("one"))
+        .otherwise((above - F.col("at")) * F.col("one") + (F.col("at") - below) * F.col("two"))
+    )
+    return found.withColumn("limit", limit).groupBy(*keys).agg(
+        F.max("n").alias("n"), *(F.max(F.when(F.col("name") == name, F.col("limit"))).alias(name) for name in LIMITS)
+    )
+
+
+def limits(measured: DataFrame, labels: DataFrame, tail: float) -> DataFrame:
+    """``(every, of, n)`` and the limits in units, lower and upper of the score, of the word score: for
+    each language ``of`` with labelled good documents, and for all together (``every``)."""
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("__quality")).where("__quality = 1").select(F.col("doc_id").alias("__id"))
-    rows = measured.where(~base_failed()).join(good, F.col("doc_id") == F.col("__id"), "left_semi").orderBy(
-        F.xxhash64("doc_id"), "doc_id", "score"
-    ).limit(sample)
+    rows = measured.where(~base_failed()).join(good, F.col("doc_id") == F.col("__id"), "left_semi")
     rows = rows.join(F.broadcast(spreads(measured)), F.col("lang").eqNullSafe(F.col("__lang")))  # a row per language
     units = [((F.col(x) - F.col(f"__{x}_middle")) / F.col(f"__{x}_spread") / unsteady()).alias(x) for x in ("score", "word_score")]
     rows = stored(rows.select(F.col("lang").alias("of"), *units), "labelled-units")
-    cuts = [F.percentile(x, F.lit(q)).alias(name) for (x, q), name in zip(
-        ((x, q) for x in ("score", "word_score") for q in (tail, 1 - tail)), LIMITS)]
-    out = {r.of: [r[x] for x in LIMITS] for r in rows.groupBy("of").agg(F.count("*").alias("n"), *cuts).where(F.col("n") >= least).collect()}
-    every = rows.agg(F.count("*").alias("n"), *cuts).first()
-    return out | ({"": [every[x] for x in LIMITS]} if every.n else {})
+    both = F.array(F.struct(F.lit(False).alias("every"), "of"), F.struct(F.lit(True).alias("every"), F.lit(None).cast("string").alias("of")))
+    return stored(quantiles(rows.select(F.inline(both), "score", "word_score"), ["every", "of"], tail), "limits")
 
 
 def judge(
     docs: DataFrame, labels: DataFrame | None = None, keep: tuple[str, ...] | None = None, most: int = MOST,
-    tail: float = TAIL, least: int = LEAST, sample: int = SAMPLE,
+    tail: float = TAIL, least: int = LEAST,
 ) -> DataFrame:
     """``docs`` plus metrics, ``score`` and ``word_score``, the limits of both, ``base_failed`` and ``kept``.
 
@@ -362,13 +402,19 @@ def judge(
     for part in parts:
         measured = measured.unionByName(part)
     measured = stored(measured.select(*columns, *ADDED), "measured")
-    fitted = limits(measured, labels, tail, least, sample) if labels is not None else {}
-    default = fitted.pop("", [-WIDTH, WIDTH, -WIDTH, WIDTH])
-    joined = measured.join(F.broadcast(spreads(measured)), F.col("lang").eqNullSafe(F.col("__lang")), "left")
+    default, spread = None, spreads(measured)
+    if labels is not None:
+        fitted = limits(measured, labels, tail)
+        default = fitted.where("every").first()
+        own = fitted.where(~F.col("every") & (F.col("n") >= least)).drop("every", "n")
+        spread = spread.join(F.broadcast(own), F.col("__lang").eqNullSafe(F.col("of")), "left")
+    else:
+        spread = spread.withColumns({name: F.lit(None).cast("double") for name in LIMITS})
+    spread = spread.select("*", *(F.col(name).alias(f"__{name}") for name in LIMITS)).drop(*LIMITS)
+    default = [default[name] for name in LIMITS] if default else [-WIDTH, WIDTH, -WIDTH, WIDTH]
+    joined = measured.join(F.broadcast(spread), F.col("lang").eqNullSafe(F.col("__lang")), "left")  # a row per language
     for k, (name, x) in enumerate(zip(LIMITS, ("score", "score", "word_score", "word_score"))):
-        unit = F.lit(float(default[k]))
-        for lang, found in fitted.items():  # languages with ``least`` labelled rows of ``sample``: a bounded number
-            unit = F.when(F.col("lang").eqNullSafe(F.lit(lang)), found[k]).otherwise(unit)
+        unit = F.coalesce(F.col(f"__{name}"), F.lit(float(default[k])))
         joined = joined.withColumn(name, F.col(f"__{x}_middle") + unit * F.col(f"__{x}_spread") * unsteady())
     inside = F.col("score").between(F.col("lower"), F.col("upper")) & F.col("word_score").between(F.col("word_lower"), F.col("word_upper"))
     return joined.withColumn("base_failed", base_failed()).withColumn(

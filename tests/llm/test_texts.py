@@ -232,6 +232,33 @@ def test_bands_reject_junk_and_keep_prose(spark):
         assert sum(not got[1000 + 100 * k + i] for i in range(30)) >= 27
 
 
+def test_limits_of_all_labelled_rows(spark):
+    """Exact quantiles of every labelled row, more of them than were once looked at."""
+    n, tail = 130_000, 0.005
+    langs = ["en", None, "xx"]
+    lang = F.when(F.col("id") % 13 == 0, None).when(F.col("id") < 300, "xx").otherwise("en")
+    value = (F.col("id") * 7919 % 104_729).cast("double")
+    measured = spark.range(n).select(
+        F.col("id").alias("doc_id"), lang.alias("lang"), F.lit(100).alias("n_words"), F.lit(0).alias("n_repeat_words"),
+        F.lit(1000).alias("n_bytes"), value.alias("score"), (value * value).alias("word_score"),
+    )
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), (F.col("id") % 7 > 0).cast("int").alias("quality"))
+    ids = np.arange(n)
+    score = (ids * 7919 % 104_729).astype(float)
+    of = np.where(ids % 13 == 0, 1, np.where(ids < 300, 2, 0))
+    middles = {r["__lang"]: r for r in quality.spreads(measured).collect()}
+    steady = math.sqrt(1 + quality.STEADY / 1000)
+    units = {x: np.array([(v - middles[langs[k]][f"__{x}_middle"]) / middles[langs[k]][f"__{x}_spread"] / steady for v, k in zip(values, of)])
+             for x, values in (("score", score), ("word_score", score * score))}
+    good = ids % 7 > 0
+    got = {(r.every, r.of): r for r in quality.limits(measured, labels, tail).collect()}
+    assert len(got) == 4
+    for key, some in [((True, None), good), *(((False, lang), good & (of == k)) for k, lang in enumerate(langs))]:
+        expected = [np.quantile(units[x][some], q) for x in ("score", "word_score") for q in (tail, 1 - tail)]
+        assert got[key].n == some.sum()
+        assert [got[key][name] for name in quality.LIMITS] == pytest.approx(expected, rel=1e-9)
+
+
 def test_labels_of_no_use(spark, docs):
     for labels in ([], [(1, 0), (1, 1)], [(5, 1), (0, 1)]):
         rows = quality.judge(docs, spark.createDataFrame(labels, "doc_id bigint, quality int")).collect()
