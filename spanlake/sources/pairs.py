@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from spanlake.sources.lines import INDEX, number_sentences, read_lines, split_index
 
@@ -97,10 +97,15 @@ def check_width(
 
 
 def format_pairs(pairs: DataFrame) -> DataFrame:
-    """Lines ``token gold guess`` with a boundary line after each sentence."""
+    """Lines ``token gold guess`` with a boundary line after each sentence.
+
+    Sentences come together for it: those that already are by document or sentence stay there.
+    """
+    c = F.col
     line = F.concat_ws(" ", F.coalesce("token", F.lit("_")), "gold", "guess")
-    body = pairs.select("doc_id", "sent_id", "tok_id", line.alias("line"))
-    ends = pairs.groupBy("doc_id", "sent_id").agg(F.max("tok_id").alias("tok_id")).select(
-        "doc_id", "sent_id", (F.col("tok_id") + 1).alias("tok_id"), F.lit("").alias("line")
-    )
-    return body.unionByName(ends)
+    own = F.struct(c("tok_id").cast("bigint").alias("tok_id"), line.alias("line"))
+    end = F.struct((c("tok_id") + 1).cast("bigint").alias("tok_id"), F.lit("").alias("line"))
+    after = F.lead(F.lit(1)).over(Window.partitionBy("doc_id", "sent_id").orderBy("tok_id"))
+    rows = pairs.select("doc_id", "sent_id", "tok_id", "token", "gold", "guess", after.alias("after"))
+    lines = F.when(c("after").isNull(), F.array(own, end)).otherwise(F.array(own))
+    return rows.select("doc_id", "sent_id", F.inline(lines))
