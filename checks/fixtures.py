@@ -20,6 +20,8 @@ TYPES = ("pers.ind", "func.ind", "loc.adm.town", "amount", "time.date.abs", "org
 PREFIX = {0: "B", 5: "B", 1: "I", 2: "I", 6: "I"}
 
 
+PART = 4 << 20
+
 # Characters and how they are written as references, in the order of replacement; the name of
 # the last one stands for nothing.
 REFERENCES = {"&": "&amp;", "z": "&#x7A;", "q": "&#113;", "k": "&uuml;", "j": "&nosuch;"}
@@ -74,10 +76,21 @@ def files(spark: SparkSession, sf: str, name: str, write) -> str:
     return folder
 
 
+def dealt(docs: DataFrame) -> DataFrame:
+    """Documents dealt out by id in parts of about ``PART`` bytes of their files.
+
+    Whatever is grouped or ordered by document and sentence afterwards stays where it is: the
+    texts are exchanged instead of their tokens, and a part's tokens are sorted in memory.
+    """
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART))
+    return docs.repartition(parts, "doc_id")
+
+
 @fixture
 def words(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens of every non-blank line of every document; ``n`` is the line's count."""
-    docs = table(spark, sf, "documents")
+    docs = dealt(table(spark, sf, "documents").select("doc_id", "source", "text"))
     return (
         docs.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("sent_id", "line"))
         .where(F.trim("line") != "")
@@ -232,18 +245,21 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def write_documents(docs: DataFrame, folder: str) -> None:
-    """One ``.norm.ne`` file per document, and one file to be skipped per task."""
+    """One ``.norm.ne`` file per document, and a few files to be skipped."""
 
     def write(rows) -> None:
         from pyarrow import fs
 
         target, path = fs.FileSystem.from_uri(folder)
         target.create_dir(path, recursive=True)
+        skipped = set()
         for row in rows:
             with target.open_output_stream(f"{path}/doc_{row.doc_id}.norm.ne") as out:
                 out.write(row.text.encode())
-            with target.open_output_stream(f"{path}/doc_{row.doc_id % 7}.log") as out:
-                out.write(b"skipped")
+            if row.doc_id % 7 not in skipped:  # once a task, not once a document
+                skipped.add(row.doc_id % 7)
+                with target.open_output_stream(f"{path}/doc_{row.doc_id % 7}.log") as out:
+                    out.write(b"skipped")
 
     docs.select("doc_id", "text").foreachPartition(write)
 
