@@ -164,3 +164,16 @@ def test_no_texts(spark):
 def test_clashing_columns(spark):
     df = spark.createDataFrame(DOCS, SCHEMA).selectExpr("*", "1 AS rank", "2 AS node", "3 AS kept", "4 AS marks")
     assert near_dups.near_duplicates(df).count() == repeats.remove_repeats(df).count() == len(DOCS)
+
+
+def test_query_counts_kept_characters(spark):
+    """``n_kept`` compares with ``n_chars``, also where a character takes several bytes."""
+    from spanlake.llm.queries import QUERIES
+    from spanlake.sources.workspace import new_folder
+
+    folder, shared = new_folder(spark, "kept"), prose(35, 120)
+    rows = [(1, "é" * 300, "fr", "s", 300), (2, "ü " + shared, "de", "s", 0), (3, shared + " ñ", "es", "s", 0)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{folder}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["op8_repeats"](spark, folder).collect()}
+    assert got[1].n_kept == 300 and got[1].n_bytes == 600
+    assert all(r.n_kept == len(r.text) for r in got.values()) and got[2].n_kept < 10
