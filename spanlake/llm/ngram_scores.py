@@ -83,7 +83,9 @@ def blocks(docs: DataFrame) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             nonlocal number, ids, sizes, parts, held
-            words, place, times = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+            joined, parts = np.concatenate(parts), []
+            words, place, times = np.unique(joined, return_inverse=True, return_counts=True)
+            del joined
             falling = np.argsort(-times, kind="stable")
             rank = np.empty(len(words), np.int32)
             rank[falling] = np.arange(len(words), dtype=np.int32)
@@ -117,28 +119,35 @@ def blocks(docs: DataFrame) -> DataFrame:
 
 def grams(words: np.ndarray, sizes: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each length up to ``order`` the places at which an n-gram of a document ends, and its key."""
-    ends = np.repeat(np.cumsum(sizes), sizes)
+    room = np.repeat(np.cumsum(sizes).astype(np.int32), sizes)  # words from each on to its document's end
+    room -= np.arange(len(words), dtype=np.int32)
     keys = words
     for n in range(1, order + 1):
-        first = np.flatnonzero(np.arange(len(words)) + n <= ends)
-        yield first + n - 1, keys[first]
+        inside = room >= n
+        yield np.flatnonzero(inside).astype(np.int32) + np.int32(n - 1), keys[inside]
+        del inside
         if n < order:  # the last ones reach beyond their document and are left out above
-            factor = mix(np.array([n], np.uint64)) | np.uint64(1)
-            keys = mix(keys * factor + np.concatenate([words[n:], np.zeros(min(n, len(words)), np.uint64)]))
+            keys = keys * (mix(np.array([n], np.uint64)) | np.uint64(1))
+            keys[: max(0, len(words) - n)] += words[n:]
+            keys = mix(keys)
 
 
 def packed_grams(made: DataFrame, order: int, buckets: int) -> DataFrame:
     """``GRAMS``: by block, order and bucket the different n-grams and how often the block has them."""
     schema = schema_of(GRAMS)
+    least = np.array([-(-(b << 32) // buckets) << 32 for b in range(buckets)], np.uint64)  # key of each bucket
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, _, sizes, words, places in zip(*batch.columns):
                 words = unpacked(words.as_py(), np.uint64)[unpacked(places.as_py(), np.int32)]
                 for part, (_, key) in enumerate(grams(words, unpacked(sizes.as_py(), np.int64), order)):
-                    key, times = summed(key, np.ones(len(key), np.int64))
-                    bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
-                    cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+                    key.sort()
+                    head = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+                    times = np.diff(np.append(head, len(key)))
+                    key = key[head]
+                    del head
+                    cuts = np.append(np.searchsorted(key, least), len(key))
                     out = []
                     for b in np.flatnonzero(np.diff(cuts)).tolist():
                         a, z = cuts[b], cuts[b + 1]
@@ -169,14 +178,18 @@ def elsewhere(key: np.ndarray, row: np.ndarray, counts: np.ndarray) -> np.ndarra
     """How often each n-gram occurs outside its own document; ``counts`` are those of the
     different keys in ascending order, rows ascend."""
     order = np.argsort(key, kind="stable")
-    key, row = key[order], row[order]
+    key = key[order]
     new = np.ones(len(key), bool)
     new[1:] = key[1:] != key[:-1]
-    total = counts[np.cumsum(new) - 1] if len(key) else counts
+    del key
+    left = counts[np.cumsum(new, dtype=np.int32) - np.int32(1)] if len(new) else np.zeros(0, np.int64)
+    row = row[order]
     new[1:] |= row[1:] != row[:-1]
-    own = np.diff(np.append(np.flatnonzero(new), len(key)))
-    out = np.empty(len(key), np.int64)
-    out[order] = total - np.repeat(own, own)
+    del row
+    own = np.diff(np.append(np.flatnonzero(new), len(new)))
+    left -= np.repeat(own, own)
+    out = np.empty(len(new), np.int64)
+    out[order] = left
     return out
 
 
@@ -192,24 +205,32 @@ def score(docs: DataFrame, order: int = ORDER, buckets: int = BUCKETS) -> DataFr
             table = reader.read_all()
         sizes = unpacked(block.column("sizes")[0].as_py(), np.int64)
         words = unpacked(block.column("words")[0].as_py(), np.uint64)[unpacked(block.column("places")[0].as_py(), np.int32)]
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        rest = np.maximum(total - sizes, 1)[row]
+        row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        rest = np.maximum(total - sizes, 1)
         part, bucket = counts.column("part").to_numpy(), counts.column("bucket").to_numpy()
-        logs, backed, before = np.zeros(len(words)), np.full(len(words), np.inf), None
-        deepest = np.zeros(len(words), np.int64)
-        for n, (end, keys) in enumerate(grams(words, sizes, order)):
+        # What is held of each word is kept small, as two blocks are worked on beside the JVM's heap.
+        n_words = len(words)
+        logs, backed, before = np.zeros(n_words), np.full(n_words, -1, np.int8), None
+        deepest = np.zeros(n_words, np.int8)
+        made = grams(words, sizes, order)
+        del words
+        for n, (end, keys) in enumerate(made):
             mine = np.flatnonzero(part == n)
             mine = mine[np.argsort(bucket[mine])]
             known = [unpacked(counts.column("counts")[int(i)].as_py(), np.int64) for i in mine]
-            here = np.zeros(len(words), np.int64)
-            here[end] = elsewhere(keys, row[end], np.concatenate([np.zeros(0, np.int64), *known]))
+            known = np.concatenate([np.zeros(0, np.int64), *known])
+            here = np.zeros(n_words, np.int64)
+            here[end] = elsewhere(keys, row[end], known)
             deepest[end] = n
+            del keys, known, end
             some = np.flatnonzero(here)
-            above = rest[some] if before is None else before[some - 1]
-            logs[some], backed[some] = np.log(here[some] / above), n
+            above = rest[row[some]] if before is None else before[some - 1]
+            logs[some] = np.log(here[some] / above)
+            backed[some] = n
             before = here
-        none = np.isinf(backed)  # a word that no other document has
-        logs[none], backed[none] = -np.log(rest[none]), -1
+            del some, above, here
+        none = backed < 0  # a word that no other document has
+        logs[none] = -np.log(rest[row[none]])
         logs += np.log(BACKOFF) * (deepest - backed)
         return pa.Table.from_arrays(
             [table.column("doc_id"), pa.array(sizes), pa.array(np.bincount(row, logs, len(sizes)))], names=["doc_id", "n_words", "log_score"]

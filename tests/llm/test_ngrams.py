@@ -73,3 +73,20 @@ def test_unknown_junk_scores_below_common_text(spark):
 def test_one_document_and_clashing_columns(spark):
     one = spark.createDataFrame([(1, "a b a")], "doc_id bigint, text string").selectExpr("*", "1 AS block", "2 AS part", "3 AS total")
     assert found(one) == brute_scores([(1, "a b a")], 3)
+
+
+def test_memory_of_a_block():
+    """Counts elsewhere take less than 48 bytes a word beside what they are given."""
+    import tracemalloc
+
+    import numpy as np
+
+    n = 1 << 20
+    key = np.random.default_rng(1).integers(0, n, n).astype(np.uint64)
+    row = np.repeat(np.arange(n // 64, dtype=np.int32), 64)
+    counts = np.unique(key, return_counts=True)[1]
+    tracemalloc.start()
+    got = ngram_scores.elsewhere(key, row, counts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 * n and got.min() >= 0
