@@ -35,9 +35,9 @@ def fixture(make):
     """Read a prepared copy of the fixture where there is one."""
 
     @functools.wraps(make)
-    def get(spark: SparkSession, sf: str) -> DataFrame:
+    def get(spark: SparkSession, sf: str, **how) -> DataFrame:
         folder = PREPARED.get((sf, make.__name__))
-        return spark.read.parquet(folder) if folder else make(spark, sf)
+        return spark.read.parquet(folder) if folder else make(spark, sf, **how)
 
     return get
 
@@ -88,9 +88,11 @@ def dealt(docs: DataFrame) -> DataFrame:
 
 
 @fixture
-def words(spark: SparkSession, sf: str) -> DataFrame:
-    """Tokens of every non-blank line of every document; ``n`` is the line's count."""
-    docs = dealt(table(spark, sf, "documents").select("doc_id", "source", "text"))
+def words(spark: SparkSession, sf: str, deal: bool = True) -> DataFrame:
+    """Tokens of every non-blank line of every document; ``n`` is the line's count. Without ``deal``
+    they stay where they are read, for what exchanges each token in any case."""
+    docs = table(spark, sf, "documents").select("doc_id", "source", "text")
+    docs = dealt(docs) if deal else docs
     return (
         docs.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("sent_id", "line"))
         .where(F.trim("line") != "")
@@ -112,9 +114,9 @@ def _prefix_at(doc: str, sent: str, tok: str) -> str:
 
 
 @fixture
-def pairs(spark: SparkSession, sf: str) -> DataFrame:
+def pairs(spark: SparkSession, sf: str, deal: bool = True) -> DataFrame:
     """Gold and guessed tags by arithmetic on the token's position."""
-    rows = words(spark, sf).withColumns(
+    rows = words(spark, sf, deal=deal).withColumns(
         {
             "p": F.expr(_prefix_at("doc_id", "sent_id", "tok_id")),
             "ty": F.expr(_type_at("doc_id", "tok_id")),
@@ -133,9 +135,9 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @fixture
-def tokens(spark: SparkSession, sf: str) -> DataFrame:
+def tokens(spark: SparkSession, sf: str, deal: bool = True) -> DataFrame:
     """Labelled tokens: gold tags, token shape as POS, source as data set."""
-    return pairs(spark, sf).select(
+    return pairs(spark, sf, deal=deal).select(
         F.col("source").alias("data_set"), "doc_id", "sent_id", "tok_id", "token",
         token_shape(F.col("token")).alias("pos"), F.col("gold").alias("iob"),
     )
@@ -147,9 +149,9 @@ def raw_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return pairs(spark, sf).withColumns(bare)
 
 
-def predictions(spark: SparkSession, sf: str) -> DataFrame:
+def predictions(spark: SparkSession, sf: str, deal: bool = True) -> DataFrame:
     """Guessed tags with one token in eleven missing and a few unknown positions."""
-    rows = pairs(spark, sf).withColumn("c", F.expr("(doc_id + sent_id + tok_id) % 11"))
+    rows = pairs(spark, sf, deal=deal).withColumn("c", F.expr("(doc_id + sent_id + tok_id) % 11"))
     at = F.expr("case when c = 1 then tok_id + 1000000 else tok_id end")
     return rows.where("c <> 0").select("doc_id", "sent_id", at.alias("tok_id"), F.col("guess").alias("iob"))
 

@@ -48,9 +48,10 @@ def align(gold: DataFrame, pred: DataFrame, keys: Sequence[str] = SENTENCE) -> D
         .when(F.col("in_gold").isNull(), "guess_only")
         .otherwise("matched")
     )
-    return g.join(p, [*keys, "tok_id"], "full_outer").select(
-        *keys, "tok_id", "gold", "guess", status.alias("status")
-    )
+    # As an array of one the tags and status of a position are made together: what looks at the status
+    # alone, and what looks at the tags of matched rows, then read one and the same exchange.
+    cell = F.array(F.struct("gold", "guess", status.alias("status")))
+    return g.join(p, [*keys, "tok_id"], "full_outer").select(*keys, "tok_id", F.inline(cell))
 
 
 def whole_sentences(aligned: DataFrame, keys: Sequence[str] = SENTENCE) -> tuple[DataFrame, DataFrame]:

@@ -190,3 +190,11 @@ def test_same_result_for_any_partitioning(spark):
         spark.conf.set("spark.sql.shuffle.partitions", n)
         assert table(scoring.score(df.repartition(n))) == want
     spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+def test_whole_sentences_read_one_exchange(spark):
+    """The rows that match and the sentences left out come from the same join, tags and all."""
+    gold = spark.createDataFrame([(1, 0, 1, "O"), (1, 0, 2, "B-a")], "doc_id bigint, sent_id bigint, tok_id bigint, iob string")
+    whole, _ = scoring.whole_sentences(scoring.align(gold, gold.where("tok_id < 9")))
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join FullOuter") == 2 and "Join Inner" not in plan
