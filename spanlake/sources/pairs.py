@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from spanlake.sources.annotated import decoded
 from spanlake.sources.lines import INDEX, number_sentences, read_lines, split_index
 
 BOUNDARY = "-X-"
@@ -82,7 +83,7 @@ def check_width(
     # At most one row per file and width is left after the first step.
     counts = lines.groupBy("file", "width").agg(
         F.count("*").alias("lines"), F.min(F.struct("start", "at")).alias("first")
-    )
+    ).withColumn("file", decoded(c("file")))
     first = counts.groupBy("file").agg(F.min_by("width", "first").alias("expected"))
     ok = c("width") == c("expected")
     if strict:

@@ -237,3 +237,30 @@ def test_scratch_folders_are_new_and_shared(spark):
     assert a != b
     shared = spark.conf.get("spark.checkpoint.dir", None)
     assert shared is None or a.startswith(shared)
+
+
+def test_documents_are_written_whole_and_unsampled(spark, tmp_path, monkeypatch):
+    """Each document has its lines in one file, those of ``format_columns``; repeated and null rows too."""
+    rows = [("a", d, s, t, f"w{t}", "X", "O") for d in range(12) for s in range(3) for t in range(1, 5)]
+    rows += [r for r in rows if r[1] == 3] + [("a", None, 0, 1, "n", None, "O"), (None, 20, 0, 1, "z", "X", "B-x")]
+    df = spark.createDataFrame(rows, "data_set string, doc_id bigint, sent_id bigint, tok_id bigint, token string, pos string, iob string")
+    monkeypatch.setattr(type(df), "repartitionByRange", None)
+    folder = tmp_path / "out"
+    columns.write_columns(df.repartition(5), str(folder))
+    text = "".join(f.read_text() for f in sorted(folder.rglob("*.txt")))
+    for d in (0, 11):
+        lines = ["# FILE: " + str(d), *(x for _ in range(3) for x in ["", *(f"{t}\tw{t}\tX\tO" for t in range(1, 5))]), "", ""]
+        assert "\n".join(lines) in text
+    found = columns.read_columns(spark, str(folder)).groupBy("file", "sent_id").count()
+    assert sorted(r["count"] for r in found.collect()) == [1, 1] + [4] * 33 + [8] * 3
+
+
+def test_shards_of_files_have_no_branch_for_null_keys(spark, tmp_path):
+    folder = tmp_path / "data_set=a%25b é"
+    folder.mkdir()
+    (folder / "x%41 é.txt").write_text("1\ta\tX\tO\n\n2\tb\tX\tO\n")
+    rows = columns.read_columns(spark, str(tmp_path))
+    assert {(r.data_set, r.file.rsplit("/", 1)[1]) for r in rows.collect()} == {("a%b é", "x%41 é.txt")}
+    shuffled = splits.shuffle(splits.plain_text(rows, ("data_set", "file", "sent_id")), keys=("data_set", "file", "sent_id"))
+    assert "Union" not in shuffled._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.text for r in shuffled.collect()) == ["a", "b"]
