@@ -14,6 +14,9 @@ import re
 import sys
 from collections.abc import Callable, Iterable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 
 from spanlake.llm.shared import worker_cache
@@ -57,6 +60,55 @@ class Memory:
             body = b"".join(map(young.__getitem__, rest))
         return next(iter(self.encode([first]))) + body if first else body
 
+    def column(self, texts: pa.Array) -> list[bytes]:
+        """``bytes`` of each text of a column without nulls. Different stretches are found for all texts
+        at once, so each is looked up once a column and not once a text."""
+        parts = pc.split_pattern(texts, " ")
+        bounds = parts.offsets.to_numpy().astype(np.int64)
+        flat, heads, n = parts.flatten(), bounds[:-1], len(texts)
+        bounds = bounds - bounds[0]
+        inner = np.ones(len(flat), bool)
+        inner[heads - parts.offsets[0].as_py()] = False
+        coded = flat.filter(pa.array(inner)).dictionary_encode()
+        stretches = coded.dictionary.to_pylist()
+        after = bounds - np.arange(n + 1)  # bounds of each text's stretches but its first
+
+        # Texts with a cut that is none of those above are encoded whole.
+        odd = np.array([not p or p[0].isspace() for p in stretches], bool)
+        whole = np.zeros(n, bool)
+        if odd.any():
+            whole[np.searchsorted(after, np.flatnonzero(odd[coded.indices.to_numpy()]), "right") - 1] = True
+
+        if len(self.young) > self.kept:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        found = [young.get(p) for p in stretches]
+        need = []
+        for i, raw in enumerate(found):
+            if raw is None and not odd[i]:
+                raw = old.get(stretches[i])
+                if raw is None:
+                    need.append(i)
+                else:
+                    found[i] = young[stretches[i]] = raw
+        if need:
+            for i, raw in zip(need, self.encode([" " + stretches[i] for i in need])):
+                found[i] = young[stretches[i]] = raw
+        bodies = pa.array([raw or b"" for raw in found], pa.large_binary()).take(coded.indices)
+        places = np.frombuffer(bodies.buffers()[1], np.int64)[: len(bodies) + 1] if len(bodies) else np.zeros(1, np.int64)
+        data = memoryview(bodies.buffers()[2] or b"") if len(bodies) else memoryview(b"")
+        ends = places[after].tolist()
+
+        first = flat.take(pa.array(heads - parts.offsets[0].as_py())).to_pylist()
+        begins = [i for i, p in enumerate(first) if p]
+        opening = [b""] * n
+        for i, raw in zip(begins, self.encode([first[i] for i in begins]) if begins else ()):
+            opening[i] = raw
+        out = [x + data[a:b] for x, a, b in zip(opening, ends, ends[1:])]
+        for i in np.flatnonzero(whole).tolist():
+            out[i] = next(iter(self.encode([texts[i].as_py()])))
+        return out
+
 
 def ranks(name: str) -> dict[bytes, int]:
     import public_tokenizers

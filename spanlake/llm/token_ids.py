@@ -20,6 +20,8 @@ ids are kept, in order of text; null ids come first; an empty table gives no chu
 
 from __future__ import annotations
 
+import re
+import struct
 import sys
 import zlib
 from collections.abc import Callable, Iterator
@@ -27,16 +29,26 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from spanlake.llm.pieces import Memory, cached
+from spanlake.llm.shared import slices
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK = 1 << 16
+TEXTS = 1 << 23  # bytes of text that are encoded together; one document may be larger
+LATIN = "\u0250"
+# A word of Latin letters and what follows it: the vocabularies' pattern always ends a piece where letters
+# end, and what is no letter here is none there.
+WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([\\x00-\\x1f!-@\\[-`{-\\x7f].*)", re.S)
 SPACE = "\u0120"  # how this library's byte-level vocabularies write a space
+PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that they write as themselves
+ALPHABET = {b: chr(b) for b in PLAIN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in PLAIN)}
 TOGETHER = 100
+TAILS = 100_000  # remembered ends of stretches, behind a word
 DOCS = "array<struct<number:bigint,doc_id:bigint,piece:int,place:int,n:int,ends:boolean>>"
 CHUNKS = f"shard int, chunk bigint, first bigint, n_ids int, docs {DOCS}, sizes array<int>, body binary"
 
@@ -47,19 +59,24 @@ def to_planes(ids: np.ndarray, plane: str) -> list[bytes]:
     if plane == "byte":
         return [raw[:, i].tobytes() for i in range(4)]
     size = -(-int(ids.max(initial=0)).bit_length() // 8)
-    bits = np.unpackbits(np.ascontiguousarray(raw[:, :size]), axis=1, bitorder="little")
-    packed = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")
-    return [*(row.tobytes() for row in packed), *[bytes(-(-len(ids) // 8))] * (32 - len(packed))]
+    planes = []
+    for i in range(size):
+        byte = np.ascontiguousarray(raw[:, i])
+        planes += [np.packbits(byte & np.uint8(1 << k), bitorder="little").tobytes() for k in range(8)]
+    return [*planes, *[bytes(-(-len(ids) // 8))] * (32 - len(planes))]
 
 
 def from_planes(planes: list[bytes], n: int) -> np.ndarray:
     if len(planes) == 4:
         return np.stack([np.frombuffer(p, np.uint8) for p in planes], axis=1).reshape(-1).view("<u4")
-    packed = np.stack([np.frombuffer(p, np.uint8) for p in planes])
-    used = int(np.flatnonzero(packed.any(axis=1)).max(initial=0)) // 8 + 1
-    bits = np.unpackbits(packed[: 8 * used], axis=1, count=n, bitorder="little")
     raw = np.zeros((n, 4), np.uint8)
-    raw[:, :used] = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")
+    for i in range(4):
+        byte = np.zeros(n, np.uint8)
+        for k, plane in enumerate(planes[8 * i : 8 * i + 8]):
+            packed = np.frombuffer(plane, np.uint8)
+            if packed.any():
+                byte |= np.unpackbits(packed, count=n, bitorder="little") << np.uint8(k)
+        raw[:, i] = byte
     return raw.reshape(-1).view("<u4")
 
 
@@ -81,6 +98,7 @@ def library_memory(name: str, ordinary: bool = True) -> Callable[[str], bytes]:
         tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         tokenizer.encode_special_tokens = True
 
+        model, tails = tokenizer.model, {}
         spaced = np.zeros(tokenizer.get_vocab_size(), bool)
         spaced[[i for token, i in tokenizer.get_vocab().items() if token[0] == SPACE]] = True
 
@@ -91,13 +109,37 @@ def library_memory(name: str, ordinary: bool = True) -> Callable[[str], bytes]:
                 for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False):
                     yield np.array(x.ids, "<u4").tobytes()
                 return
-            together = ["".join(texts[i : i + TOGETHER]) for i in range(0, len(texts), TOGETHER)]
+            # A word of letters is one piece of the pattern, so it goes to the library's model as it is, once,
+            # whatever follows it; what follows is seldom new.
+            cut = []
+            for t in texts:
+                word = t[1:]
+                if word.isalpha() and (word.isascii() or max(word) < LATIN):
+                    cut.append((word, ""))
+                else:
+                    found = WORD.fullmatch(word)
+                    cut.append(found.groups() if found else (None, t))
+            words = dict.fromkeys(word for word, _ in cut if word)
+            spelled = "".join([" " + w for w in words]).encode().decode("latin-1").translate(ALPHABET)
+            for w, x in zip(words, spelled.split(SPACE)[1:]):
+                ids = [token.id for token in model.tokenize(SPACE + x)]
+                words[w] = struct.pack(f"<{len(ids)}I", *ids)
+            if len(tails) > TAILS:
+                tails.clear()
+            new = [*dict.fromkeys(end for word, end in cut if word and end and end not in tails)]
+            for t, x in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+                tails[t] = np.array(x.ids, "<u4").tobytes()
+            rest = [t for word, t in cut if not word]
+            together = ["".join(rest[i : i + TOGETHER]) for i in range(0, len(rest), TOGETHER)]
+            pieces = []
             for x in tokenizer.encode_batch_fast(together, add_special_tokens=False):
                 ids = np.array(x.ids, "<u4")
                 cuts = (4 * np.flatnonzero(spaced[ids])).tolist()
                 raw = ids.tobytes()
-                for a, b in zip(cuts, [*cuts[1:], len(raw)]):
-                    yield raw[a:b]
+                pieces += [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)])]
+            others = iter(pieces)
+            for word, end in cut:
+                yield (words[word] + tails[end] if end else words[word]) if word else next(others)
 
         memory = Memory(encode, 400_000)
         if ordinary:
@@ -115,6 +157,31 @@ def library_memory(name: str, ordinary: bool = True) -> Callable[[str], bytes]:
     return cached(("library", name, ordinary), make)
 
 
+def library_columns(name: str, ordinary: bool = True) -> Callable[[pa.Array], list[bytes]]:
+    """``library_memory`` for columns of texts."""
+    memory = library_memory(name)
+    if ordinary:
+        return memory.column
+
+    def make() -> list[str]:
+        import public_tokenizers
+        from tokenizers import Tokenizer
+
+        default = Tokenizer.from_file(public_tokenizers.path(name))
+        return [t.content for t in default.get_added_tokens_decoder().values() if t.special]
+
+    special, whole = cached(("special", name), make), library_memory(name, False)
+
+    def column(texts: pa.Array) -> list[bytes]:
+        out = memory.column(texts)
+        for x in special:
+            for i in np.flatnonzero(pc.match_substring(texts, x).to_numpy(zero_copy_only=False)).tolist():
+                out[i] = whole(texts[i].as_py())
+        return out
+
+    return column
+
+
 def write_ids(
     docs: DataFrame, folder: str, name: str = "byte_bpe_50k.json", end_id: int = 2,
     plane: str = "bit", block: int = BLOCK, ordinary: bool = True,
@@ -137,7 +204,7 @@ def write_ids(
             ]))),
             ("sizes", pa.list_(pa.int32())), ("body", pa.binary()),
         ])
-        encode = library_memory(name, ordinary)
+        encode = library_columns(name, ordinary)
         shard = TaskContext.get().partitionId()
         press = zstandard.ZstdCompressor(level=3)
         chunk = number = 0
@@ -153,24 +220,30 @@ def write_ids(
             chunk, held, filled, inside = chunk + 1, [], 0, []
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py() or "") + end
-                at = piece = 0
-                while at < len(ids):
-                    part = ids[at : at + 4 * (block - filled)]
-                    at += len(part)
-                    n = len(part) // 4
-                    inside.append({
-                        "number": number, "doc_id": doc_id, "piece": piece, "place": filled, "n": n,
-                        "ends": at == len(ids),
-                    })
-                    held.append(part)
-                    filled += n
-                    piece += 1
-                    if filled == block:
-                        yield flush()
-                number += 1
+        def encoded() -> Iterator[tuple[int | None, bytes]]:
+            for batch in batches:
+                if batch.num_rows:
+                    texts = batch.column(1).fill_null("")
+                    for at, to in slices(texts, TEXTS):
+                        yield from zip(batch.column(0).slice(at, to - at).to_pylist(), encode(texts.slice(at, to - at)))
+
+        for doc_id, raw in encoded():
+            ids = raw + end
+            at = piece = 0
+            while at < len(ids):
+                part = ids[at : at + 4 * (block - filled)]
+                at += len(part)
+                n = len(part) // 4
+                inside.append({
+                    "number": number, "doc_id": doc_id, "piece": piece, "place": filled, "n": n,
+                    "ends": at == len(ids),
+                })
+                held.append(part)
+                filled += n
+                piece += 1
+                if filled == block:
+                    yield flush()
+            number += 1
         if filled:
             yield flush()
 

@@ -198,3 +198,22 @@ def test_digest_of_pipeline_stage(docs):
     assert row.n_tokens == len(ids)
     assert row.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
     assert row.decoded_sha256 == hashlib.sha256(b"two words").hexdigest()
+
+
+def test_column_of_texts_looks_up_each_stretch_once():
+    """Bytes of a column are those of its texts one by one; new stretches go to the library in one call."""
+    import pyarrow as pa
+
+    memory = token_ids.library_memory("byte_bpe_50k.json")
+    texts = [
+        "", " ", "a", " a", "a  b", "a b ", "one two, two. one's two\nthree", "x\u00a0y \u2009z", "né né. né'll né9 né\u0301s",
+        "caf\u00e9\nTe. \u0394\u03b5 \u00b2a a\u00b2 a\u03b5, <|endoftext|> b", prose(3, 200), prose(4, 200),
+    ]
+    fresh = pieces.Memory(memory.encode)
+    column = pa.array(["skipped", *texts, "skipped"]).slice(1, len(texts))
+    expected = [np.array(ids, "<u4").tobytes() for ids in library_ids(texts)]
+    assert fresh.column(column) == expected and fresh.column(column) == expected
+    calls = []
+    counting = pieces.Memory(lambda new: calls.append(list(new)) or memory.encode(new))
+    counting.column(pa.array(["p q q r", "p q s"] * 50))
+    assert sorted(calls[0]) == [" q", " r", " s"] and len(calls) == 2
