@@ -70,31 +70,15 @@ class Memory:
         inner = np.ones(len(flat), bool)
         inner[heads - parts.offsets[0].as_py()] = False
         coded = flat.filter(pa.array(inner)).dictionary_encode()
-        stretches = coded.dictionary.to_pylist()
         after = bounds - np.arange(n + 1)  # bounds of each text's stretches but its first
 
         # Texts with a cut that is none of those above are encoded whole.
-        odd = np.array([not p or p[0].isspace() for p in stretches], bool)
+        odd = begins_odd(coded.dictionary)
         whole = np.zeros(n, bool)
         if odd.any():
             whole[np.searchsorted(after, np.flatnonzero(odd[coded.indices.to_numpy()]), "right") - 1] = True
 
-        if len(self.young) > self.kept:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        found = [young.get(p) for p in stretches]
-        need = []
-        for i, raw in enumerate(found):
-            if raw is None and not odd[i]:
-                raw = old.get(stretches[i])
-                if raw is None:
-                    need.append(i)
-                else:
-                    found[i] = young[stretches[i]] = raw
-        if need:
-            for i, raw in zip(need, self.encode([" " + stretches[i] for i in need])):
-                found[i] = young[stretches[i]] = raw
-        bodies = pa.array([raw or b"" for raw in found], pa.large_binary()).take(coded.indices)
+        bodies = self.stretches(coded.dictionary, ~odd).take(coded.indices)
         places = np.frombuffer(bodies.buffers()[1], np.int64)[: len(bodies) + 1] if len(bodies) else np.zeros(1, np.int64)
         data = memoryview(bodies.buffers()[2] or b"") if len(bodies) else memoryview(b"")
         ends = places[after].tolist()
@@ -109,6 +93,46 @@ class Memory:
             out[i] = next(iter(self.encode([texts[i].as_py()])))
         return out
 
+    def stretches(self, different: pa.Array, wanted: np.ndarray) -> pa.Array:
+        """``bytes`` of different stretches; empty for those that are not wanted."""
+        at = np.flatnonzero(wanted).tolist()
+        texts = different.to_pylist()
+        out = [b""] * len(texts)
+        for i, raw in zip(at, self.looked_up([texts[i] for i in at])):
+            out[i] = raw
+        return pa.array(out, pa.large_binary())
+
+    def looked_up(self, different: list[str]) -> list[bytes]:
+        """``bytes`` of different stretches, given without the space in front."""
+        if len(self.young) > self.kept:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        found = list(map(young.get, different))
+        need = []
+        for i in [i for i, raw in enumerate(found) if raw is None]:
+            raw = old.get(different[i])
+            if raw is None:
+                need.append(i)
+            else:
+                found[i] = young[different[i]] = raw
+        if need:
+            for i, raw in zip(need, self.encode([" " + different[i] for i in need])):
+                found[i] = young[different[i]] = raw
+        return found
+
+
+def begins_odd(stretches: pa.Array) -> np.ndarray:
+    """Which stretches are empty or begin with white space."""
+    offsets = np.frombuffer(stretches.buffers()[1], np.int32 if stretches.type == pa.string() else np.int64)
+    offsets = offsets[stretches.offset : stretches.offset + len(stretches) + 1]
+    data = np.frombuffer(stretches.buffers()[2] or b"", np.uint8)
+    out = offsets[1:] == offsets[:-1]
+    some = np.flatnonzero(~out)
+    first = data[offsets[some]]
+    for i in some[(first <= 32) | (first >= 128)].tolist():
+        out[i] = stretches[i].as_py()[0].isspace()
+    return out
+
 
 def ranks(name: str) -> dict[bytes, int]:
     import public_tokenizers

@@ -24,7 +24,7 @@ import re
 import struct
 import sys
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -43,11 +43,14 @@ TEXTS = 1 << 23  # bytes of text that are encoded together; one document may be
 LATIN = "\u0250"
 # A word of Latin letters and what follows it: the vocabularies' pattern always ends a piece where letters
 # end, and what is no letter here is none there.
-WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([\\x00-\\x1f!-@\\[-`{-\\x7f].*)", re.S)
+LETTERS, BEHIND = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+", "[\\x00-\\x1f!-@\\[-`{-\\x7f].*"
+WORD = re.compile(f"({LETTERS})({BEHIND})", re.S)
+STRETCH = rf"(?s)\A(?P<word>{LETTERS})(?P<end>(?:{BEHIND})?)\z"  # as Arrow's expressions are written
 SPACE = "\u0120"  # how this library's byte-level vocabularies write a space
 PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that they write as themselves
 ALPHABET = {b: chr(b) for b in PLAIN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in PLAIN)}
 TOGETHER = 100
+REMEMBERED = 400_000  # stretches, and words of Latin letters, twice
 TAILS = 100_000  # remembered ends of stretches, behind a word
 DOCS = "array<struct<number:bigint,doc_id:bigint,piece:int,place:int,n:int,ends:boolean>>"
 CHUNKS = f"shard int, chunk bigint, first bigint, n_ids int, docs {DOCS}, sizes array<int>, body binary"
@@ -80,6 +83,36 @@ def from_planes(planes: list[bytes], n: int) -> np.ndarray:
     return raw.reshape(-1).view("<u4")
 
 
+class WordMemory(Memory):
+    """A memory that remembers the words of a column's stretches apart from what follows them.
+
+    ``words_of`` encodes words of Latin letters with a space in front, ``ends_of`` what follows one.
+    """
+
+    def __init__(
+        self, encode: Callable[[list[str]], Iterable[bytes]], words_of: Callable[[list[str]], Iterable[bytes]],
+        ends_of: Callable[[list[str]], list[bytes]],
+    ) -> None:
+        super().__init__(encode, REMEMBERED)
+        self.words, self.ends_of = Memory(words_of, REMEMBERED), ends_of
+
+    def stretches(self, different: pa.Array, wanted: np.ndarray) -> pa.Array:
+        parts = pc.extract_regex(different, STRETCH)
+        words, ends = (pc.struct_field(parts, x).dictionary_encode() for x in ("word", "end"))
+        coded = [
+            pa.array(raw, pa.large_binary()).take(part.indices) for raw, part in (
+                (self.words.looked_up(words.dictionary.to_pylist()), words),
+                (self.ends_of(ends.dictionary.to_pylist()), ends),
+            )
+        ]
+        out = pc.fill_null(pc.binary_join_element_wise(*coded, pa.scalar(b"", pa.large_binary())), b"")
+        rest = wanted & parts.is_null().to_numpy(zero_copy_only=False)
+        if rest.any():
+            others = self.looked_up(different.filter(pa.array(rest)).to_pylist())
+            out = pc.replace_with_mask(out, pa.array(rest), pa.array(others, pa.large_binary()))
+        return out
+
+
 def library_memory(name: str, ordinary: bool = True) -> Callable[[str], bytes]:
     """Encoding by the tokenizers library, ids as little-endian 32-bit integers.
 
@@ -102,6 +135,22 @@ def library_memory(name: str, ordinary: bool = True) -> Callable[[str], bytes]:
         spaced = np.zeros(tokenizer.get_vocab_size(), bool)
         spaced[[i for token, i in tokenizer.get_vocab().items() if token[0] == SPACE]] = True
 
+        def words_of(words: list[str]) -> Iterator[bytes]:
+            """Of words of Latin letters, with a space in front: each is one piece of the pattern, so it
+            goes to the library's model as it is."""
+            spelled = "".join(words).encode().decode("latin-1").translate(ALPHABET)
+            for x in spelled.split(SPACE)[1:]:
+                ids = [token.id for token in model.tokenize(SPACE + x)]
+                yield struct.pack(f"<{len(ids)}I", *ids)
+
+        def ends_of(ends: list[str]) -> list[bytes]:
+            if len(tails) > TAILS:
+                tails.clear()
+            new = [*dict.fromkeys(end for end in ends if end not in tails)]
+            for t, x in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+                tails[t] = np.array(x.ids, "<u4").tobytes()
+            return list(map(tails.__getitem__, ends))
+
         def encode(texts: list[str]) -> Iterator[bytes]:
             # Stretches that begin with a space and hold no other go together: a call costs
             # more than a word, and a token with a space in front begins the next stretch.
@@ -109,8 +158,7 @@ def library_memory(name: str, ordinary: bool = True) -> Callable[[str], bytes]:
                 for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False):
                     yield np.array(x.ids, "<u4").tobytes()
                 return
-            # A word of letters is one piece of the pattern, so it goes to the library's model as it is, once,
-            # whatever follows it; what follows is seldom new.
+            # A word goes to the model once, whatever follows it; what follows is seldom new.
             cut = []
             for t in texts:
                 word = t[1:]
@@ -120,15 +168,8 @@ def library_memory(name: str, ordinary: bool = True) -> Callable[[str], bytes]:
                     found = WORD.fullmatch(word)
                     cut.append(found.groups() if found else (None, t))
             words = dict.fromkeys(word for word, _ in cut if word)
-            spelled = "".join([" " + w for w in words]).encode().decode("latin-1").translate(ALPHABET)
-            for w, x in zip(words, spelled.split(SPACE)[1:]):
-                ids = [token.id for token in model.tokenize(SPACE + x)]
-                words[w] = struct.pack(f"<{len(ids)}I", *ids)
-            if len(tails) > TAILS:
-                tails.clear()
-            new = [*dict.fromkeys(end for word, end in cut if word and end and end not in tails)]
-            for t, x in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                tails[t] = np.array(x.ids, "<u4").tobytes()
+            words = dict(zip(words, words_of([" " + w for w in words])))
+            behind = iter(ends_of([end for word, end in cut if word and end]))
             rest = [t for word, t in cut if not word]
             together = ["".join(rest[i : i + TOGETHER]) for i in range(0, len(rest), TOGETHER)]
             pieces = []
@@ -139,9 +180,9 @@ def library_memory(name: str, ordinary: bool = True) -> Callable[[str], bytes]:
                 pieces += [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)])]
             others = iter(pieces)
             for word, end in cut:
-                yield (words[word] + tails[end] if end else words[word]) if word else next(others)
+                yield (words[word] + next(behind) if end else words[word]) if word else next(others)
 
-        memory = Memory(encode, 400_000)
+        memory = WordMemory(encode, words_of, ends_of)
         if ordinary:
             return memory
         default = Tokenizer.from_file(public_tokenizers.path(name))

@@ -217,3 +217,17 @@ def test_column_of_texts_looks_up_each_stretch_once():
     counting = pieces.Memory(lambda new: calls.append(list(new)) or memory.encode(new))
     counting.column(pa.array(["p q q r", "p q s"] * 50))
     assert sorted(calls[0]) == [" q", " r", " s"] and len(calls) == 2
+
+
+def test_words_are_remembered_whatever_follows_them():
+    """A word that an earlier column had goes to the library's model no more, with another sign behind it."""
+    import pyarrow as pa
+
+    memory = token_ids.library_memory("byte_bpe_50k.json")
+    calls = []
+    counting = token_ids.WordMemory(memory.encode, lambda new: calls.append(sorted(new)) or memory.words.encode(new), memory.ends_of)
+    columns = [["p one, two. né!", "q (x) 7 9"], ["r two one? né\n one, ªz", "s", "", "t  two "], ["u"]]
+    for texts in columns:
+        expected = [np.array(ids, "<u4").tobytes() for ids in library_ids(texts)]
+        assert counting.column(pa.array(texts)) == expected
+    assert calls == [[" né", " one", " two"]]
