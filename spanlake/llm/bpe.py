@@ -158,31 +158,37 @@ def _long(docs: DataFrame, name: str, size: int) -> DataFrame:
     node = "__row bigint, place int, text string, ids binary"
     level = level.mapInArrow(leaves, node)
 
-    def joined(table: pa.Table) -> pa.Table:
+    def root(table: pa.Table) -> tuple[int, str, bytes]:
+        """The least place of a group, its text and the ids of the whole of it."""
         tree = Tree(name)
         rows = sorted(table.select(["place", "text", "ids"]).to_pylist(), key=lambda r: r["place"])
         text, ids = rows[0]["text"], rows[0]["ids"]
         for r in rows[1:]:
             ids = tree.join(text, ids, r["text"], r["ids"])
             text += r["text"]
+        return rows[0]["place"], text, ids
+
+    def joined(table: pa.Table) -> pa.Table:
+        place, text, ids = root(table)
         return pa.table({
-            "__row": table.column("__row").slice(0, 1), "place": pa.array([rows[0]["place"] // 2], pa.int32()),
+            "__row": table.column("__row").slice(0, 1), "place": pa.array([place // 2], pa.int32()),
             "text": [text], "ids": pa.array([ids], pa.binary()),
         })
 
-    while most > 1:
-        level = level.groupBy("__row", F.expr("place div 2").cast("int").alias("pair")).applyInArrow(joined, node)
-        most = (most + 1) // 2
-
-    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def lists(table: pa.Table) -> pa.Table:
         tree = Tree(name)
         schema = pa.schema([(c, pa.null()) for c in ("__row", "ids", "decoded")])
-        for batch in batches:
-            for at in range(batch.num_rows):
-                ids = [batch.column(1)[at].as_py()]
-                yield _rows(batch.select([0]).slice(at, 1), ids, [tree.decode(np.frombuffer(ids[0], "<u4"))], schema)
+        ids = root(table)[2]
+        batch = table.select(["__row"]).slice(0, 1).combine_chunks().to_batches()[0]
+        return pa.Table.from_batches([_rows(batch, [ids], [tree.decode(np.frombuffer(ids, "<u4"))], schema)])
+
+    while most > 2:
+        level = level.groupBy("__row", F.expr("place div 2").cast("int").alias("pair")).applyInArrow(joined, node)
+        most = (most + 1) // 2
 
-    roots = level.select("__row", "ids").mapInArrow(lists, "__row bigint, ids array<int>, decoded binary")
+    # The last level gives the lists itself. A step of its own behind it would take a second Python worker
+    # in each task, and an executor keeps its workers, with all they remember, for the stages to come.
+    roots = level.groupBy("__row").applyInArrow(lists, "__row bigint, ids array<int>, decoded binary")
     return numbered.join(roots, "__row").select(*docs.columns, "ids", "decoded")
 
 

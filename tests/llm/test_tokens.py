@@ -231,3 +231,19 @@ def test_words_are_remembered_whatever_follows_them():
         expected = [np.array(ids, "<u4").tobytes() for ids in library_ids(texts)]
         assert counting.column(pa.array(texts)) == expected
     assert calls == [[" né", " one", " two"]]
+
+
+def test_a_task_needs_one_python_worker(spark, docs):
+    """Executors keep the workers that their tasks took at once, so no step stands on another without an exchange."""
+    encoded = bpe.encode(docs, long=50)
+    plan = encoded._jdf.queryExecution().executedPlan().toString().splitlines()
+    above = []  # for each open node its depth, and whether Python runs in the task above it
+    for line in plan:
+        node = line.lstrip(" :+-")
+        depth, name = len(line) - len(node), node.split()[0]
+        while above and above[-1][0] >= depth:
+            above.pop()
+        python, inside = name.endswith(("InArrow", "EvalPython")), bool(above) and above[-1][1]
+        assert not (python and inside), "\n".join(plan)
+        above.append((depth, "Exchange" not in name and (python or inside)))
+    assert any("InArrow" in x for x in plan)
