@@ -33,3 +33,17 @@ def documents() -> list[tuple]:
     rows = [(i, t, ("en", "de", None)[i % 3], "s", None) for i, t in enumerate(texts)]
     rows += [(0, base, "en", "s", 3), (None, passage, None, None, None), (7, "one", "en", "s", 3)]
     return rows
+
+
+def python_steps_apart(df):
+    """Whether no Python step of the plan stands on another one without an exchange between them."""
+    above, apart = [], True  # for each open node its depth, and whether Python runs in the task above it
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        node = line.lstrip(" :+-")
+        depth, name = len(line) - len(node), node.split()[0]
+        while above and above[-1][0] >= depth:
+            above.pop()
+        python, inside = name.endswith(("InArrow", "EvalPython")), bool(above) and above[-1][1]
+        apart = apart and not (python and inside)
+        above.append((depth, "Exchange" not in name and (python or inside)))
+    return apart

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import random
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
-from samples import FOLD, SCHEMA, WORD, documents, prose
+from samples import FOLD, SCHEMA, WORD, documents, prose, python_steps_apart
 
 from spanlake.llm import near_dups, repeats
 
@@ -177,3 +180,44 @@ def test_query_counts_kept_characters(spark):
     got = {r.doc_id: r for r in QUERIES["op8_repeats"](spark, folder).collect()}
     assert got[1].n_kept == 150 and got[1].n_bytes == 300
     assert all(r.n_kept == len(r.text) for r in got.values()) and got[2].n_kept < 10
+
+
+def test_a_task_needs_one_python_worker(spark):
+    """Executors keep the workers that their tasks took at once."""
+    df = spark.createDataFrame(DOCS, SCHEMA)
+    assert python_steps_apart(repeats.remove_repeats(df))
+    same = lambda batches: batches
+    assert not python_steps_apart(df.select("text").mapInArrow(same, "text string").mapInArrow(same, "text string"))
+
+
+def test_sums_of_a_task_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "HELD", 3)
+    rows = [(n, prose(36 + n % 3, 400)) for n in range(9)] + [(20, "b" * 3_000)]
+    assert removed(spark, rows) == brute_removal(rows, 400)
+
+
+def test_freed_memory_goes_back():
+    """Executors keep their workers, so what a task's buffers took must not stay with a worker."""
+    script = """
+import re
+import pyarrow as pa
+from spanlake.llm.shared import tidy
+
+@tidy
+def run(batches):
+    for size in batches:
+        held = [pa.array(["x" * 100] * size) for _ in range(20)]
+        held += [column.take(pa.array(range(0, size, 2))) for column in held]
+        yield len(held)
+
+def taken():
+    return int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) >> 10
+
+list(run([10]))
+before = taken()
+list(run([40_000] * 2))
+print(taken() - before)
+"""
+    root = Path(__file__).resolve().parents[2]
+    said = subprocess.run([sys.executable, "-c", script], cwd=root, capture_output=True, text=True, check=True)
+    assert int(said.stdout) < 25, said.stdout
