@@ -31,7 +31,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from spanlake.llm.pieces import Memory, cached, rank_encoding, ranks
-from spanlake.llm.shared import stored
+from spanlake.llm.shared import stored, tidy
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -121,6 +121,7 @@ def _short(docs: DataFrame, name: str) -> DataFrame:
     schema = pa.schema([(c, pa.null()) for c in (*docs.columns, "ids", "decoded")])
     place = docs.columns.index("text")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = Tree(name)
         for batch in batches:
@@ -149,6 +150,7 @@ def _long(docs: DataFrame, name: str, size: int) -> DataFrame:
     part = F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring("text", (i * size + 1).cast("int"), size)))
     level = numbered.select("__row", part.alias("place", "text")).repartition("__row", "place")
 
+    @tidy
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = Tree(name)
         for batch in batches:

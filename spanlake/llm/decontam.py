@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
-from spanlake.llm.shared import lowered, runs, segment_hashes, slices, stored, utf8, worker_cache
+from spanlake.llm.shared import lowered, runs, segment_hashes, slices, stored, tidy, utf8, worker_cache
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -154,6 +154,7 @@ class Automaton:
 def item_pieces(benchmark: DataFrame, n: int, size: int = PIECE) -> DataFrame:
     """``(item, short, n, words)``: hashes of the words of each item, in overlapping pieces."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes, _, _, bounds = item_words(*utf8(batch.column(1)))
@@ -192,6 +193,7 @@ def _pass(docs: DataFrame, items: list, shard: int, n: int) -> DataFrame:
     place = docs.columns.index("text")
     key = uuid.uuid4().hex, shard
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = worker_cache()
         if cache.get("automaton", (None,))[0] != key:

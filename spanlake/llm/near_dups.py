@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from spanlake.llm.shared import lowered, mix, segment_hashes, slices, space_words, stored, utf8
+from spanlake.llm.shared import lowered, mix, segment_hashes, slices, space_words, stored, tidy, utf8
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -43,7 +43,7 @@ SYMBOLS, CHUNKS, WIDTH = 128, 12, 4
 AGREE = 72
 PERCENT = 75
 TILE = 512
-PAIRS_AT_ONCE = 100_000
+PAIRS_AT_ONCE = 20_000  # 512 bytes of signatures each
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,6 +121,7 @@ def sketch(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_shingles, node, signature)``; node is null for an empty set."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, to in slices(batch.column(1)):
@@ -145,6 +146,7 @@ def _unpacked(column: pa.Array) -> np.ndarray:
 def index(nodes: DataFrame) -> DataFrame:
     """``(key, number, node)``: the 48 keys of each node."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
@@ -237,6 +239,7 @@ def partners(rows: DataFrame) -> DataFrame:
     """The rows of tiles that have a pair to confirm there."""
     names = [f.name for f in rows.schema.fields]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, bounds in grouped(batches):
             some = np.zeros(batch.num_rows, bool)
@@ -252,6 +255,7 @@ def partners(rows: DataFrame) -> DataFrame:
 def confirmed(rows: DataFrame) -> DataFrame:
     """``(one, two)``: confirmed links of each tile, a forest of them."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, bounds in grouped(batches):
             root = list(range(batch.num_rows))
@@ -298,6 +302,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     ids = wanted.select(F.col("doc_id").alias("__id")).distinct()
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, to in slices(batch.column(1)):

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from spanlake.llm.shared import mix, segment_hashes, slices, space_words, stored, summed, utf8
+from spanlake.llm.shared import mix, segment_hashes, slices, space_words, stored, summed, tidy, utf8
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -148,6 +148,7 @@ class Model:
 def count_grams(docs: DataFrame) -> DataFrame:
     """``(lang, key, n)``: packed n-grams of all documents, summed in each task before the shuffle."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str | None, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -275,6 +276,7 @@ def measure(docs: DataFrame, models: dict[str | None, Model]) -> DataFrame:
     )
     text, lang = names.index("text"), names.index("lang")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         orders, pairs = sent.value
         known = {}

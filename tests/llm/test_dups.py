@@ -221,3 +221,25 @@ print(taken() - before)
     root = Path(__file__).resolve().parents[2]
     said = subprocess.run([sys.executable, "-c", script], cwd=root, capture_output=True, text=True, check=True)
     assert int(said.stdout) < 25, said.stdout
+
+
+def test_pairs_at_once_are_few():
+    """Two nodes' signatures are compared for some pairs at a time, in a few MB."""
+    sizes = [len(a) for a, _, _ in near_dups.group_pairs(np.array([0, 1000, 1003]))]
+    assert sum(sizes) == 1000 * 999 // 2 + 3
+    assert max(sizes) * near_dups.SYMBOLS * 4 < 16 << 20
+
+
+def test_python_steps_of_the_pipeline_are_tidy(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    from spanlake.llm import bpe, decontam, quality
+
+    steps = []
+    kind = type(spark.range(1))
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, run, *a, f=kind.mapInArrow: steps.append(run) or f(self, run, *a))
+    df = spark.createDataFrame(DOCS, SCHEMA)
+    items = spark.createDataFrame([("i", prose(40, 100))], "item_id string, text string")
+    made: list[DataFrame] = [quality.judge(df), near_dups.near_duplicates(df), decontam.match(df, items), bpe.encode(df, long=50)]
+    assert len(made) == 4 and len(steps) >= 9
+    assert not [run for run in steps if not hasattr(run, "__wrapped__")]
