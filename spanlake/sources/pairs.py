@@ -17,11 +17,27 @@ def _fields(value: Column, delimiter: str) -> Column:
     return F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, quoted))
 
 
+def _parts(value: Column, delimiter: str) -> tuple[Column, Column, Column, Column]:
+    """Of a line's ``_fields`` the number, the first one and the last two.
+
+    With a delimiter of one ASCII character they are cut out where they stand, without a pattern
+    or an array. Of less than two fields the last but one means nothing.
+    """
+    if len(delimiter) > 1 or not delimiter.isascii():
+        fields = _fields(value, delimiter)
+        size = F.size(fields)
+        return size, F.get(fields, F.lit(0)), F.get(fields, size - 2), F.get(fields, size - 1)
+    body = F.rtrim(value, F.lit(delimiter)) if delimiter != " " else F.rtrim(value)
+    between = F.octet_length(body) - F.octet_length(F.replace(body, F.lit(delimiter), F.lit("")))
+    first, last, two = (F.substring_index(body, delimiter, n) for n in (1, -1, -2))
+    return F.when(body == "", 0).otherwise(between + 1), first, F.substring_index(two, delimiter, 1), last
+
+
 def _lines(spark: SparkSession, path: str, delimiter: str, boundary: str) -> tuple[DataFrame, Column, Column, Column]:
     """The lines of pair files, which of them end a sentence, which hold a token, and their fields' number."""
-    fields = _fields(F.col("value"), delimiter)
-    breaks = (F.size(fields) == 0) | (F.get(fields, F.lit(0)) == boundary)
-    return read_lines(spark, path), breaks, F.lit(True), F.size(fields)
+    size, first, _, _ = _parts(F.col("value"), delimiter)
+    breaks = (size == 0) | (first == boundary)
+    return read_lines(spark, path), breaks, F.lit(True), size
 
 
 def index_pairs(spark: SparkSession, path: str, folder: str, delimiter: str = " ", boundary: str = BOUNDARY) -> None:
@@ -45,24 +61,23 @@ def read_pairs(
     field, NULL if the line has only the tags. ``index`` is a folder of ``index_pairs``; without
     it the files are scanned twice.
     """
-    fields = _fields(F.col("value"), delimiter)
     known = spark.read.schema(INDEX).parquet(index) if index else None
     if known is not None and not strict:
         known = known.withColumns({name: F.lit(None).cast("bigint") for name in ("first_width", "least_width", "most_width")})
     lines, breaks, is_token, width = _lines(spark, path, delimiter, boundary)
-    rows = number_sentences(lines, breaks, is_token, width if strict else None, known).withColumn("fields", fields)
-    size = F.size("fields")
+    rows = number_sentences(lines, breaks, is_token, width if strict else None, known)
+    size, first, gold, guess = _parts(F.col("value"), delimiter)
     checked = F.when(
         size < 2,
         F.raise_error(F.concat(F.lit("unexpected number of fields in line: "), "value")).cast("string"),
-    ).otherwise(F.element_at("fields", -2))
+    ).otherwise(gold)
     return rows.select(
         "file",
         "sent_id",
         "tok_id",
-        F.when(size > 2, F.get("fields", F.lit(0))).alias("token"),
+        F.when(size > 2, first).alias("token"),
         checked.alias("gold"),
-        F.get("fields", size - 1).alias("guess"),
+        guess.alias("guess"),
     )
 
 

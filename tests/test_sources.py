@@ -264,3 +264,28 @@ def test_shards_of_files_have_no_branch_for_null_keys(spark, tmp_path):
     shuffled = splits.shuffle(splits.plain_text(rows, ("data_set", "file", "sent_id")), keys=("data_set", "file", "sent_id"))
     assert "Union" not in shuffled._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(r.text for r in shuffled.collect()) == ["a", "b"]
+
+
+def test_lines_are_handed_over_as_one_number(spark, tmp_path):
+    """What a line costs in Python grows with its columns; texts and paths wait in the JVM."""
+    (tmp_path / "a.txt").write_text("a O O\n\nb O B-x\n")
+    for rows in (pairs.read_pairs(spark, str(tmp_path)), columns.read_columns(spark, str(tmp_path))):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapIn" not in plan
+        assert plan.count("ArrowEvalPython [_counts((shiftleft(") == 2
+
+
+@pytest.mark.parametrize("delimiter", [" ", "\t", "|", "::", "é"])
+def test_parts_of_a_line(spark, delimiter):
+    """Cut out where they stand, a line's fields are those of a split."""
+    rng = random.Random(2)
+    values = ["", *("".join(rng.choices(["a", "B-x", "é", delimiter, delimiter], k=rng.randint(1, 9))) for _ in range(300))]
+    df = spark.createDataFrame([(v,) for v in values], "value string")
+    parts = [x.alias(n) for n, x in zip(("size", "first", "gold", "guess"), pairs._parts(F.col("value"), delimiter))]
+    for r in df.select("value", *parts).collect():
+        fields = r.value.split(delimiter)
+        while fields and not fields[-1]:
+            fields.pop()
+        assert r["size"] == len(fields)
+        if len(fields) > 1:
+            assert (r["first"], r["gold"], r["guess"]) == (fields[0], *fields[-2:])
