@@ -230,3 +230,14 @@ def test_extreme_documents(spark):
     docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts.values())], "doc_id bigint, text string")
     counts = {r.doc_id: r["count"] for r in jobs.documents_to_tokens(docs).groupBy("doc_id").count().collect()}
     assert counts == {i: n for i, (_, n) in enumerate(texts.values())}
+
+
+def test_shards_read_their_files_twice(spark, tmp_path):
+    """Once for the index of their splits, once for the sentences; the ranks read the exchange of the texts."""
+    rows = [(f"d{i % 7}", i, "a" * (i % 5), "X", "O") for i in range(1, 40)]
+    tokens = spark.createDataFrame(rows, "doc_id string, tok_id bigint, token string, pos string, iob string")
+    columns.write_columns(tokens.selectExpr("'c' as data_set", "*", "0L as sent_id"), str(tmp_path / "columns"))
+    shards = jobs.tokens_to_shards(columns.read_columns(spark, str(tmp_path / "columns")), shards=3)
+    assert sorted(r["rank"] for r in shards.collect()) == list(range(7))
+    plan = shards._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FileScan text") == 2
