@@ -7,7 +7,7 @@ separator controls that count as whitespace in the corpus format.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from html.entities import name2codepoint
 
 from pyspark.sql import Column, functions as F
@@ -21,6 +21,11 @@ SENTENCE_END = (".", "!", "?")
 TOKEN = r"(?U)(\p{L}++['’]|[\p{L}\p{N}]++(?:-[\p{L}\p{N}]++)*+|[^\s\x1c-\x1f])"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, also where it is used within a lambda."""
+    return F.transform(F.array(value), use)[0]
+
+
 def strip_ws(col: Column) -> Column:
     """Trim every kind of whitespace (``trim`` only removes the space).
 
@@ -40,8 +45,19 @@ def has_text(col: Column) -> Column:
 
 
 def clean_lines(col: Column) -> Column:
-    """Strip each line; drop blank lines and image references."""
-    lines = F.transform(F.split(col, LINE_BREAK), strip_ws)
+    """Strip each line; drop blank lines and image references.
+
+    Most lines begin and end with a character that is no white space, and need no pattern.
+    """
+
+    def stripped(line: Column) -> Column:
+        bare = F.left(line, F.lit(1)).between("!", "~") & _last(line, 1).between("!", "~")
+        return F.when(bare, line).otherwise(strip_ws(line))
+
+    def split(text: Column) -> Column:
+        return F.when(text.contains("\r"), F.split(text, LINE_BREAK)).otherwise(F.split(text, "\n"))
+
+    lines = F.transform(bound(col, split), stripped)
     kept = F.filter(lines, lambda x: (x != "") & ~x.endswith(".png"))
     return F.array_join(kept, "\n")
 
@@ -54,7 +70,12 @@ def escape_unknown_tags(col: Column, labels: Sequence[str] = LABELS) -> Column:
     end = rf"(?:{WS}|>|$)"
     known = "|".join(re.escape(x) for x in labels)
     pattern = rf"(?U)<(?=/?[^<]*?{end})(?!/?(?:{known}){end})"
-    return F.regexp_replace(F.regexp_replace(col, pattern, "*"), pattern, "*")
+
+    def escaped(text: Column) -> Column:
+        return F.regexp_replace(text, pattern, "*")
+
+    # What the first pass leaves as it is the second one does too.
+    return bound(col, lambda text: bound(escaped(text), lambda once: F.when(once == text, once).otherwise(escaped(once))))
 
 
 def _last(col: Column, n: int) -> Column:
@@ -123,10 +144,12 @@ def break_after_punct(col: Column) -> Column:
 def dehyphenate(col: Column, keep: Sequence[str] = HYPHEN_PRONOUNS) -> Column:
     """Join ``half- word``; keep the hyphen before the listed pronouns."""
     pronoun = "|".join(re.escape(x) for x in keep)
-    inverted = F.regexp_replace(
-        col, rf"(?<={WORD})- (?=(?:{pronoun})(?!{WORD}))", "-"
-    )
-    return F.regexp_replace(inverted, rf"(?<={WORD})- (?={WORD})", "")
+
+    def joined(text: Column) -> Column:
+        inverted = F.regexp_replace(text, rf"- (?<={WORD}- )(?=(?:{pronoun})(?!{WORD}))", "-")
+        return F.regexp_replace(inverted, rf"- (?<={WORD}- )(?={WORD})", "")
+
+    return bound(col, lambda text: F.when(text.contains("- "), joined(text)).otherwise(text))
 
 
 def repair(col: Column) -> Column:

@@ -39,12 +39,21 @@ def _same_level(keys: Sequence[str]) -> WindowSpec:
     return Window.partitionBy(*keys, "level").orderBy("pos")
 
 
+def _dealt(docs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Documents dealt out whole, before they fall into pieces.
+
+    A text takes more room in pieces, so these parts are not put together again.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return docs.select(*keys, "text").repartition(parts, *keys)
+
+
 def pieces(docs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Each tag with the text after it, and the nesting depth.
 
     ``step`` is +1 for an opening tag, -1 for a closing one; ``depth`` counts the
     annotations open after it; ``level`` is the annotation a tag opens or closes;
-    ``given`` is the tag's correction, if it has one.
+    ``given`` is the correction of the tag (``tag``, empty for text alone), if it has one.
     """
     c = F.col
     is_tag = c("tag") != ""
@@ -52,11 +61,13 @@ def pieces(docs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     empty = c("tag").endswith("/>")
     double, single = (F.regexp_extract("tag", CORRECTION, i) for i in (1, 2))
     return (
-        docs.select(*keys, F.posexplode(F.regexp_extract_all("text", F.lit(PIECE), F.lit(1))).alias("pos", "piece"))
+        _dealt(docs, keys)
+        .select(*keys, F.posexplode(F.regexp_extract_all("text", F.lit(PIECE), F.lit(1))).alias("pos", "piece"))
         .withColumn("tag", F.regexp_extract("piece", rf"^({TAG})", 1))
         .select(
             *keys,
             "pos",
+            "tag",
             F.when(is_tag, F.regexp_extract("tag", TAG_NAME, 1)).alias("name"),
             F.when(closed, -1).when(is_tag & ~empty, 1).otherwise(0).alias("step"),
             F.substr("piece", F.length("tag") + 1).alias("after"),
@@ -121,7 +132,7 @@ def fragments(docs: DataFrame, mode: str = "n", keys: Sequence[str] = KEYS) -> D
     c = F.col
     outer_open = (c("step") == 1) & (c("depth") == 1)
     outer_close = (c("step") == -1) & (c("depth") == 0)
-    empty_tag = c("name").isNotNull() & (c("step") == 0) & (c("depth") == 0)
+    empty_tag = (c("tag") != "") & (c("step") == 0) & (c("depth") == 0)
     # Odd runs are outermost annotations, even runs the plain text between them.
     turn = F.when(outer_open | outer_close, 1).when(empty_tag, 2).otherwise(0)
     sound = docs.select(*keys, balanced(F.col("text")).alias("text"))
@@ -131,7 +142,7 @@ def fragments(docs: DataFrame, mode: str = "n", keys: Sequence[str] = KEYS) -> D
     runs = (
         rows.groupBy(*keys, "run")
         .agg(
-            F.max(F.when(outer_open, c("name"))).alias("name"),
+            F.max(F.when(outer_open, F.regexp_extract("tag", TAG_NAME, 1))).alias("name"),
             F.array_sort(F.collect_list(F.struct("pos", "after"))).alias("parts"),
         )
     )

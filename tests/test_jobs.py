@@ -241,3 +241,11 @@ def test_shards_read_their_files_twice(spark, tmp_path):
     assert sorted(r["rank"] for r in shards.collect()) == list(range(7))
     plan = shards._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert plan.count("FileScan text") == 2
+
+
+def test_documents_are_dealt_out_whole(spark):
+    """Their texts are exchanged once; tags and pieces of text are not."""
+    docs = spark.createDataFrame([(1, "Un <name>Mot</name>")], "doc_id bigint, text string")
+    plan = jobs.documents_to_tokens(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(doc_id" in plan
+    assert plan.index("Generate posexplode(regexp_extract_all") < plan.index("Exchange hashpartitioning")
