@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import characters
 from spanlake.functions.inventory import LEADING_EDGE, TRAILING_EDGE
+from spanlake.functions import markup
 from spanlake.functions.markup import balanced
 from spanlake.operators.fragments import fragments
 from spanlake.plans import jobs
@@ -249,3 +250,13 @@ def test_documents_are_dealt_out_whole(spark):
     plan = jobs.documents_to_tokens(docs)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(doc_id" in plan
     assert plan.index("Generate posexplode(regexp_extract_all") < plan.index("Exchange hashpartitioning")
+
+
+def test_only_tags_left_by_pairs_are_folded(spark):
+    """Pairs within pairs are taken out by pattern, attributes and brackets between them or not."""
+    text = '<a n="<b>">x<b>y</b> < z<c/></a></b> <d \'"\'>q' + "<e>" * 9 + "</e>" * 9
+    right = text.replace("</b> <d", " <d") + "</d>"
+    assert closed_in_order('<a>x<b>y</b></a></b>') == "<a>x<b>y</b></a>"
+    assert repaired(spark, [text, right]) == [right, right]
+    heads = spark.range(1).select(markup._without_pairs(F.lit("a>b>/b>c>/c>/a>/b>d>e>/e>"))).first()[0]
+    assert heads == "/b>d>"
