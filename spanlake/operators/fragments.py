@@ -143,7 +143,7 @@ def fragments(docs: DataFrame, mode: str = "n", keys: Sequence[str] = KEYS) -> D
         rows.groupBy(*keys, "run")
         .agg(
             F.max(F.when(outer_open, F.regexp_extract("tag", TAG_NAME, 1))).alias("name"),
-            F.array_sort(F.collect_list(F.struct("pos", "after"))).alias("parts"),
+            F.sort_array(F.collect_list(F.struct("pos", "after"))).alias("parts"),
         )
     )
     label = F.when(c("name") != NOISE_LABEL, c("name"))
