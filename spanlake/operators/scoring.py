@@ -8,8 +8,12 @@ for them.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from spanlake.functions.numbers import f1, percent, with_fixed2
@@ -26,8 +30,12 @@ from spanlake.operators.blocks import BLOCK, with_ghosts
 from spanlake.operators.islands import merge_islands
 
 SENTENCE = ("doc_id", "sent_id")
+NEAR = 32  # positions that are matched in one place
 OVERALL = "(overall)"
 
+# The task functions travel with the job, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # The words of the printed reports.
 LATEX_HEAD = r"        & Precision &  Recall  & F$_{\beta=1} \\\hline"
 SUMMARY = ("processed ", " tokens with ", " phrases; found: ", " phrases; correct: ", ".")
@@ -41,8 +49,12 @@ def align(gold: DataFrame, pred: DataFrame, keys: Sequence[str] = SENTENCE) -> D
     ``status`` is ``matched``, ``gold_only`` or ``guess_only``. To score the result use
     ``whole_sentences``: a row left out would be taken for an ``O`` between its neighbours.
     """
-    g = gold.select(*keys, "tok_id", F.col("iob").alias("gold"), F.lit(True).alias("in_gold"))
-    p = pred.select(*keys, "tok_id", F.col("iob").alias("guess"), F.lit(True).alias("in_pred"))
+    spot = F.expr(f"tok_id div {NEAR}").alias("__spot")
+    g = gold.select(*keys, "tok_id", spot, F.col("iob").alias("gold"), F.lit(True).alias("in_gold"))
+    p = pred.select(
+        *(F.col(k).alias(f"__{k}") for k in (*keys, "tok_id")), spot.alias("__other"),
+        F.col("iob").alias("guess"), F.lit(True).alias("in_pred"),
+    )
     status = (
         F.when(F.col("in_pred").isNull(), "gold_only")
         .when(F.col("in_gold").isNull(), "guess_only")
@@ -51,7 +63,24 @@ def align(gold: DataFrame, pred: DataFrame, keys: Sequence[str] = SENTENCE) -> D
     # As an array of one the tags and status of a position are made together: what looks at the status
     # alone, and what looks at the tags of matched rows, then read one and the same exchange.
     cell = F.array(F.struct("gold", "guess", status.alias("status")))
-    return g.join(p, [*keys, "tok_id"], "full_outer").select(*keys, "tok_id", F.inline(cell))
+    # Rows are dealt out by their few neighbouring positions; within these the position decides, put
+    # so that it is no key of the join.
+    same = F.col("__spot") == F.col("__other")
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"__{k}"))
+    same = same & (F.col("tok_id") <= F.col("__tok_id")) & (F.col("tok_id") >= F.col("__tok_id"))
+    both = (F.coalesce(k, f"__{k}").alias(k) for k in (*keys, "tok_id"))
+    return g.join(p, same, "full_outer").select(*both, F.inline(cell))
+
+
+def _beside_unmatched(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Is a row of this sentence, with no other sentence between, unmatched? A row is its sentence's
+    hash and a flag in one number, since handing a row to Python costs by its columns."""
+    for batch in batches:
+        codes = batch.to_numpy(zero_copy_only=False)
+        sentences = codes >> 1
+        run = np.append(0, np.cumsum(sentences[1:] != sentences[:-1]))[: len(codes)]
+        yield pa.array((np.bincount(run, weights=codes & 1) > 0)[run] if len(codes) else np.zeros(0, bool))
 
 
 def whole_sentences(aligned: DataFrame, keys: Sequence[str] = SENTENCE) -> tuple[DataFrame, DataFrame]:
@@ -59,11 +88,16 @@ def whole_sentences(aligned: DataFrame, keys: Sequence[str] = SENTENCE) -> tuple
     the rows of the others.
 
     Told apart by the sentences of unmatched rows, one row each, so a sentence need not
-    come together anywhere.
+    come together anywhere. Rows that stand beside an unmatched one of their sentence, as most of
+    ``align``'s do, are left out before the others are exchanged.
     """
     matched, unmatched = aligned.where("status = 'matched'"), aligned.where("status <> 'matched'")
     incomplete = unmatched.select(*keys).distinct()
-    whole = matched.join(incomplete, list(keys), "left_anti").drop("status")
+    code = F.shiftleft(F.xxhash64(*keys), 1).bitwiseOR((F.col("status") != "matched").cast("bigint"))
+    broken = F.arrow_udf(_beside_unmatched, "boolean").asNondeterministic()
+    left = aligned.withColumn("__code", code).withColumn("__broken", broken("__code"))
+    left = left.where("status = 'matched' AND NOT __broken").drop("status", "__code", "__broken")
+    whole = left.join(incomplete, list(keys), "left_anti")
     return whole, unmatched.unionByName(matched.join(incomplete, list(keys), "left_semi"))
 
 

@@ -198,3 +198,36 @@ def test_whole_sentences_read_one_exchange(spark):
     whole, _ = scoring.whole_sentences(scoring.align(gold, gold.where("tok_id < 9")))
     plan = whole._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join FullOuter") == 2 and "Join Inner" not in plan
+
+
+def test_aligned_rows_are_as_those_of_a_join(spark):
+    """Repeated rows meet each other, null keys meet nothing, far and negative positions stay apart."""
+    rng = random.Random(4)
+
+    def some():
+        key = lambda: rng.choice([None, 1, 1, 1, 2])
+        tok = lambda: rng.choice([None, -33, -1, 0, 1, 2, 2, 31, 32, 33, 64, 1 << 40])
+        return [(key(), key(), tok(), rng.choice([None, "O", "B-a"])) for _ in range(150)]
+
+    schema = "doc_id bigint, sent_id bigint, tok_id bigint, iob string"
+    gold, pred = some(), some()
+    want = [(*g[:3], g[3], p[3], "matched") for g in gold for p in pred if None not in g[:3] and g[:3] == p[:3]]
+    want += [(*g[:3], g[3], None, "gold_only") for g in gold if None in g[:3] or g[:3] not in {p[:3] for p in pred}]
+    want += [(*p[:3], None, p[3], "guess_only") for p in pred if None in p[:3] or p[:3] not in {g[:3] for g in gold}]
+    aligned = scoring.align(spark.createDataFrame(gold, schema), spark.createDataFrame(pred, schema))
+    assert sorted(map(tuple, aligned.collect()), key=repr) == sorted(want, key=repr)
+    whole, others = scoring.whole_sentences(aligned)
+    bad = {r[:2] for r in want if r[-1] != "matched"}
+    assert sorted(map(tuple, whole.collect()), key=repr) == sorted((r[:-1] for r in want if r[:2] not in bad), key=repr)
+    assert others.count() == sum(r[:2] in bad for r in want)
+
+
+def test_rows_beside_unmatched_ones_are_not_exchanged(spark):
+    """Of incomplete sentences only the keys meet the rows of the others."""
+    gold = spark.range(20000).selectExpr("id div 40 as doc_id", "0L as sent_id", "id % 40 + 1 as tok_id", "'B-a' as iob")
+    whole, _ = scoring.whole_sentences(scoring.align(gold, gold.where("NOT (doc_id % 10 > 0 AND tok_id % 8 = 3)")))
+    assert whole.count() == 50 * 40
+    aligned = scoring.align(gold, gold.where("tok_id % 8 <> 3")).coalesce(1)
+    code = F.shiftleft(F.xxhash64("doc_id", "sent_id"), 1).bitwiseOR((F.col("status") != "matched").cast("bigint"))
+    beside = F.arrow_udf(scoring._beside_unmatched, "boolean")
+    assert aligned.select(beside(code).alias("x")).where("x").count() > 15000
