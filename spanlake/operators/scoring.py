@@ -31,6 +31,8 @@ from spanlake.operators.islands import merge_islands
 
 SENTENCE = ("doc_id", "sent_id")
 NEAR = 32  # positions that are matched in one place
+PART = 4 << 20
+UNKNOWN = 1 << 60
 OVERALL = "(overall)"
 
 # The task functions travel with the job, so executors need no copy of the package.
@@ -43,6 +45,16 @@ RATES = ("precision: ", "%; recall: ", "%; FB1: ")
 ACCURACY = ("accuracy: ", "%; ")
 
 
+def _parts(df: DataFrame) -> int:
+    """Parts of about ``PART`` bytes of what the rows are read from, so that a part is sorted in memory.
+
+    There are as many as shuffles have at least, and eight times as many at most; where the size is not known, no more.
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return least if size >= UNKNOWN else max(least, min(8 * least, -(-size // PART)))
+
+
 def align(gold: DataFrame, pred: DataFrame, keys: Sequence[str] = SENTENCE) -> DataFrame:
     """Pair gold and predicted tags by position.
 
@@ -70,6 +82,8 @@ def align(gold: DataFrame, pred: DataFrame, keys: Sequence[str] = SENTENCE) -> D
         same = same & (F.col(k) == F.col(f"__{k}"))
     same = same & (F.col("tok_id") <= F.col("__tok_id")) & (F.col("tok_id") >= F.col("__tok_id"))
     both = (F.coalesce(k, f"__{k}").alias(k) for k in (*keys, "tok_id"))
+    n = _parts(gold)
+    g, p = g.repartition(n, "__spot", *keys), p.repartition(n, "__other", *(f"__{k}" for k in keys))
     return g.join(p, same, "full_outer").select(*both, F.inline(cell))
 
 

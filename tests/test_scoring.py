@@ -231,3 +231,16 @@ def test_rows_beside_unmatched_ones_are_not_exchanged(spark):
     code = F.shiftleft(F.xxhash64("doc_id", "sent_id"), 1).bitwiseOR((F.col("status") != "matched").cast("bigint"))
     beside = F.arrow_udf(scoring._beside_unmatched, "boolean")
     assert aligned.select(beside(code).alias("x")).where("x").count() > 15000
+
+
+def test_parts_of_aligned_rows(spark, tmp_path, monkeypatch):
+    """By the size of what is read, within bounds; where it is not known, as many as shuffles have."""
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.range(1000).selectExpr("id as doc_id", "0L as sent_id", "1L as tok_id", "'O' as iob").write.parquet(str(tmp_path / "t"))
+    gold = spark.read.parquet(str(tmp_path / "t"))
+    assert scoring._parts(gold) == least
+    monkeypatch.setattr(scoring, "PART", 64)
+    assert scoring._parts(gold) == 8 * least
+    assert scoring.align(gold, gold).where("status = 'matched'").count() == 1000
+    monkeypatch.setattr(scoring, "UNKNOWN", 1)
+    assert scoring._parts(gold) == least
